@@ -8,8 +8,9 @@ down. The level count is logarithmic in the diameter, each level a few joins of
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def _start(vertex: Column, level: int, beta: float, steps: int) -> Column:
     return F.greatest(F.lit(0), F.lit(steps) - F.floor(-F.log(uniform) / beta)).cast("int")
 
 
-def decompose(links: DataFrame, level: int = 0, beta: float = 0.4, steps: int = 2) -> DataFrame:
+def decompose(links: DataFrame, level: int = 0, beta: float = 0.5, steps: int = 4) -> DataFrame:
     """One decomposition of undirected ``a, b`` links: ``v, c``, the centre of every vertex.
 
     A vertex that a cluster reaches before its own start joins the one that comes first, ties by the smaller centre;
@@ -34,7 +35,7 @@ def decompose(links: DataFrame, level: int = 0, beta: float = 0.4, steps: int =
         if state is None:  # the first relaxation needs no join: every vertex's state follows from its name
             reach = F.struct((_start(F.col("a"), level, beta, steps) + 1).alias("d"), F.col("a").alias("c"))
             sent = arcs.select(F.col("b").alias("v"), reach.alias("s"))
-            own = arcs.groupBy("a").agg(F.lit(1)).select(F.col("a").alias("v"), F.struct(_start(F.col("a"), level, beta, steps).alias("d"), F.col("a").alias("c")).alias("s"))
+            own = arcs.select(F.col("a").alias("v"), F.struct(_start(F.col("a"), level, beta, steps).alias("d"), F.col("a").alias("c")).alias("s"))
         else:
             sent = arcs.join(state, arcs.a == state.v).select(F.col("b").alias("v"), F.struct((F.col("s.d") + 1).alias("d"), F.col("s.c").alias("c")).alias("s"))
             own = state
@@ -42,51 +43,66 @@ def decompose(links: DataFrame, level: int = 0, beta: float = 0.4, steps: int =
     return state.select("v", F.col("s.c").alias("c"))
 
 
-def components(links: DataFrame, scratch: storage.Scratch | None = None, beta: float = 0.4, steps: int = 2, max_levels: int = 200) -> DataFrame:
+def _solve(links: DataFrame) -> DataFrame:
+    """The recursion's base case: ``v, c`` of a graph of bounded size, by union-find in one task."""
+    kind = links.schema["a"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for frame in frames:
+            for a, b in zip(frame.a.tolist(), frame.b.tolist(), strict=True):
+                parent[find(a)] = find(b)
+        yield pd.DataFrame({"v": list(parent), "c": [find(x) for x in parent]})
+
+    return links.coalesce(1).mapInPandas(run, f"v {kind}, c {kind}")
+
+
+def components(links: DataFrame, scratch: storage.Scratch | None = None, beta: float = 0.5, steps: int = 4, small: int = 5_000, max_levels: int = 100) -> DataFrame:
     """``v, root``: for every vertex of ``a, b`` (strings or numbers) the smallest vertex of its component.
 
-    Self-links name no vertex, null ends are left out, repeats and order don't matter, no links give no rows.
+    At least one decomposition runs; a contracted graph of at most ``small`` links is solved in one task. Self-links
+    name no vertex, null ends are left out, repeats and order don't matter, no links give no rows.
     """
-    spark = links.sparkSession
-    scratch = scratch or storage.Scratch(spark, "components")
+    scratch = scratch or storage.Scratch(links.sparkSession, "components")
     pairs = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     graph = scratch.cut(pairs, "links-0")
     maps: list[DataFrame] = []
     for level in range(max_levels):
-        if graph.isEmpty():
+        left = graph.count()
+        if not left:
+            break
+        if level and left <= small:
+            maps.append(scratch.cut(_solve(graph), f"map-{level}"))
             break
         maps.append(scratch.cut(decompose(graph, level, beta, steps), f"map-{level}"))
         a, b = maps[-1].select(F.col("v").alias("a"), F.col("c").alias("ca")), maps[-1].select(F.col("v").alias("b"), F.col("c").alias("cb"))
         moved = graph.join(a, "a").join(b, "b").filter("ca <> cb")
-        moved = moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-        following = scratch.cut(moved, f"links-{level + 1}")
+        graph = scratch.cut(moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), f"links-{level + 1}")
         scratch.drop(f"links-{level}")
-        graph = following
     else:
         raise RuntimeError(f"links are left after {max_levels} levels")
     if not maps:
         return graph.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    # up: the smallest original vertex under each centre, level by level (partial aggregation, no hot key)
-    least = None
-    lows: list[DataFrame] = []
-    for level, m in enumerate(maps):
-        low = m.withColumn("low", F.col("v")) if least is None else m.join(least.select(F.col("c").alias("v"), "low"), "v", "left").withColumn("low", F.coalesce("low", "v"))
-        least = scratch.cut(low.groupBy("c").agg(F.min("low").alias("low"), F.count("*").alias("n")), f"low-{level}")
-        lows.append(least)
-    # down: a centre that is a vertex of the next level takes the answer from there, one that is not is final
-    answer = lows[-1].select("c", F.col("low").alias("root"), "n")
+    # down: a centre that is a vertex of the next level takes its answer from there, one that is not is final
+    answer = maps[-1]
     for level in range(len(maps) - 2, -1, -1):
-        upper = maps[level + 1]
-        total = upper.count()
-        named = storage.join_by_size(upper.select(F.col("v"), "c"), answer, "c", "n", F.lit(total)).select(F.col("v").alias("c"), "root")
-        answer = lows[level].join(named, "c", "left").select("c", F.coalesce("root", "low").alias("root"), "n")
-        answer = scratch.cut(answer, f"answer-{level}")
-    return storage.join_by_size(maps[0], answer, "c", "n", F.lit(maps[0].count())).select("v", "root")
+        answer = scratch.cut(_compose(maps[level], answer), f"answer-{level}")
+    least = answer.groupBy("c").agg(F.min("v").alias("root"), F.count("*").alias("n"))
+    return storage.join_by_size(answer, least, "c", "n", F.lit(answer.count())).select("v", "root")
 
 
-def expected_levels(diameter: int, beta: float = 0.4) -> int:
-    """A rough count of levels for a component of this diameter; for planning only."""
-    return max(1, math.ceil(math.log(max(2, diameter)) / math.log(1 + 1 / beta)))
+def _compose(lower: DataFrame, upper: DataFrame) -> DataFrame:
+    """``v, c`` of the lower level with the centre that the upper level gives its centre, if any."""
+    sizes = lower.groupBy("c").agg(F.count("*").alias("n"))
+    named = sizes.join(upper.select(F.col("v").alias("c"), F.col("c").alias("above")), "c", "left").select("c", "n", F.coalesce("above", "c").alias("above"))
+    return storage.join_by_size(lower, named, "c", "n", F.lit(lower.count())).select("v", F.col("above").alias("c"))
 
 
 def linked_records(edges: DataFrame, least_score: float = 0.90) -> DataFrame:
