@@ -30,7 +30,7 @@ SHARE, LEAST_COUNT = 20_000, 5
 #: Pairs of neighbouring words share so many places.
 PAIRS = 1 << 16
 _TAG = re.compile(r"<[^<>]{0,100}>|&[a-zA-Z#0-9]{1,8};")
-_BREAK = re.compile(r"[.!?;:\n|•()\[\]\"»«“”]+|(?:^|\s)[-–—](?:\s|$)")
+_BREAK = re.compile(r"[.!?;\n|•()\[\]\"»«“”]+|(?:^|\s)[-–—](?:\s|$)")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
