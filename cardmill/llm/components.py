@@ -29,17 +29,16 @@ def decompose(links: DataFrame, level: int = 0, beta: float = 0.5, steps: int =
     A vertex that a cluster reaches before its own start joins the one that comes first, ties by the smaller centre;
     no path is longer than ``steps``, hence as many relaxations are exact.
     """
-    arcs = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    arcs = links.select("a", "b", F.lit(1).alias("w")).union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1)))
+    # with an arc of length 0 to itself a vertex keeps its state: each step refers to the one before only once
+    arcs = arcs.union(arcs.select("a", F.col("a").alias("b"), F.lit(0)).distinct())
     state = None
     for _ in range(steps):
         if state is None:  # the first relaxation needs no join: every vertex's state follows from its name
-            reach = F.struct((_start(F.col("a"), level, beta, steps) + 1).alias("d"), F.col("a").alias("c"))
-            sent = arcs.select(F.col("b").alias("v"), reach.alias("s"))
-            own = arcs.select(F.col("a").alias("v"), F.struct(_start(F.col("a"), level, beta, steps).alias("d"), F.col("a").alias("c")).alias("s"))
+            sent = arcs.select(F.col("b").alias("v"), F.struct((_start(F.col("a"), level, beta, steps) + F.col("w")).alias("d"), F.col("a").alias("c")).alias("s"))
         else:
-            sent = arcs.join(state, arcs.a == state.v).select(F.col("b").alias("v"), F.struct((F.col("s.d") + 1).alias("d"), F.col("s.c").alias("c")).alias("s"))
-            own = state
-        state = own.unionByName(sent).groupBy("v").agg(F.min("s").alias("s"))
+            sent = arcs.join(state, arcs.a == state.v).select(F.col("b").alias("v"), F.struct((F.col("s.d") + F.col("w")).alias("d"), F.col("s.c").alias("c")).alias("s"))
+        state = sent.groupBy("v").agg(F.min("s").alias("s"))
     return state.select("v", F.col("s.c").alias("c"))
 
 
