@@ -136,7 +136,7 @@ _ORDERED = "list_filter({x}, lambda t, i: list_position({x}, t) = i)"
 def build(profile: Profile) -> dict[str, str]:
     out: dict[str, str] = {}
     out["exact_duplicates"] = f"WITH {NORM} SELECT sha256(f || '||' || b) AS fingerprint, count(*) AS copies, min(id) AS representative FROM k GROUP BY 1 HAVING count(*) > 1"
-    out["normalized_text"] = f"SELECT doc_id, lower({_collapse(chr(39).join(['regexp_replace(text, ', '<[^>]+>', ', ', ' ', ', ', 'g', ')']))}) AS norm FROM documents"
+    out["normalized_text"] = f"SELECT doc_id, lower({_collapse(chr(39).join(['regexp_replace(nfc_normalize(text), ', '<[^>]+>', ', ', ' ', ', ', 'g', ')']))}) AS norm FROM documents"
     out["semantic_text"] = f"WITH {NOTES} SELECT note_id, {_words(chr(39).join(['coalesce(front_normalized, ', '', ')']))} AS words FROM n"
     rec, blk = _records(), _blocks()
     out["question_keys"] = f"WITH {rec} SELECT id AS note_id, intent, skey AS semantic_key FROM r"

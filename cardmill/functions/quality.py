@@ -43,7 +43,11 @@ def better_version(new_flags: Column, old_flags: Column, new_back: Column, old_b
 def confidence(required: list[str], scope: Column, resolved: Column, unresolved: Column) -> Column:
     """high: all required categories covered and no unresolved tag; medium: some covered, or a resolved tag and none unresolved; else low."""
     required = required or ["vendor", "topic"]
-    covered = [F.coalesce(scope[c].isNotNull(), F.lit(False)) | F.exists(resolved, lambda t, c=c: t.startswith(f"{c}::")) for c in required]
+
+    def has_tag(category: str) -> Column:
+        return F.exists(resolved, lambda t: t.startswith(f"{category}::"))
+
+    covered = [F.coalesce(scope[c].isNotNull(), F.lit(False)) | has_tag(c) for c in required]
     clean = F.size(unresolved) == 0
     every, some = covered[0], covered[0]
     for c in covered[1:]:

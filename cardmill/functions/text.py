@@ -155,7 +155,7 @@ def parse_tag(tag: Column) -> Column:
 
 def deck_parts(deck: Column) -> Column:
     """Normalized, non-empty parts of ``A::B::C``."""
-    return F.filter(F.transform(F.split(words_only(F.regexp_replace(unaccented(normal(deck)), "::", " \u0001 ")), "\u0001"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(unaccented(normal(deck)), "::"), words_only), lambda p: p != "")
 
 
 def embedding_text(front: Column, back: Column) -> Column:

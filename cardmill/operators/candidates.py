@@ -83,18 +83,18 @@ def vector_join(records: DataFrame, least: float, key: str = "record_id", vector
     right, m = blocks(other) if two else (left, n)
     if two:
         cells_l = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(F.col("k").alias("i"), F.col("c").alias("j"), "id", "v")
-        cells_r = right.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("c").alias("i"), F.col("k").alias("j"), "id", "v")
+        cells_r = right.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("c").alias("i"), F.col("k").alias("j"), F.col("id").alias("id"), F.col("v").alias("v"))
     else:
         cells_l = left.withColumn("c", F.explode(F.sequence(F.col("k"), F.lit(n - 1)))).select(F.col("k").alias("i"), F.col("c").alias("j"), "id", "v")
         cells_r = right.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k")))).select(F.col("c").alias("i"), F.col("k").alias("j"), "id", "v")
 
     def unit(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        width = max((len(v) for v in frame.v), default=0)
-        keep = np.array([len(v) == width for v in frame.v], bool)
-        x = np.array(frame.v[keep].tolist(), float).reshape(-1, width)
+        width = max((len(v) for v in frame.iloc[:, 3]), default=0)
+        keep = np.array([len(v) == width for v in frame.iloc[:, 3]], bool)
+        x = np.array(frame.iloc[:, 3][keep].tolist(), float).reshape(-1, width)
         length = np.linalg.norm(x, axis=1)
         ok = length > 0
-        return frame.id.to_numpy()[keep][ok], x[ok] / length[ok][:, None]
+        return frame.iloc[:, 2].to_numpy()[keep][ok], x[ok] / length[ok][:, None]
 
     kind = records.schema[key].dataType.simpleString()
 
@@ -115,7 +115,9 @@ def vector_join(records: DataFrame, least: float, key: str = "record_id", vector
             p, q = np.minimum(p, q), np.maximum(p, q)
         return pd.DataFrame({"a": p[ok], "b": q[ok], "cosine": s[i, j][ok]})
 
-    return cells_l.groupBy("i", "j").cogroup(cells_r.groupBy("i", "j")).applyInPandas(product, f"a {kind}, b {kind}, cosine double")
+    # both sides may come from one table: fresh names keep their columns apart
+    cells_r = cells_r.toDF("i2", "j2", "id2", "v2")
+    return cells_l.groupBy("i", "j").cogroup(cells_r.groupBy("i2", "j2")).applyInPandas(product, f"a {kind}, b {kind}, cosine double")
 
 
 def complete(records: DataFrame, vectors: DataFrame | None = None, key: str = "record_id") -> DataFrame:

@@ -68,12 +68,18 @@ def resolve_tags(suggested: Column, taxonomy: Taxonomy) -> tuple[Column, Column,
     return good, bad, good
 
 
+def _tag_value(tags: Column, category: str) -> Column:
+    """The value of the first tag of a category, else null."""
+    start = f"{category}::"
+    return F.substring(F.get(F.filter(tags, lambda t: t.startswith(start)), F.lit(0)), len(start) + 1, 1 << 30)
+
+
 def merged_scope(resolved: Column, *layers: dict[str, Column]) -> Column:
     """Facet map: the first valid tag of a category, else the first layer that has the category (deck, keyword, topic, type)."""
     categories = list(dict.fromkeys(c for layer in layers for c in layer))
     entries = []
     for c in categories:
-        tagged = F.get(F.transform(F.filter(resolved, lambda t, c=c: t.startswith(f"{c}::")), lambda t, c=c: F.substring(t, len(c) + 3, 1 << 30)), F.lit(0))
+        tagged = _tag_value(resolved, c)
         entries.append(F.struct(F.lit(c).alias("key"), F.coalesce(tagged, *[layer[c] for layer in layers if c in layer]).alias("value")))
     # categories that only tags name
     others = F.filter(resolved, lambda t: ~F.split(t, "::")[0].isin(categories)) if categories else resolved
