@@ -8,12 +8,13 @@ Centroids come from a bounded sample; everything else covers every row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardmill import storage
@@ -22,32 +23,61 @@ from cardmill.llm.hnsw import Hnsw
 MODEL = "tilo-embed:64"
 
 
-def _usable(v: Column, dim: int) -> Column:
-    """A list of ``dim`` finite numbers, not all zero."""
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return (F.size(v) == dim) & F.coalesce(finite, F.lit(False))
-
-
-def _unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+def _unit_bytes(vectors: Iterable, dim: int) -> list[bytes | None]:
+    """float32 bytes of the unit vectors; b"" for all-zero ones, None for what is no list of ``dim`` finite numbers."""
+    good: list[int] = []
+    out: list[bytes | None] = [None] * len(vectors)
+    kept = []
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == dim:
+            good.append(i)
+            kept.append(v)
+    if kept:
+        x = np.array(kept, float)
+        norm = np.linalg.norm(x, axis=1)
+        unit = (x / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
+        for k, i in enumerate(good):
+            if np.isfinite(norm[k]):
+                out[i] = unit[k].tobytes() if norm[k] > 0 else b""
+    return out
+
+
+def _parsed(text: str | None) -> list | None:
+    """A JSON list of numbers, else None; true and false are no numbers."""
+    if not text or text[0] not in "[ ":
+        return None
+    try:
+        v = json.loads(text)
+    except ValueError:
+        return None
+    return v if isinstance(v, list) and all(type(x) is float or type(x) is int for x in v) else None
 
 
 def note_vectors(notes: DataFrame, cache: DataFrame, model: str = MODEL, dim: int = 64) -> DataFrame:
-    """``note_id, v``: the unit vector of every note that has one: its own, else the cached one of its fingerprint.
+    """``note_id, u``: the unit vector (float32 bytes) of every note that has one: its own, else the cached one of its fingerprint.
 
-    Broken JSON, other lengths, values that are no finite numbers and all-zero vectors are not usable; an all-zero
-    vector of its own leaves the note out. Of repeated rows of a note or key the last written counts.
+    Broken JSON, other lengths, values that are no finite numbers are not usable; an all-zero vector of its own leaves
+    the note out. Of repeated rows of a note or key the last written counts.
     """
-    own = F.from_json("embedding_vector", "array<double>")
-    row = F.struct(F.coalesce("indexed_at", F.lit("")).alias("at"), "fingerprint", own.alias("own"))
-    rows = notes.filter("note_id IS NOT NULL").groupBy("note_id").agg(F.max(row).alias("r")).select("note_id", "r.fingerprint", "r.own")
-    rows = rows.withColumn("own", F.when(_usable(F.col("own"), dim), F.col("own")))
-    held = cache.filter((F.col("model") == model) & F.col("fingerprint").isNotNull() & _usable(F.col("vector"), dim))
-    held = held.groupBy("fingerprint").agg(F.max(F.struct("created_at", "vector")).alias("c")).select("fingerprint", F.col("c.vector").alias("cached"))
-    missing = rows.filter("own IS NULL AND fingerprint IS NOT NULL").select("note_id", "fingerprint").join(held, "fingerprint").select("note_id", F.col("cached").alias("v"))
-    both = rows.filter("own IS NOT NULL").select("note_id", F.col("own").alias("v")).unionByName(missing)
-    return both.select("note_id", _unit(F.col("v")).alias("v")).filter("v IS NOT NULL")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = _unit_bytes([_parsed(t) for t in b.column(3).to_pylist()], dim)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(vectors, pa.binary())], names=["note_id", "at", "fingerprint", "u"])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [None if v is None or any(x is None for x in v) else v for v in b.column(2).to_pylist()]
+            vectors = _unit_bytes(rows, dim)
+            keep = pa.array([v is not None for v in vectors])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vectors, pa.binary())], names=["fingerprint", "at", "u"]).filter(keep)
+
+    rows = notes.filter("note_id IS NOT NULL").select("note_id", F.coalesce("indexed_at", F.lit("")).alias("at"), "fingerprint", "embedding_vector")
+    rows = rows.mapInArrow(own, "note_id bigint, at string, fingerprint string, u binary")
+    rows = rows.groupBy("note_id").agg(F.max(F.struct("at", "fingerprint", "u")).alias("r")).select("note_id", "r.fingerprint", "r.u")
+    cached = cache.filter((F.col("model") == model) & F.col("fingerprint").isNotNull()).select("fingerprint", F.coalesce("created_at", F.lit("")).alias("at"), "vector")
+    cached = cached.mapInArrow(held, "fingerprint string, at string, u binary").groupBy("fingerprint").agg(F.max(F.struct("at", "u")).alias("c")).select("fingerprint", F.col("c.u").alias("cached"))
+    return rows.join(cached, "fingerprint", "left").select("note_id", F.coalesce("u", "cached").alias("u")).filter(F.length("u") > 0)
 
 
 def _centroids(sample: np.ndarray, shards: int, rounds: int = 8) -> np.ndarray:
@@ -147,13 +177,7 @@ def similar_notes(notes: DataFrame, cache: DataFrame, k: int = 5, least: float =
     """
     scratch = storage.Scratch(notes.sparkSession, "vectors")
 
-    def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.asarray(batch.column(1).flatten(), np.float32).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["note_id", "u"])
-
-    rows = scratch.cut(note_vectors(notes, cache).mapInArrow(to_bytes, "note_id bigint, u binary"), "rows")
+    rows = scratch.cut(note_vectors(notes, cache), "rows")
     distinct = rows.groupBy(F.unhex(F.md5("u")).alias("h")).agg(F.min("u").alias("u"), F.count("*").alias("n"))
     entries = scratch.cut(distinct.select(F.monotonically_increasing_id().alias("vid"), "h", "u", "n"), "entries")
     hashed = rows.select("note_id", F.unhex(F.md5("u")).alias("h"))
