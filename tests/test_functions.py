@@ -86,7 +86,7 @@ def side(**k):
         ({}, {"fingerprint": "2"}, None, 0.98, ["exact_front"]),
         ({"front": ""}, {"front": "", "fingerprint": "2"}, None, 0.0, ["low_similarity"]),
         ({"key": "k"}, {"key": "k", "fingerprint": "2", "front": "g"}, None, 0.95, ["semantic_key_match"]),
-        ({"tokens": ["a", "b", "c"]}, {"tokens": ["a", "b", "c"], "fingerprint": "2", "front": "g"}, 0.8, 0.9875, ["embedding_match", "token_overlap"]),
+        ({"tokens": ["a", "b", "c"]}, {"tokens": ["a", "b", "c"], "fingerprint": "2", "front": "g"}, 0.8, 0.98125, ["embedding_match", "token_overlap"]),
         ({"vendor": "x"}, {"vendor": "y", "fingerprint": "2", "front": "g"}, 0.97, 0.0, ["embedding_cross_vendor_ignored"]),
         ({}, {"fingerprint": "2", "front": "g"}, 0.93, 0.0, ["low_similarity"]),
         ({}, {"fingerprint": "2", "front": "g"}, 0.96, 0.99625, ["embedding_match"]),
