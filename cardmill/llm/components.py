@@ -63,7 +63,7 @@ def _solve(links: DataFrame) -> DataFrame:
     return links.coalesce(1).mapInPandas(run, f"v {kind}, c {kind}")
 
 
-def components(links: DataFrame, scratch: storage.Scratch | None = None, beta: float = 0.5, steps: int = 4, small: int = 5_000, max_levels: int = 100) -> DataFrame:
+def components(links: DataFrame, scratch: storage.Scratch | None = None, beta: float = 0.5, steps: int = 4, small: int = 20_000, max_levels: int = 100) -> DataFrame:
     """``v, root``: for every vertex of ``a, b`` (strings or numbers) the smallest vertex of its component.
 
     At least one decomposition runs; a contracted graph of at most ``small`` links is solved in one task. Self-links

@@ -117,10 +117,10 @@ class History:
             keys = fresh.select("key").distinct()
             probed = self.table("bands").join(keys, "key", "left_semi").join(self.table("sketches"), "tid").select("key", "tid", "n", "s0")
             rows = fresh.withColumn("fresh", F.lit(True)).unionByName(probed.withColumn("fresh", F.lit(False)))
-            pairs = shingles.candidates(rows, PLAN, across=True)
+            pairs = shingles.candidates(rows, PLAN, self.scratch, f"hot/{epoch}", across=True)
             texts = old_texts.select("tid", "text").unionByName(new.select("tid", "text"))
         else:
-            pairs, texts = shingles.candidates(fresh, PLAN), new
+            pairs, texts = shingles.candidates(fresh, PLAN, self.scratch, f"hot/{epoch}"), new
         links = self._score(pairs, texts, epoch)
         self._add("bands", fresh.select("key", "tid"), epoch)
         self._add("accepted", named.filter("accepted IS NOT NULL").select("tid", F.col("accepted").alias("batch")), epoch)

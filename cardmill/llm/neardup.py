@@ -25,7 +25,7 @@ def _linked(notes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = scratch.cut(note_texts(notes), "rows")
     texts = shingles.numbered(rows, scratch, "texts")
     signed = scratch.cut(shingles.with_signatures(texts, PLAN), "signed")
-    pairs = shingles.candidates(shingles.block_rows(signed, PLAN), PLAN)
+    pairs = shingles.candidates(shingles.block_rows(signed, PLAN), PLAN, scratch)
     links = scratch.cut(shingles.similar(pairs, texts).select("x", "y"), "links")
     scratch.drop("signed")
     named = rows.select("note_id", F.unhex(F.md5("text")).alias("h"))

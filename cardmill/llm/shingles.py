@@ -26,6 +26,7 @@ from cardmill import storage
 
 #: Blocks of more rows are split into cells, so that no task holds more than two parts of this many.
 BLOCK_ROWS = 20_000
+MOST_HOT = 10_000
 _NEAR = 64  # runs up to this long are compared by offset, longer ones by tile
 _TILE = 1024
 
@@ -145,14 +146,17 @@ def block_rows(signed: DataFrame, plan: Plan) -> DataFrame:
     return signed.select(F.explode("bands").alias("key"), "tid", "n", *plan.sketch)
 
 
-def candidates(rows: DataFrame, plan: Plan, across: bool = False) -> DataFrame:
+def candidates(rows: DataFrame, plan: Plan, scratch: storage.Scratch, name: str = "hot", across: bool = False) -> DataFrame:
     """``x, y`` (x < y): text ids that share a block and pass the sketch test. No block is cut short.
 
     ``across``: rows have a column ``fresh``; pairs of two rows that are both not fresh are known already and left out.
-    Blocks above BLOCK_ROWS are spread over cells of two parts each; their keys number under rows / BLOCK_ROWS.
+    Blocks above BLOCK_ROWS are spread over cells of two parts each; their keys, under rows / BLOCK_ROWS in number, are
+    counted first: none costs no join, up to MOST_HOT are broadcast, more are joined by a shuffle.
     """
     hot = rows.groupBy("key").count().filter(F.col("count") > BLOCK_ROWS).select("key", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("parts"))
-    spread = rows.join(hot, "key", "left")
+    hot = scratch.cut(hot, name)
+    found = hot.count()
+    spread = rows.join(F.broadcast(hot) if found <= MOST_HOT else hot, "key", "left") if found else rows.withColumn("parts", F.lit(None).cast("int"))
     mine = F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")
     other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.withColumn("mine", mine).withColumn("other", other)
@@ -194,8 +198,8 @@ def candidates(rows: DataFrame, plan: Plan, across: bool = False) -> DataFrame:
         if kept:
             yield pairs([np.concatenate(c) for c in zip(*kept, strict=True)])
 
-    found = cells.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(run, "x bigint, y bigint")
-    return found.distinct()
+    pairs_found = cells.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(run, "x bigint, y bigint")
+    return pairs_found.distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
