@@ -67,7 +67,7 @@ def pieces(size: int, capacity: int) -> Iterable[tuple[int, int]]:
 _SCHEMA = "target_name string, container string, doc_id bigint, piece int, token_start bigint, tokens bigint"
 
 
-def pack(sizes: DataFrame, targets: list[tuple[str, int]], scratch: storage.Scratch, slots: int = 256, tokens_per_task: int = 2_000_000, tasks_per_group: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, targets: list[tuple[str, int]], scratch: storage.Scratch, slots: int = 256, tokens_per_task: int = 2_000_000, tasks_per_group: int = 16) -> DataFrame:
     """Pack ``doc_id, n`` for each of ``targets`` (name, capacity): one row per placed piece.
 
     The items of a task follow from a hash of their id and the number of tasks from the total size, so the result is
