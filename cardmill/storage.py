@@ -7,7 +7,9 @@ folder of ``spark.checkpoint.dir``, which every executor can read again.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
+import urllib.parse
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,8 +96,9 @@ class Scratch:
     def _quietly_remove(self) -> None:
         try:
             delete(self.spark, self.root)
-        except Exception:  # the session is gone already
-            pass
+        except Exception:  # the session is gone already: only a folder of this machine can still be removed
+            if self.root.startswith("file:"):
+                shutil.rmtree(urllib.parse.urlparse(self.root).path, ignore_errors=True)
 
 
 def join_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | Column) -> DataFrame:
