@@ -92,15 +92,16 @@ def components(links: DataFrame, scratch: storage.Scratch | None = None, beta: f
     # down: a centre that is a vertex of the next level takes its answer from there, one that is not is final
     answer = maps[-1]
     for level in range(len(maps) - 2, -1, -1):
-        answer = scratch.cut(_compose(maps[level], answer), f"answer-{level}")
-    least = answer.groupBy("c").agg(F.min("v").alias("root"), F.count("*").alias("n"))
+        answer = scratch.cut(_compose(maps[level], answer, scratch, f"above-{level}"), f"answer-{level}")
+    least = scratch.cut(answer.groupBy("c").agg(F.min("v").alias("root"), F.count("*").alias("n")), "least")
     return storage.join_by_size(answer, least, "c", "n", F.lit(answer.count())).select("v", "root")
 
 
-def _compose(lower: DataFrame, upper: DataFrame) -> DataFrame:
+def _compose(lower: DataFrame, upper: DataFrame, scratch: storage.Scratch, name: str) -> DataFrame:
     """``v, c`` of the lower level with the centre that the upper level gives its centre, if any."""
     sizes = lower.groupBy("c").agg(F.count("*").alias("n"))
     named = sizes.join(upper.select(F.col("v").alias("c"), F.col("c").alias("above")), "c", "left").select("c", "n", F.coalesce("above", "c").alias("above"))
+    named = scratch.cut(named, name)
     return storage.join_by_size(lower, named, "c", "n", F.lit(lower.count())).select("v", F.col("above").alias("c"))
 
 

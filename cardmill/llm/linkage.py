@@ -129,7 +129,7 @@ class History:
         self._add("clusters", self._changed_clusters(new, links, epoch), epoch)
         self.scratch.drop(f"signed/{epoch}")
         self.epoch = epoch
-        return self._found(cards, named)
+        return self._found(cards, named, epoch)
 
     def _score(self, pairs: DataFrame, texts: DataFrame, epoch: int) -> DataFrame:
         """Links of similarity 0.8 or more, each with its agreement weight; weights are learned from the first epoch that has pairs."""
@@ -159,19 +159,20 @@ class History:
         still = own.join(moved.select("tid"), "tid", "left_anti")
         return moved.unionByName(still).withColumn("epoch", F.lit(epoch))
 
-    def _found(self, cards: DataFrame, named: DataFrame) -> DataFrame:
+    def _found(self, cards: DataFrame, named: DataFrame, epoch: int) -> DataFrame:
         accepted = self.table("accepted").groupBy("tid").agg(F.min("batch").alias("batch"))
         mine = named.select("tid", "h", "n_rows")
         links = self.table("links").select("x", "y")
         arcs = links.select(F.col("x").alias("tid"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("tid"), F.col("x").alias("other")))
         near = arcs.join(accepted.select(F.col("tid").alias("other"), "batch"), "other").select("tid", "batch").unionByName(accepted)
         first = near.groupBy("tid").agg(F.min("batch").alias("first"))
-        per_front = mine.join(first, "tid").select("h", "n_rows", "first")
+        # written, as the join below refers to it several times
+        per_front = self._add("first", mine.join(first, "tid").select("h", "n_rows", "first"), epoch)
         total = F.lit(cards.count())
         by_front = storage.join_by_size(cards.filter("h IS NOT NULL").select("id", "batch", "h"), per_front, "h", "n_rows", total).filter("first < batch").select("id")
         prints = self.table("prints").groupBy("fingerprint").agg(F.min("batch").alias("first"))
         sizes = cards.filter("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.count("*").alias("n"))
-        per_print = sizes.join(prints, "fingerprint")
+        per_print = self._add("first-print", sizes.join(prints, "fingerprint"), epoch)
         by_print = storage.join_by_size(cards.filter("fingerprint IS NOT NULL").select("id", "batch", "fingerprint"), per_print, "fingerprint", "n", total).filter("first < batch").select("id")
         return by_front.unionByName(by_print).distinct()
 
