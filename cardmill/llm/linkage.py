@@ -21,7 +21,7 @@ from cardmill import storage
 from cardmill.llm import shingles
 from cardmill.llm.components import components
 
-PLAN = shingles.Plan(rows=5, bands=20, words=1)
+PLAN = shingles.Plan(rows=5, bands=30, words=1)
 ACCEPTED = ("aprobada", "subida")
 _PARTS = {
     "texts": "tid bigint, h binary, text string, n_rows bigint",

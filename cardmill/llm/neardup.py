@@ -9,7 +9,7 @@ from cardmill import storage
 from cardmill.llm import shingles
 from cardmill.llm.components import components
 
-PLAN = shingles.Plan(rows=6, bands=28, words=2)
+PLAN = shingles.Plan(rows=6, bands=40, words=2)
 
 
 def note_texts(notes: DataFrame) -> DataFrame:
