@@ -8,7 +8,7 @@ allows. What is left is checked on the texts themselves.
 
 The sketch test loses nothing: two parity sketches never differ in more bits than their sets in elements, and sets of
 a and b elements with a Jaccard similarity of 0.8 or more differ in at most (a + b) / 9. Blocking loses a pair of
-similarity j with probability (1 - j**rows)**bands: 5e-6 at 0.80 and 5e-10 at 0.85 for 6 rows and 40 bands.
+similarity j with probability (1 - j**rows)**bands: 5e-6 at 0.80 and 6e-9 at 0.85 for 6 rows and 40 bands.
 """
 
 from __future__ import annotations
