@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardmill.llm import components, encode, ledger, linkage, lookalike, neardup, packing, reading, subjects, vectors
+from cardmill.llm import components, encode, ledger, linkage, lookalike, neardup, packing, reading, sql, subjects, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,4 +43,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
