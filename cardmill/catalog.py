@@ -43,6 +43,11 @@ def _records(s: SparkSession, d: str) -> DataFrame:
     return audits.records(_notes(s, d), "note_id", "front_normalized", "back_normalized", "deck_name", "note_type", "scope_json")
 
 
+def _written(s: SparkSession, d: str) -> DataFrame:
+    """The records with their features, computed once, for plans that read them several times."""
+    return storage.Scratch(s, "records").cut(_records(s, d), "records")
+
+
 def _taxonomy(s: SparkSession, d: str) -> Taxonomy:
     rows = _t(s, d, "taxonomy").orderBy("cat_ord", "val_ord").collect()  # a fixed table
     out: dict[str, list[str]] = {}
@@ -86,11 +91,11 @@ def char_trigrams(s: SparkSession, d: str) -> DataFrame:
 
 
 def token_idf(s: SparkSession, d: str) -> DataFrame:
-    return features.idf(_records(s, d)).select("token", "df", F.round("idf", 6).alias("idf"))
+    return features.idf(_written(s, d)).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 def anchor_tokens(s: SparkSession, d: str) -> DataFrame:
-    r = _records(s, d)
+    r = _written(s, d)
     return features.anchors(r, features.idf(r)).select(F.col("record_id").alias("note_id"), F.array_join("anchors", " ").alias("anchors"))
 
 
@@ -107,15 +112,15 @@ def blocked_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def exact_links(s: SparkSession, d: str) -> DataFrame:
-    return candidates.exact(_records(s, d))
+    return candidates.exact(_written(s, d))
 
 
 def jaccard_pairs(s: SparkSession, d: str) -> DataFrame:
-    return candidates.jaccard_join(_records(s, d)).select("a", "b", F.col("shared").cast("bigint").alias("shared"))
+    return candidates.jaccard_join(_written(s, d)).select("a", "b", F.col("shared").cast("bigint").alias("shared"))
 
 
 def scored_edges(s: SparkSession, d: str) -> DataFrame:
-    r = _records(s, d)
+    r = _written(s, d)
     found = cluster.score_pairs(candidates.jaccard_join(r).select("a", "b"), r, SETTINGS.similar_threshold)
     return found.select("a", "b", "score", F.array_join("reasons", ",").alias("reasons"))
 

@@ -21,7 +21,11 @@ def records(rows: DataFrame, key: str, front: str, back: str, deck: str | None,
 
 
 def with_blocks(rows: DataFrame) -> DataFrame:
-    """Adds ``anchors`` and ``block_keys``; token weights are those of the rows themselves."""
+    """Adds ``anchors`` and ``block_keys``; token weights are those of the rows themselves.
+
+    The features are read by several branches of the plan, so they are computed and written once.
+    """
+    rows = storage.Scratch(rows.sparkSession, "features").cut(rows, "rows")
     found = features.anchors(rows, features.idf(rows))
     out = rows.join(found, "record_id", "left")
     keys = features.block_keys(features.scope_block(F.col("scope"), F.col("note_type"), F.col("deck")), F.col("semantic_key"), F.col("anchors"), F.col("trigrams"))
