@@ -132,7 +132,8 @@ def duplicate_clusters(s: SparkSession, d: str) -> DataFrame:
 
 def cluster_report(s: SparkSession, d: str) -> DataFrame:
     """Clusters with vectors as a further signal; rows only, as vectors come through JSON and cache."""
-    vectors = registry.cache_join(_notes(s, d).select("note_id", "fingerprint"), _t(s, d, "embedding_cache"), MODEL).select(F.col("note_id").alias("record_id"), "vector")
+    notes = _notes(s, d).select("note_id", "fingerprint", "embedding_vector")
+    vectors = registry.own_or_cached(notes, _t(s, d, "embedding_cache"), MODEL).select(F.col("note_id").alias("record_id"), "vector")
     _, _, found = audits.duplicate_clusters(_records(s, d), SETTINGS, vectors)
     return found
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardmill.functions import scores
+
 
 def blocked(records: DataFrame, keys: str = "block_keys", key: str = "record_id", largest: int | None = None) -> DataFrame:
     """``a, b`` that share a block key. A block of n records gives n(n-1)/2 pairs: for blocks known to be small.
@@ -121,12 +123,20 @@ def vector_join(records: DataFrame, least: float, key: str = "record_id", vector
 
 
 def complete(records: DataFrame, vectors: DataFrame | None = None, key: str = "record_id") -> DataFrame:
-    """``a, b, cosine`` that cover every pair whose score can reach 0.675: equal, same question, token Jaccard of 0.5 or more, cosine of 0.96 or more."""
+    """``a, b, cosine`` that cover every pair whose score can reach 0.675: equal, same question, token Jaccard of 0.5 or more, cosine of 0.96 or more.
+
+    With ``vectors`` (one row per key) the lexical pairs carry their cosine too, as it can raise their score; 0.96 is
+    the limit of pairs that nothing but their vectors supports.
+    """
     pairs = exact(records, key).union(stars(records.filter("semantic_key IS NOT NULL"), ["semantic_key"], key)).union(expand_equal_sets(jaccard_join(records, key=key), records, key=key)).distinct()
     pairs = pairs.withColumn("cosine", F.lit(None).cast("double"))
-    if vectors is not None:
-        near = vector_join(vectors, 0.96, key)
-        return pairs.unionByName(near).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    return pairs
+    return pairs if vectors is None else with_cosine(pairs.unionByName(vector_join(vectors, 0.96, key)), vectors, key)
 
 
+def with_cosine(pairs: DataFrame, vectors: DataFrame, key: str = "record_id", vector: str = "vector") -> DataFrame:
+    """``a, b, cosine``, one row per pair: the known cosine, else that of the two vectors; null if one has none."""
+    found = pairs.groupBy("a", "b").agg(F.max("cosine").alias("known"))
+    some = vectors.filter(F.col(vector).isNotNull())
+    a, b = (some.select(F.col(key).alias(side), F.col(vector).alias(f"v{side}")) for side in "ab")
+    own = F.when(F.col("va").isNotNull() & F.col("vb").isNotNull(), scores.cosine(F.col("va"), F.col("vb")))
+    return found.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("known", own).alias("cosine"))

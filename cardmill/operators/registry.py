@@ -152,6 +152,14 @@ def cache_join(records: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     return records.join(rows, "fingerprint", "left")
 
 
+def own_or_cached(records: DataFrame, cache: DataFrame, model: str, own: str = "embedding_vector") -> DataFrame:
+    """Adds ``vector``: the record's own, if it is a JSON list of as many finite numbers as the model's name says, else the cached one."""
+    given = F.from_json(own, "array<double>")
+    usable = (F.size(given) == int(model.rpartition(":")[2])) & F.forall(given, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    held = cache_join(records, cache, model)
+    return held.withColumn("vector", F.when(usable, given).otherwise(F.col("vector")))
+
+
 def resolve_models(wanted: DataFrame, models: list[str], aliases: dict[str, str], default: str) -> DataFrame:
     """Adds ``model``: the name if it exists, its alias, the default for Basic, else null."""
     exists = lambda c: c.isin(models)

@@ -35,10 +35,13 @@ def with_blocks(rows: DataFrame) -> DataFrame:
 def duplicate_clusters(rows: DataFrame, settings: Settings, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, roots, clusters) at the cluster threshold, by the complete candidate joins.
 
-    ``rows`` come with text features; vectors (record_id, vector) add pairs of very close vectors.
+    ``rows`` come with text features; vectors (record_id, vector) add pairs of very close vectors and raise the score
+    of pairs that their texts support.
     """
     scratch = storage.Scratch(rows.sparkSession, "clusters")
     rows = scratch.cut(rows.drop("question"), "records")
+    if vectors is not None:
+        vectors = scratch.cut(vectors.select("record_id", "vector"), "vectors")
     pairs = candidates.complete(rows, vectors)
     edges = scratch.cut(cluster.score_pairs(pairs, rows, settings.cluster_threshold), "edges")
     roots = cluster.components(edges, scratch)
