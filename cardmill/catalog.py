@@ -108,7 +108,7 @@ def block_sizes(s: SparkSession, d: str) -> DataFrame:
 
 
 def blocked_pairs(s: SparkSession, d: str) -> DataFrame:
-    return candidates.blocked(audits.with_blocks(_records(s, d)), largest=50)
+    return candidates.blocked(audits.with_blocks(_records(s, d)))
 
 
 def exact_links(s: SparkSession, d: str) -> DataFrame:

@@ -8,19 +8,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardmill import storage
 from cardmill.functions import scores
 
+#: Records of a block that meet the records of another cell, or each other, under one join key.
+CELL = 1000
 
-def blocked(records: DataFrame, keys: str = "block_keys", key: str = "record_id", largest: int | None = None) -> DataFrame:
-    """``a, b`` that share a block key. A block of n records gives n(n-1)/2 pairs: for blocks known to be small.
 
-    ``largest`` leaves blocks above a size to the complete joins below, which cover all that can pass the score.
+def blocked(records: DataFrame, keys: str = "block_keys", key: str = "record_id", cell: int = CELL) -> DataFrame:
+    """``a, b`` that share a block key, each pair once. A block of n records gives n(n-1)/2 pairs, whatever its size.
+
+    A block is cut into cells of about ``cell`` records, and each pair of cells is one join key, so that a hot block is
+    spread over tasks. A pair is given by the largest block that it shares, so nothing needs to be made distinct: a
+    record carries its larger blocks, and pairs that meet in one of these are left out.
     """
-    rows = records.select(F.explode(keys).alias("block"), F.col(key).alias("id")).distinct()
-    if largest is not None:
-        rows = rows.join(rows.groupBy("block").count().filter(F.col("count") <= largest).select("block"), "block", "left_semi")
-    a, b = rows.select("block", F.col("id").alias("a")), rows.select("block", F.col("id").alias("b"))
-    return a.join(b, "block").filter("a < b").select("a", "b").distinct()
+    rows = storage.Scratch(records.sparkSession, "blocked").cut(records.select(F.explode(keys).alias("block"), F.col(key).alias("id")).distinct(), "rows")
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
+    sized = storage.join_by_size(rows, sizes, "block", "n", rows.count())
+    placed = sized.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "block"))).alias("o"))
+    each = placed.select("id", F.transform("o", lambda x: x["block"]).alias("all"), F.posexplode("o").alias("place", "x"))
+    each = each.select("id", F.col("x.block").alias("block"), F.slice("all", F.lit(1), F.col("place")).alias("larger"), F.ceil(-F.col("x.m") / cell).cast("int").alias("cells"))
+    each = each.withColumn("k", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+    left = each.select("block", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("cells") - 1)).alias("j"), F.col("id").alias("p"), F.col("larger").alias("lp"))
+    right = each.select("block", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"), F.col("id").alias("q"), F.col("larger").alias("lq"))
+    met = left.join(right, ["block", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("p") < F.col("q"))) & ~F.arrays_overlap("lp", "lq"))
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def block_sizes(records: DataFrame, keys: str = "block_keys", key: str = "record_id") -> DataFrame:

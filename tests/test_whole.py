@@ -2,7 +2,8 @@
 
 import json
 
-from cardmill.operators import registry
+from cardmill import catalog
+from cardmill.operators import candidates, registry
 from cardmill.plans import audits
 from cardmill.settings import Settings
 
@@ -29,3 +30,19 @@ def test_own_vectors_come_before_cached(spark):
     cache = spark.createDataFrame([("p", "m:64", [1.0] * 64, "1")], "fingerprint string, model string, vector array<double>, created_at string")
     got = {r.note_id: r.vector and r.vector[0] for r in registry.own_or_cached(notes, cache, "m:64").collect()}
     assert got == {1: 0.5, 2: 1.0, 3: 1.0, 4: None, 5: 1.0}
+
+
+def test_blocks_of_any_size_give_all_pairs(spark):
+    keys = {i: ["every"] * (i < 130) + [f"m{i % 3}"] + [f"s{i // 2}"] for i in range(140)}
+    df = spark.createDataFrame(list(keys.items()), "record_id bigint, block_keys array<string>")
+    want = sorted((a, b) for a in keys for b in keys if a < b and set(keys[a]) & set(keys[b]))
+    assert len(want) > 8385  # the block of 130 alone
+    for cell in (1000, 7):
+        assert sorted((r.a, r.b) for r in candidates.blocked(df, cell=cell).collect()) == want
+
+
+def test_blocked_pairs_of_a_large_block(spark, tmp_path):
+    rows = [(i, f"word{i}q", f"back {i}", "Deck", "Basic", None, "2025") for i in range(60)]
+    spark.createDataFrame(rows, "note_id bigint, front_normalized string, back_normalized string, deck_name string, note_type string, scope_json string, indexed_at string").write.parquet(f"{tmp_path}/indexed_notes.parquet")
+    got = [(r.a, r.b) for r in catalog.queries()["blocked_pairs"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
