@@ -116,12 +116,12 @@ def exact_links(s: SparkSession, d: str) -> DataFrame:
 
 
 def jaccard_pairs(s: SparkSession, d: str) -> DataFrame:
-    return candidates.jaccard_join(_written(s, d)).select("a", "b", F.col("shared").cast("bigint").alias("shared"))
+    return candidates.jaccard_all(_written(s, d)).select("a", "b", F.col("shared").cast("bigint").alias("shared"))
 
 
 def scored_edges(s: SparkSession, d: str) -> DataFrame:
     r = _written(s, d)
-    found = cluster.score_pairs(candidates.jaccard_join(r).select("a", "b"), r, SETTINGS.similar_threshold)
+    found = cluster.score_pairs(candidates.complete(r, copies=True).select("a", "b"), r, SETTINGS.similar_threshold)
     return found.select("a", "b", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -141,7 +141,7 @@ def cluster_report(s: SparkSession, d: str) -> DataFrame:
 def pair_metrics(s: SparkSession, d: str) -> DataFrame:
     r = audits.with_blocks(_records(s, d))
     _, _, found = audits.duplicate_clusters(r.drop("anchors", "block_keys"), SETTINGS)
-    return cluster.pair_metrics(r, candidates.block_sizes(r), candidates.jaccard_join(r), found)
+    return cluster.pair_metrics(r, candidates.block_sizes(r), candidates.jaccard_all(r), found)
 
 
 def _vectors(s: SparkSession, d: str) -> DataFrame:

@@ -79,6 +79,26 @@ def expand_equal_sets(pairs: DataFrame, records: DataFrame, tokens: str = "conte
     return pairs.select("a", "b").union(stars(records.select(key, F.array_sort(tokens).alias("t")).filter(F.size("t") > 0), ["t"], key))
 
 
+def jaccard_all(records: DataFrame, least: float = 0.5, tokens: str = "content", key: str = "record_id") -> DataFrame:
+    """``a, b, shared``: the pairs of ``jaccard_join`` between all records, also those of equal token sets.
+
+    Sets are compared once each; their records are joined on at the end, so the rows are as many as the pairs.
+    """
+    sets = records.select(F.col(key).alias("id"), F.array_sort(tokens).alias("t")).filter(F.size("t") > 0)
+    heads = sets.groupBy("t").agg(F.min("id").alias("head"), F.count("*").alias("n"))
+    members = storage.join_by_size(sets, heads, "t", "n", records.count()).select("head", "id", F.size("t").alias("shared"))
+    a, b = (members.select(F.col("head").alias(side), F.col("id").alias(name)) for side, name in (("a", "p"), ("b", "q")))
+    across = jaccard_join(records, least, tokens, key).join(a, "a").join(b, "b")
+    inside = members.select("head", F.col("id").alias("p"), "shared").join(members.select("head", F.col("id").alias("q")), "head").filter("p < q")
+    return across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared").union(inside.select("p", "q", "shared"))
+
+
+def equal(records: DataFrame, on: str, key: str = "record_id") -> DataFrame:
+    """``a, b``: all pairs of equal values; nulls are equal to nothing."""
+    a, b = (records.select(on, F.col(key).alias(side)) for side in "ab")
+    return a.join(b, on).filter("a < b").select("a", "b")
+
+
 def vector_join(records: DataFrame, least: float, key: str = "record_id", vector: str = "vector", block: int = 2048, other: DataFrame | None = None) -> DataFrame:
     """``a, b, cosine``: all pairs of at least ``least``, exactly, by matrix products of blocks.
 
@@ -134,15 +154,22 @@ def vector_join(records: DataFrame, least: float, key: str = "record_id", vector
     return cells_l.groupBy("i", "j").cogroup(cells_r.groupBy("i2", "j2")).applyInPandas(product, f"a {kind}, b {kind}, cosine double")
 
 
-def complete(records: DataFrame, vectors: DataFrame | None = None, key: str = "record_id") -> DataFrame:
-    """``a, b, cosine`` that cover every pair whose score can reach 0.675: equal, same question, token Jaccard of 0.5 or more, cosine of 0.96 or more.
+def complete(records: DataFrame, vectors: DataFrame | None = None, key: str = "record_id", copies: bool = False) -> DataFrame:
+    """``a, b, cosine``: every pair whose score can reach 0.675: equal, same question, token Jaccard of 0.5 or more, cosine of 0.96 or more.
 
     With ``vectors`` (one row per key) the lexical pairs carry their cosine too, as it can raise their score; 0.96 is
-    the limit of pairs that nothing but their vectors supports.
+    the limit of pairs that nothing but their vectors supports. Records that agree in all that is scored meet the others
+    as one, linked to the first of them by a star; with ``copies`` each of them has all of its pairs.
     """
-    pairs = exact(records, key).union(stars(records.filter("semantic_key IS NOT NULL"), ["semantic_key"], key)).union(expand_equal_sets(jaccard_join(records, key=key), records, key=key)).distinct()
-    pairs = pairs.withColumn("cosine", F.lit(None).cast("double"))
-    return pairs if vectors is None else with_cosine(pairs.unionByName(vector_join(vectors, 0.96, key)), vectors, key)
+    rows = records if vectors is None else records.join(vectors.select(key, "vector"), key, "left")
+    links = None
+    if not copies:
+        same = F.to_json(F.struct(*[c for c in ("front_norm", "back_norm", "vendor", "vector") if c in rows.columns]))
+        links = stars(rows.select(key, same.alias("same")), ["same"], key)
+        rows = rows.join(links.select(F.col("b").alias(key)), key, "left_anti")
+    pairs = equal(rows, "fingerprint", key).union(equal(rows.filter("front_norm <> ''"), "front_norm", key)).union(equal(rows, "semantic_key", key)).union(jaccard_all(rows, key=key).select("a", "b"))
+    pairs = (pairs if links is None else pairs.union(links)).distinct().withColumn("cosine", F.lit(None).cast("double"))
+    return pairs if vectors is None else with_cosine(pairs.unionByName(vector_join(rows.select(key, "vector"), 0.96, key)), vectors, key)
 
 
 def with_cosine(pairs: DataFrame, vectors: DataFrame, key: str = "record_id", vector: str = "vector") -> DataFrame:

@@ -2,8 +2,10 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from cardmill import catalog
-from cardmill.operators import candidates, registry
+from cardmill.operators import candidates, cluster, registry
 from cardmill.plans import audits
 from cardmill.settings import Settings
 
@@ -46,3 +48,26 @@ def test_blocked_pairs_of_a_large_block(spark, tmp_path):
     spark.createDataFrame(rows, "note_id bigint, front_normalized string, back_normalized string, deck_name string, note_type string, scope_json string, indexed_at string").write.parquet(f"{tmp_path}/indexed_notes.parquet")
     got = [(r.a, r.b) for r in catalog.queries()["blocked_pairs"](spark, str(tmp_path)).collect()]
     assert sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
+
+def test_members_of_equal_sets_keep_their_pairs(spark, tmp_path):
+    # 1 and 2 have equal token sets; only 2 is close enough to 3 in trigrams for 0.80. 4 and 5 are copies without tokens, 6 and 7 share a question
+    texts = ["abk cdm efn ghp", "efn cdm abk ghp", "efn cdm abk vqr", "the", "the", "What is DNS?", "Define DNS"]
+    notes = [(i, f.lower(), "same" if i in (4, 5) else f"back {i}", "D", "Basic", None, "2025") for i, f in enumerate(texts, 1)]
+    spark.createDataFrame(notes, "note_id bigint, front_normalized string, back_normalized string, deck_name string, note_type string, scope_json string, indexed_at string").write.parquet(f"{tmp_path}/indexed_notes.parquet")
+    got = {n: catalog.queries()[n](spark, str(tmp_path)).collect() for n in ("jaccard_pairs", "scored_edges", "pair_metrics")}
+    rows = records(spark, [(i, f, b) for i, f, b, *_ in notes])
+    every = rows.select(F.col("record_id").alias("a")).join(rows.select(F.col("record_id").alias("b"))).filter("a < b")
+    scored = {(r.a, r.b): r.score for r in cluster.score_pairs(every, rows, 0.75).collect()}
+    assert {(1, 2), (2, 3), (4, 5), (6, 7)} <= set(scored) and (1, 3) not in scored
+    assert {(r.a, r.b): r.score for r in got["scored_edges"]} == scored and len(got["scored_edges"]) == len(scored)
+    sets = {r.record_id: set(r.content) for r in rows.collect() if r.content}
+    near = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b, r.shared) for r in got["jaccard_pairs"]} == near and (2, 3, 3) in near
+    assert len(got["jaccard_pairs"]) == got["pair_metrics"][0].pairs == len(near)
+
+
+def test_proposals_link_all_members(spark):
+    rows = records(spark, [(1, "abk cdm efn ghp", "x"), (2, "efn cdm abk ghp", "y"), (3, "efn cdm abk vqr", "z")])
+    _, _, found = audits.duplicate_clusters(rows, Settings(cluster_threshold=0.75))
+    assert [r.members for r in found.collect()] == [[1, 2, 3]]
