@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +40,32 @@ def decide(cards: DataFrame, matches: DataFrame, settings: Settings) -> DataFram
     return out.withColumn("status", registry.derive_status(F.col("action"), F.lit(None), bad > 0)).drop("top", "seen")
 
 
-def audit_batch(cards: DataFrame, held: DataFrame, profile: Profile, taxonomy: Taxonomy, settings: Settings, scratch: storage.Scratch, rounds: int = 4) -> DataFrame:
+def settle_votes(scopes: DataFrame, matches: DataFrame, fixed: DataFrame, terms: DataFrame, scratch: storage.Scratch) -> DataFrame:
+    """``q, scope, applied`` once no vote changes a scope: ``fixed`` (r, category, value) and the cards' own facets vote.
+
+    A card matches earlier ones only, so each round settles one more card of every chain at least and the rounds end.
+    """
+    near = matches.filter((F.col("rank") <= similar.NEIGHBOURS) & (F.col("score") >= similar.VOTE_SCORE))  # others never vote
+    applied = scopes.withColumn("applied", F.array().cast("array<string>"))
+    for k in itertools.count():
+        facets = fixed.unionByName(applied.select(F.col("q").alias("r"), F.explode("scope").alias("category", "value")))
+        following = scratch.cut(similar.apply_votes(scopes, similar.facet_vote(near, facets, terms)), f"scopes-{k}")
+        changed = following.select("q", F.to_json("scope").alias("a")).join(applied.select("q", F.to_json("scope").alias("b")), "q").filter("a <> b")
+        done = changed.isEmpty()
+        applied = following
+        if k:
+            scratch.drop(f"scopes-{k - 1}")
+        if done:
+            return applied
+
+
+def audit_batch(cards: DataFrame, held: DataFrame, profile: Profile, taxonomy: Taxonomy, settings: Settings, scratch: storage.Scratch) -> DataFrame:
     """Audit a batch (``record_id, idx, front, back, deck, suggested_tags`` and features) against ``held`` records.
 
     Cards are judged in order: card i sees the pool and its siblings before it, whose facets may come from votes of
     their own. All cards are scored at once (a pair with a later sibling is dropped); votes are repeated until no scope
-    changes, which settles at least one more card of every chain each round. ``rounds`` bounds the repeats; longer
-    chains of siblings without any pool match keep the facets of the last round.
+    changes, which settles at least one more card of every chain each round: a card depends on those before it only,
+    so there are no more rounds than cards in the longest chain, and one to see that nothing changes.
     """
     batch = scratch.cut(classify.classify(cards, profile, taxonomy), "batch")
     siblings = batch.select("record_id", "idx")
@@ -59,15 +80,7 @@ def audit_batch(cards: DataFrame, held: DataFrame, profile: Profile, taxonomy: T
     terms = cards.sparkSession.createDataFrame([(c, v) for c, values in taxonomy.categories.items() for v in values], "category string, value string")
     scopes = batch.select(F.col("record_id").alias("q"), "scope")
     fixed = held.select(F.col("record_id").alias("r"), F.explode("scope").alias("category", "value"))
-    applied = scopes.withColumn("applied", F.array().cast("array<string>"))
-    for k in range(rounds):
-        facets = fixed.unionByName(applied.select(F.col("q").alias("r"), F.explode("scope").alias("category", "value")))
-        following = scratch.cut(similar.apply_votes(scopes, similar.facet_vote(matches, facets, terms)), f"scopes-{k}")
-        changed = following.select("q", F.to_json("scope").alias("a")).join(applied.select("q", F.to_json("scope").alias("b")), "q").filter("a <> b")
-        done = changed.isEmpty()
-        applied = following
-        if done:
-            break
+    applied = settle_votes(scopes, matches, fixed, terms, scratch)
     out = batch.drop("scope").join(applied.withColumnRenamed("q", "record_id"), "record_id")
     out = out.withColumn("tags_resolved", F.array_distinct(F.concat("tags_resolved", "applied"))).drop("applied")
     return decide(out, matches, settings)

@@ -4,8 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from cardmill import catalog
-from cardmill.operators import candidates, cluster, registry
+from cardmill import catalog, storage
+from cardmill.operators import audit, candidates, cluster, registry
 from cardmill.plans import audits
 from cardmill.settings import Settings
 
@@ -71,3 +71,12 @@ def test_proposals_link_all_members(spark):
     rows = records(spark, [(1, "abk cdm efn ghp", "x"), (2, "efn cdm abk ghp", "y"), (3, "efn cdm abk vqr", "z")])
     _, _, found = audits.duplicate_clusters(rows, Settings(cluster_threshold=0.75))
     assert [r.members for r in found.collect()] == [[1, 2, 3]]
+
+
+def test_votes_reach_the_end_of_a_chain(spark):
+    # a card is similar to the two before it only, and the first two have the facet
+    matches = spark.createDataFrame([(f"n{i}", f"n{i - k}", 0.9, k) for i in range(9) for k in (1, 2) if i >= k], "q string, r string, score double, rank int")
+    scopes = spark.createDataFrame([(f"n{i}", {"topic": "storage"} if i < 2 else {}) for i in range(9)], "q string, scope map<string,string>")
+    terms = spark.createDataFrame([("topic", "storage")], "category string, value string")
+    out = audit.settle_votes(scopes, matches, terms.select(F.lit("other").alias("r"), "category", "value"), terms, storage.Scratch(spark, "t"))
+    assert {r.q: r.scope for r in out.collect()} == {f"n{i}": {"topic": "storage"} for i in range(9)}
