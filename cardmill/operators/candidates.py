@@ -35,6 +35,21 @@ def blocked(records: DataFrame, keys: str = "block_keys", key: str = "record_id"
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
+def pairs_within(rows: DataFrame, key: str, value: str, cell: int = CELL) -> DataFrame:
+    """``<key>, p, q`` (p < q): every two values of a key, each value once per key; of keys of any size.
+
+    A key of n rows is cut into cells of about ``cell`` rows and each pair of cells is one join key, so that no task
+    gets a hot key whole. The rows that come out are as many as the pairs.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+    sized = storage.join_by_size(rows.select(key, value), sizes, key, "n", F.lit(rows.count()))
+    each = sized.withColumn("cells", F.ceil(F.col("n") / cell).cast("int")).withColumn("k", F.pmod(F.xxhash64(value), F.col("cells")).cast("int"))
+    left = each.select(key, F.col("k").alias("i"), F.explode(F.sequence("k", F.col("cells") - 1)).alias("j"), F.col(value).alias("p"))
+    right = each.select(key, F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"), F.col(value).alias("q"))
+    met = left.join(right, [key, "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("p") < F.col("q")))
+    return met.select(key, F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+
+
 def block_sizes(records: DataFrame, keys: str = "block_keys", key: str = "record_id") -> DataFrame:
     """``block, n, pairs``: the pairs of each block in closed form, without forming them."""
     rows = records.select(F.explode(keys).alias("block"), F.col(key).alias("id")).distinct()
@@ -89,14 +104,14 @@ def jaccard_all(records: DataFrame, least: float = 0.5, tokens: str = "content",
     members = storage.join_by_size(sets, heads, "t", "n", records.count()).select("head", "id", F.size("t").alias("shared"))
     a, b = (members.select(F.col("head").alias(side), F.col("id").alias(name)) for side, name in (("a", "p"), ("b", "q")))
     across = jaccard_join(records, least, tokens, key).join(a, "a").join(b, "b")
-    inside = members.select("head", F.col("id").alias("p"), "shared").join(members.select("head", F.col("id").alias("q")), "head").filter("p < q")
+    widths = heads.filter("n > 1").select("head", F.size("t").alias("shared"))
+    inside = pairs_within(members.select("head", "id"), "head", "id").join(widths, "head")
     return across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared").union(inside.select("p", "q", "shared"))
 
 
 def equal(records: DataFrame, on: str, key: str = "record_id") -> DataFrame:
     """``a, b``: all pairs of equal values; nulls are equal to nothing."""
-    a, b = (records.select(on, F.col(key).alias(side)) for side in "ab")
-    return a.join(b, on).filter("a < b").select("a", "b")
+    return pairs_within(records.filter(F.col(on).isNotNull()).select(on, key), on, key).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
 
 def vector_join(records: DataFrame, least: float, key: str = "record_id", vector: str = "vector", block: int = 2048, other: DataFrame | None = None) -> DataFrame:
