@@ -4,18 +4,21 @@ Every vertex draws an exponentially distributed head start (cut to a few steps)
 after ``steps`` relaxations each vertex belongs to the centre that reached it first. Clusters become super-vertices,
 the links between clusters the next graph, until no link is left; the assignments are composed from the last level
 down. The level count is logarithmic in the diameter, each level a few joins of fixed form.
+
+Vertices of very many links, of which there are few, get their state by a broadcast, so that their links stay where
+they are and meet in no single task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardmill import storage
 
+#: A vertex is a hub if it has more links than this and than 1/HOT_SHARE of all.
+HUB = 50_000
+
 
 def _start(vertex: Column, level: int, beta: float, steps: int) -> Column:
     """The step at which a vertex starts its own cluster: ``steps`` less its exponential shift; from a hash, so repeatable."""
@@ -23,7 +26,28 @@ def _start(vertex: Column, level: int, beta: float, steps: int) -> Column:
     return F.greatest(F.lit(0), F.lit(steps) - F.floor(-F.log(uniform) / beta)).cast("int")
 
 
-def decompose(links: DataFrame, level: int = 0, beta: float = 0.5, steps: int = 4) -> DataFrame:
+def _hubs(links: DataFrame, total: int, hub: int, scratch: storage.Scratch, name: str) -> DataFrame | None:
+    """``v`` of the hubs of ``links``, fewer than 2 * HOT_SHARE; None if there are none."""
+    limit = max(hub, total // storage.HOT_SHARE)
+    if total <= limit:  # no vertex has more links than there are
+        return None
+    ends = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").count().filter(F.col("count") > limit).select("v")
+    held = scratch.cut(ends, name)
+    return None if held.isEmpty() else F.broadcast(held)
+
+
+def _at(links: DataFrame, by: str, values: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """``links`` with the columns of ``values`` (one row per ``v``) for the vertex in column ``by``."""
+    cold = links.join(values.withColumnRenamed("v", by), by)
+    if hubs is None:
+        return cold
+    named = hubs.withColumnRenamed("v", by)
+    of_hubs = F.broadcast(values.join(hubs, "v", "left_semi").withColumnRenamed("v", by))
+    cold = links.join(named, by, "left_anti").join(values.withColumnRenamed("v", by), by)
+    return cold.unionByName(links.join(of_hubs, by))
+
+
+def decompose(links: DataFrame, level: int = 0, beta: float = 0.25, steps: int = 6, hubs: DataFrame | None = None) -> DataFrame:
     """One decomposition of undirected ``a, b`` links: ``v, c``, the centre of every vertex.
 
     A vertex that a cluster reaches before its own start joins the one that comes first, ties by the smaller centre;
@@ -37,37 +61,16 @@ def decompose(links: DataFrame, level: int = 0, beta: float = 0.5, steps: int =
         if state is None:  # the first relaxation needs no join: every vertex's state follows from its name
             sent = arcs.select(F.col("b").alias("v"), F.struct((_start(F.col("a"), level, beta, steps) + F.col("w")).alias("d"), F.col("a").alias("c")).alias("s"))
         else:
-            sent = arcs.join(state, arcs.a == state.v).select(F.col("b").alias("v"), F.struct((F.col("s.d") + F.col("w")).alias("d"), F.col("s.c").alias("c")).alias("s"))
+            sent = _at(arcs, "a", state, hubs).select(F.col("b").alias("v"), F.struct((F.col("s.d") + F.col("w")).alias("d"), F.col("s.c").alias("c")).alias("s"))
         state = sent.groupBy("v").agg(F.min("s").alias("s"))
     return state.select("v", F.col("s.c").alias("c"))
 
 
-def _solve(links: DataFrame) -> DataFrame:
-    """The recursion's base case: ``v, c`` of a graph of bounded size, by union-find in one task."""
-    kind = links.schema["a"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parent: dict = {}
-
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for frame in frames:
-            for a, b in zip(frame.a.tolist(), frame.b.tolist(), strict=True):
-                parent[find(a)] = find(b)
-        yield pd.DataFrame({"v": list(parent), "c": [find(x) for x in parent]})
-
-    return links.coalesce(1).mapInPandas(run, f"v {kind}, c {kind}")
-
-
-def components(links: DataFrame, scratch: storage.Scratch | None = None, beta: float = 0.5, steps: int = 4, small: int = 20_000, max_levels: int = 100) -> DataFrame:
+def components(links: DataFrame, scratch: storage.Scratch | None = None, beta: float = 0.25, steps: int = 6, hub: int = HUB, max_levels: int = 100) -> DataFrame:
     """``v, root``: for every vertex of ``a, b`` (strings or numbers) the smallest vertex of its component.
 
-    At least one decomposition runs; a contracted graph of at most ``small`` links is solved in one task. Self-links
-    name no vertex, null ends are left out, repeats and order don't matter, no links give no rows.
+    The graph is decomposed and contracted until no link is left, at every size alike. Self-links name no vertex, null
+    ends are left out, repeats and order don't matter, no links give no rows.
     """
     scratch = scratch or storage.Scratch(links.sparkSession, "components")
     pairs = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -77,12 +80,10 @@ def components(links: DataFrame, scratch: storage.Scratch | None = None, beta: f
         left = graph.count()
         if not left:
             break
-        if level and left <= small:
-            maps.append(scratch.cut(_solve(graph), f"map-{level}"))
-            break
-        maps.append(scratch.cut(decompose(graph, level, beta, steps), f"map-{level}"))
-        a, b = maps[-1].select(F.col("v").alias("a"), F.col("c").alias("ca")), maps[-1].select(F.col("v").alias("b"), F.col("c").alias("cb"))
-        moved = graph.join(a, "a").join(b, "b").filter("ca <> cb")
+        hubs = _hubs(graph, left, hub, scratch, f"hubs-{level}")
+        maps.append(scratch.cut(decompose(graph, level, beta, steps, hubs), f"map-{level}"))
+        to = maps[-1]
+        moved = _at(_at(graph, "a", to.withColumnRenamed("c", "ca"), hubs), "b", to.withColumnRenamed("c", "cb"), hubs).filter("ca <> cb")
         graph = scratch.cut(moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), f"links-{level + 1}")
         scratch.drop(f"links-{level}")
     else:
@@ -90,19 +91,26 @@ def components(links: DataFrame, scratch: storage.Scratch | None = None, beta: f
     if not maps:
         return graph.select(F.col("a").alias("v"), F.col("b").alias("root"))
     # down: a centre that is a vertex of the next level takes its answer from there, one that is not is final
-    answer = maps[-1]
+    answer, vertices = maps[-1], maps[-1].count()
     for level in range(len(maps) - 2, -1, -1):
-        answer = scratch.cut(_compose(maps[level], answer, scratch, f"above-{level}"), f"answer-{level}")
-    least = scratch.cut(answer.groupBy("c").agg(F.min("v").alias("root"), F.count("*").alias("n")), "least")
-    return storage.join_by_size(answer, least, "c", "n", F.lit(answer.count())).select("v", "root")
+        vertices = maps[level].count()
+        answer = scratch.cut(_compose(maps[level], answer, vertices, hub, scratch, f"above-{level}"), f"answer-{level}")
+    least = answer.groupBy("c").agg(F.min("v").alias("root"), F.count("*").alias("n"))
+    return _by_centre(answer, least, vertices, hub, scratch, "least").select("v", "root")
+
+
+def _by_centre(rows: DataFrame, centres: DataFrame, total: int, hub: int, scratch: storage.Scratch, name: str) -> DataFrame:
+    """``rows`` (``c`` among others) with what ``centres`` say of each ``c`` and its number of rows ``n``. Where all rows of one centre are still few, by a plain join."""
+    if total <= hub:
+        return rows.join(centres, "c")
+    return storage.join_by_size(rows, scratch.cut(centres, name), "c", "n", F.lit(total))
 
 
-def _compose(lower: DataFrame, upper: DataFrame, scratch: storage.Scratch, name: str) -> DataFrame:
+def _compose(lower: DataFrame, upper: DataFrame, total: int, hub: int, scratch: storage.Scratch, name: str) -> DataFrame:
     """``v, c`` of the lower level with the centre that the upper level gives its centre, if any."""
     sizes = lower.groupBy("c").agg(F.count("*").alias("n"))
     named = sizes.join(upper.select(F.col("v").alias("c"), F.col("c").alias("above")), "c", "left").select("c", "n", F.coalesce("above", "c").alias("above"))
-    named = scratch.cut(named, name)
-    return storage.join_by_size(lower, named, "c", "n", F.lit(lower.count())).select("v", F.col("above").alias("c"))
+    return _by_centre(lower, named, total, hub, scratch, name).select("v", F.col("above").alias("c"))
 
 
 def linked_records(edges: DataFrame, least_score: float = 0.90) -> DataFrame:

@@ -1,10 +1,16 @@
 """New batches against everything accepted before, without going through the history again.
 
-The history is a set of tables in the shared folder: blocking keys of every front seen (``bands``), its sketch and
-text, the links found so far with their weight, the first batch that accepted each front and each fingerprint, and
-the representative of every cluster of fronts. An epoch (one batch or a run of batches) signs only fronts not seen
-before, probes the blocking keys, scores the candidates by learned agreement weights and touches only the clusters
-that new links reach.
+The history is a set of tables under one folder, each in hash buckets of its key: blocking keys of every front with
+its sketch (``bands``), the number and text of every front (``names``, ``texts``), links between fronts with their
+weight, the representative mapping of merged clusters (``parents``, a union-find forest), the first batch that accepted
+each front, each cluster and each fingerprint. ``manifest.json`` names the parts of each table, the epoch and the
+learned weights; it is replaced last, so that an epoch that dies leaves the history as it was, and any later session
+goes on from it.
+
+An epoch takes in one batch or a run of batches. It signs only fronts not seen before, probes the buckets that their
+blocking keys fall into, compares field by field, adds up the learned agreement weights, links what reaches the cutoff,
+and adds to the forest only the clusters that new links join. Whether a card repeats an earlier one is then read from
+the representatives: only a card whose cluster was accepted in an earlier batch is looked at further, by its own links.
 
 A front met again is not compared again: its links are in the table. Batches must be added in time order; within an
 epoch, order is settled by comparing batch ids, which gives the same answer as one epoch per batch.
@@ -12,45 +18,50 @@ epoch, order is settled by comparing batch ids, which gives the same answer as o
 
 from __future__ import annotations
 
+import json
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill import storage
 from cardmill.llm import shingles
-from cardmill.llm.components import components
+from cardmill.operators import cluster
 
-PLAN = shingles.Plan(rows=5, bands=30, words=1)
+PLAN = shingles.Plan(rows=5, bands=30)
 ACCEPTED = ("aprobada", "subida")
-_PARTS = {
-    "texts": "tid bigint, h binary, text string, n_rows bigint",
-    "sketches": "tid bigint, n int, s0 bigint",
-    "bands": "key bigint, tid bigint",
-    "links": "x bigint, y bigint, shared int, united int, weight double",
+#: Rows of a bucket; a part of a table has as many buckets as its rows need.
+BUCKET_ROWS = 1 << 22
+#: Keys up to this number are broadcast to the table that they probe (some 30 MB).
+MOST_KEYS = 500_000
+#: Each table's columns, the first being its key.
+_TABLES = {
+    "names": "h binary, tid bigint",
+    "texts": "tid bigint, text string, n_rows bigint",
+    "bands": "key bigint, tid bigint, n int, sketch binary",
+    "links": "tid bigint, other bigint, weight double",
+    "parents": "tid bigint, parent bigint",
     "accepted": "tid bigint, batch string",
+    "firsts": "tid bigint, batch string",
     "prints": "fingerprint string, batch string",
-    "clusters": "tid bigint, rep bigint, epoch int",
 }
+#: What is compared of two fronts, and the number of values of each: similarity (below .65, .8, .9, above), digits, first word, length.
+FIELDS = {"level": 4, "digits": 2, "opening": 2, "length": 2}
+_LINKED = 2  # the similarity level from which the rule (0.8 or more) holds
 
 
-def learn_weights(patterns: dict[tuple, int], rounds: int = 50) -> dict[tuple, float]:
+def learn_weights(patterns: dict[tuple, int], rounds: int = 50) -> list[list[float]]:
     """Agreement weights by expectation-maximization over counts of comparison patterns (Fellegi and Sunter).
 
-    Fields are taken as independent given match or non-match; a pattern's weight is the log2 ratio of its two
-    probabilities. The number of patterns is fixed by the fields, whatever the number of pairs. No pairs: no weights.
+    Fields are taken as independent given match or non-match; a value's weight is the log2 ratio of its two
+    probabilities. One list per field, one weight per value, also of values not seen.
     """
-    total = sum(patterns.values())
-    if not total:
-        return {}
-    fields = len(next(iter(patterns)))
-    values = [sorted({p[f] for p in patterns}) for f in range(fields)]
-    top = [max(v) for v in values]
+    total, sizes = sum(patterns.values()), list(FIELDS.values())
     # starts from: a match agrees best in each field four times out of five
-    m = [{v: (0.8 if v == top[f] else 0.2 / max(1, len(values[f]) - 1)) for v in values[f]} for f in range(fields)]
-    u = [{v: 1 / len(values[f]) for v in values[f]} for f in range(fields)]
-    share = 0.5
-    for _ in range(rounds):
+    m = [[0.8 if v == n - 1 else 0.2 / (n - 1) for v in range(n)] for n in sizes]
+    u, share = [[1 / n] * n for n in sizes], 0.5
+    for _ in range(rounds if total else 0):
         post = {}
         for p in patterns:
             a, b = share, 1 - share
@@ -59,121 +70,230 @@ def learn_weights(patterns: dict[tuple, int], rounds: int = 50) -> dict[tuple, f
             post[p] = a / (a + b) if a + b > 0 else 0.5
         matched = sum(n * post[p] for p, n in patterns.items())
         share = min(max(matched / total, 1e-6), 1 - 1e-6)
-        for f in range(fields):
-            for v in values[f]:
-                hit = sum(n * post[p] for p, n in patterns.items() if p[f] == v)
-                miss = sum(n * (1 - post[p]) for p, n in patterns.items() if p[f] == v)
-                k = len(values[f])
-                m[f][v], u[f][v] = (hit + 0.5) / (matched + 0.5 * k), (miss + 0.5) / (total - matched + 0.5 * k)
-    return {p: round(sum(math.log2(m[f][v] / u[f][v]) for f, v in enumerate(p)), 4) for p in patterns}
-
-
-def _pattern() -> list[Column]:
-    """What is compared of two fronts: similarity level, their digits, their first word, their length."""
-    digits = lambda c: F.regexp_replace(c, r"\D+", " ")
-    first = lambda c: F.substring_index(c, " ", 1)
-    j = F.col("shared") / F.col("united")
-    return [
-        F.when(j >= 0.9, 2).when(F.col("shared") * 5 >= F.col("united") * 4, 1).otherwise(0).alias("level"),
-        (digits("tx") == digits("ty")).cast("int").alias("digits"),
-        (first("tx") == first("ty")).cast("int").alias("opening"),
-        (F.abs(F.length("tx") - F.length("ty")) <= 2).cast("int").alias("length"),
-    ]
+        for f, n in enumerate(sizes):
+            for v in range(n):
+                hit = sum(c * post[p] for p, c in patterns.items() if p[f] == v)
+                miss = sum(c * (1 - post[p]) for p, c in patterns.items() if p[f] == v)
+                m[f][v], u[f][v] = (hit + 0.5) / (matched + 0.5 * n), (miss + 0.5) / (total - matched + 0.5 * n)
+    return [[round(math.log2(a / b), 4) for a, b in zip(x, y, strict=True)] for x, y in zip(m, u, strict=True)]
+
+
+def calibrated(weights: list[list[float]]) -> tuple[list[list[float]], float]:
+    """(weights, cutoff) with which the sum of a pair's weights reaches the cutoff just if its similarity is 0.8 or more.
+
+    The other fields may outweigh a level by the sum of their spans; if they do, the levels that the rule accepts are
+    raised by what is missing. So the cutoff parts all possible patterns, not only those seen.
+    """
+    level, *others = weights
+    span = sum(max(w) - min(w) for w in others)
+    missing = max(0.0, span + 1.0 - (min(level[_LINKED:]) - max(level[:_LINKED])))
+    level = [w + missing * (v >= _LINKED) for v, w in enumerate(level)]
+    least = min(level[_LINKED:]) + sum(map(min, others))
+    return [level, *others], round(least - 0.5, 4)
+
+
+def agreement(values: dict[str, Column], weights: list[list[float]]) -> Column:
+    """The sum of the weights of the fields' values."""
+    out = F.lit(0.0)
+    for (name, n), own in zip(FIELDS.items(), weights, strict=True):
+        out = out + F.element_at(F.array(*[F.lit(own[v]) for v in range(n)]), values[name] + 1)
+    return out
+
+
+_DIGITS = re.compile(r"\D+")
+
+
+def _compare(a: str, b: str) -> tuple[int, int, int]:
+    return int(_DIGITS.sub(" ", a) == _DIGITS.sub(" ", b)), int(a.partition(" ")[0] == b.partition(" ")[0]), int(abs(len(a) - len(b)) <= 2)
 
 
 class History:
-    """The persisted tables; every epoch adds one part to each."""
+    """The persisted tables under ``path``, as of the last epoch that was completed there."""
+
+    def __init__(self, spark: SparkSession, path: str, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.path, self.bucket_rows = spark, path, bucket_rows
+        self.work = storage.Scratch(spark, "linkage-work")
+        held = storage.read_text(spark, f"{path}/manifest.json")
+        self.state = json.loads(held) if held else {"epoch": 0, "weights": None, "cutoff": None, "tables": {n: [] for n in _TABLES}}
+
+    # tables
+
+    def _buckets(self, rows: int) -> int:
+        return 1 << max(0, math.ceil(rows / self.bucket_rows) - 1).bit_length()
 
-    def __init__(self, spark: SparkSession, scratch: storage.Scratch):
-        self.spark, self.scratch, self.epoch = spark, scratch, 0
-        self.weights: dict[tuple, float] = {}
+    def _write(self, name: str, df: DataFrame, rows: int, folder: str) -> dict:
+        """A part of a table; ``rows`` is about how many it has. One bucket needs no shuffle."""
+        n, key = self._buckets(rows), _TABLES[name].split()[0]
+        if n == 1:
+            df.write.mode("overwrite").parquet(folder)
+        else:
+            df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition(n, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        return {"folder": folder, "rows": rows, "buckets": n}
+
+    def _add(self, name: str, df: DataFrame, rows: int) -> DataFrame:
+        part = self._write(name, df, rows, f"{self.path}/{name}/{self.state['epoch'] + 1}")
+        self.state["tables"][name].append(part)
+        return self._read(name, part)
+
+    def _read(self, name: str, part: dict, only: list[int] | None = None) -> DataFrame:
+        if part["buckets"] == 1:
+            return self.spark.read.schema(_TABLES[name]).parquet(part["folder"])
+        df = self.spark.read.schema(_TABLES[name] + ", bucket int").parquet(part["folder"])
+        return (df if only is None else df.filter(F.col("bucket").isin(only))).drop("bucket")
 
     def table(self, name: str) -> DataFrame:
-        if not self.epoch:
-            return self.spark.createDataFrame([], _PARTS[name])
-        return self.spark.read.schema(_PARTS[name]).parquet(*[self.scratch.path(f"{name}/{k}") for k in range(1, self.epoch + 1)])
+        """All rows of a table."""
+        return self._union(name, [self._read(name, p) for p in self.state["tables"][name]])
+
+    def _union(self, name: str, parts: list[DataFrame]) -> DataFrame:
+        out = None
+        for p in parts:
+            out = p if out is None else out.unionByName(p)
+        return self.spark.createDataFrame([], _TABLES[name]) if out is None else out
+
+    def _probed(self, name: str, part: dict, keys: DataFrame, n_keys: int) -> DataFrame:
+        """The rows of a part in the buckets that ``keys`` (one column, about ``n_keys`` rows) fall into."""
+        n = part["buckets"]
+        if n_keys >= 4 * n:  # nearly all buckets are touched
+            return self._read(name, part)
+        touched = keys.select(F.pmod(F.xxhash64(keys.columns[0]), F.lit(n)).cast("int")).distinct().collect()  # under n_keys numbers
+        return self._read(name, part, [r[0] for r in touched])
+
+    def probe(self, name: str, keys: DataFrame, n_keys: int) -> DataFrame:
+        """The rows of a table whose key is in ``keys``, read from the buckets that these fall into."""
+        key = _TABLES[name].split()[0]
+        keys = keys.toDF(key)
+        wanted = F.broadcast(keys.distinct()) if n_keys <= MOST_KEYS else keys
+        return self._union(name, [self._probed(name, p, keys, n_keys).join(wanted, key, "left_semi") for p in self.state["tables"][name]])
+
+    def find(self, rows: DataFrame, n_rows: int) -> DataFrame:
+        """``rows`` with ``rep``, the representative of the cluster of their ``tid``.
 
-    def _add(self, name: str, df: DataFrame, epoch: int) -> DataFrame:
-        return self.scratch.cut(df, f"{name}/{epoch}")
+        A part of the forest maps the representatives of its time to those that came to stand for them, in one step.
+        """
+        out = rows.withColumn("rep", F.col("tid"))
+        for part in self.state["tables"]["parents"]:
+            held = self._probed("parents", part, out.select("rep"), n_rows).toDF("rep", "above")
+            out = out.join(held, "rep", "left").withColumn("rep", F.coalesce("above", "rep")).drop("above")
+        return out
 
-    def clusters(self) -> DataFrame:
-        """``tid, rep`` as of now: later epochs write only what they change."""
-        return self.table("clusters").groupBy("tid").agg(F.max_by("rep", "epoch").alias("rep"))
+    def _commit(self) -> None:
+        """Merge parts that aren't half as large as the one before (their number stays logarithmic), then replace the manifest."""
+        self.state["epoch"] += 1
+        old = []
+        for name, parts in self.state["tables"].items():
+            while len(parts) > 1 and parts[-2]["rows"] <= 2 * parts[-1]["rows"]:
+                b, a = parts.pop(), parts.pop()
+                x, y = self._read(name, a), self._read(name, b)
+                if name == "parents":
+                    x = x.join(y.toDF("parent", "above"), "parent", "left").select("tid", F.coalesce("above", "parent").alias("parent"))
+                merged = x.unionByName(y)
+                if name in ("accepted", "firsts", "prints"):
+                    merged = merged.groupBy(merged.columns[0]).agg(F.min("batch").alias("batch"))
+                parts.append(self._write(name, merged, a["rows"] + b["rows"], f"{self.path}/{name}/{self.state['epoch']}-merged-{len(parts)}"))
+                old += [a["folder"], b["folder"]]
+        storage.write_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.state))
+        for folder in old:
+            storage.delete(self.spark, folder)
+
+    # an epoch
 
     def process(self, cards: DataFrame) -> DataFrame:
         """Take in the cards of one or more batches (``id, batch, status, fingerprint, front``); gives the ids that repeat earlier ones."""
-        epoch = self.epoch + 1
+        epoch, work = self.state["epoch"] + 1, self.work
         cards = cards.withColumn("h", F.when(F.length("front") >= 3, F.unhex(F.md5("front"))))
-        fronts = cards.filter("h IS NOT NULL").groupBy("h").agg(F.min("front").alias("text"), F.count("*").alias("n_rows"), F.min(F.when(F.col("status").isin(*ACCEPTED), F.col("batch"))).alias("accepted"))
-        old_texts = self.table("texts")
-        named = fronts.join(old_texts.select("h", F.col("tid").alias("known")), "h", "left") if self.epoch else fronts.withColumn("known", F.lit(None).cast("bigint"))
+        total = cards.count()
+        ok = F.when(F.col("status").isin(*ACCEPTED), F.col("batch"))
+        fronts = cards.filter("h IS NOT NULL").groupBy("h").agg(F.min("front").alias("text"), F.count("*").alias("n_rows"), F.min(ok).alias("accepted"), F.max("batch").alias("last"))
+        if self.state["tables"]["names"]:
+            named = fronts.join(self.probe("names", fronts.select("h"), total).withColumnRenamed("tid", "known"), "h", "left")
+        else:
+            named = fronts.withColumn("known", F.lit(None).cast("bigint"))
         named = named.withColumn("tid", F.coalesce("known", F.monotonically_increasing_id() + (epoch << 50)))
-        named = self._add("named", named, epoch)  # written, so that the ids stay
-        new = self._add("texts", named.filter("known IS NULL").select("tid", "h", "text", "n_rows"), epoch)
-        signed = self._add("signed", shingles.with_signatures(new, PLAN), epoch)
-        self._add("sketches", signed.select("tid", "n", "s0"), epoch)
-        fresh = shingles.block_rows(signed, PLAN)
-        if self.epoch:
-            keys = fresh.select("key").distinct()
-            probed = self.table("bands").join(keys, "key", "left_semi").join(self.table("sketches"), "tid").select("key", "tid", "n", "s0")
-            rows = fresh.withColumn("fresh", F.lit(True)).unionByName(probed.withColumn("fresh", F.lit(False)))
-            pairs = shingles.candidates(rows, PLAN, self.scratch, f"hot/{epoch}", across=True)
-            texts = old_texts.select("tid", "text").unionByName(new.select("tid", "text"))
+        named = work.cut(named, f"named-{epoch}")  # written, so that the ids stay
+        fresh = named.filter("known IS NULL")
+        n_new = fresh.count()
+        self._add("names", fresh.select("h", "tid"), n_new)
+        new = self._add("texts", fresh.select("tid", "text", "n_rows"), n_new)
+        links = self._link(new, n_new, epoch)
+        self._add("accepted", named.filter("accepted IS NOT NULL").select("tid", F.col("accepted").alias("batch")), total)
+        self._add("prints", cards.filter("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min(ok).alias("batch")).filter("batch IS NOT NULL"), total)
+        self._merge_clusters(links, n_new, epoch)
+        found = work.cut(self._found(cards, named, total, epoch), f"found-{epoch}")
+        self._commit()
+        work.drop(*[f"{n}-{epoch}" for n in ("named", "mine", "size", "suspects", "arcs", "first", "print")])
+        return found
+
+    def _link(self, new: DataFrame, n_new: int, epoch: int) -> DataFrame:
+        """The links of the new fronts, in both directions, with their weights; the weights are learned from the first epoch that has pairs."""
+        work = self.work
+        signed = work.cut(shingles.with_signatures(new, PLAN), f"signed-{epoch}")
+        rows = shingles.block_rows(signed)
+        before = bool(self.state["tables"]["bands"])
+        if before:
+            n_keys = n_new * PLAN.bands
+            probed = self.probe("bands", rows.select("key"), n_keys)
+            both = rows.withColumn("fresh", F.lit(True)).unionByName(probed.withColumn("fresh", F.lit(False)))
+            pairs = work.cut(shingles.candidates(both, work, f"hot-{epoch}", across=True), f"pairs-{epoch}")
+            ends = pairs.select(F.explode(F.array("x", "y")).alias("tid")).filter(F.col("tid") < (epoch << 50)).distinct()
+            texts = self.probe("texts", ends, 2 * pairs.count()).select("tid", "text")
+            # what is new was added to the table already; old ends are those with smaller numbers
+            texts = texts.filter(F.col("tid") < (epoch << 50)).unionByName(new.select("tid", "text"))
         else:
-            pairs, texts = shingles.candidates(fresh, PLAN, self.scratch, f"hot/{epoch}"), new
-        links = self._score(pairs, texts, epoch)
-        self._add("bands", fresh.select("key", "tid"), epoch)
-        self._add("accepted", named.filter("accepted IS NOT NULL").select("tid", F.col("accepted").alias("batch")), epoch)
-        prints = cards.filter(F.col("fingerprint").isNotNull() & F.col("status").isin(*ACCEPTED)).groupBy("fingerprint").agg(F.min("batch").alias("batch"))
-        self._add("prints", prints, epoch)
-        self._add("clusters", self._changed_clusters(new, links, epoch), epoch)
-        self.scratch.drop(f"signed/{epoch}")
-        self.epoch = epoch
-        return self._found(cards, named, epoch)
-
-    def _score(self, pairs: DataFrame, texts: DataFrame, epoch: int) -> DataFrame:
-        """Links of similarity 0.8 or more, each with its agreement weight; weights are learned from the first epoch that has pairs."""
-        compared = shingles.similar(pairs, texts.select("tid", "text"), least=(1, 2))
-        a, b = texts.select(F.col("tid").alias("x"), F.col("text").alias("tx")), texts.select(F.col("tid").alias("y"), F.col("text").alias("ty"))
-        compared = self._add("compared", compared.join(a, "x").join(b, "y").select("x", "y", "shared", "united", *_pattern()), epoch)
-        fields = ["level", "digits", "opening", "length"]
-        if not self.weights:
-            self.weights = learn_weights({tuple(r[f] for f in fields): r["count"] for r in compared.groupBy(*fields).count().collect()})
-        weight = F.lit(0.0)
-        for pattern, w in self.weights.items():
-            same = F.lit(True)
-            for f, v in zip(fields, pattern, strict=True):
-                same = same & (F.col(f) == v)
-            weight = F.when(same, F.lit(w)).otherwise(weight)
-        links = self._add("links", compared.filter("shared * 5 >= united * 4").select("x", "y", "shared", "united", weight.alias("weight")), epoch)
-        self.scratch.drop(f"compared/{epoch}")
+            pairs, texts = shingles.candidates(rows, work, f"hot-{epoch}"), new.select("tid", "text")
+        self._add("bands", rows.select("key", "tid", "n", "sketch"), n_new * PLAN.bands)
+        compared = shingles.compare(pairs, texts, (1, 2), _compare, "digits int, opening int, length int")
+        level = F.when(F.col("shared") * 10 >= F.col("united") * 9, 3).when(F.col("shared") * 5 >= F.col("united") * 4, _LINKED).when(F.col("shared") * 20 >= F.col("united") * 13, 1).otherwise(0)
+        compared = work.cut(compared.select("x", "y", level.alias("level"), "digits", "opening", "length"), f"compared-{epoch}")
+        if self.state["weights"] is None:
+            patterns = {tuple(r[f] for f in FIELDS): r["count"] for r in compared.groupBy(*FIELDS).count().collect()}  # at most as many as there are patterns
+            if patterns:
+                self.state["weights"], self.state["cutoff"] = calibrated(learn_weights(patterns))
+        weights, cutoff = (self.state["weights"], self.state["cutoff"]) if self.state["weights"] else calibrated(learn_weights({}))
+        linked = compared.withColumn("weight", agreement({f: F.col(f) for f in FIELDS}, weights)).filter(F.col("weight") >= cutoff)
+        ends = F.explode(F.array(F.struct(F.col("x").alias("tid"), F.col("y").alias("other")), F.struct(F.col("y").alias("tid"), F.col("x").alias("other")))).alias("e")
+        links = self._add("links", linked.select("weight", ends).select("e.tid", "e.other", "weight"), 2 * n_new)
+        work.drop(f"signed-{epoch}", f"compared-{epoch}", f"pairs-{epoch}", f"hot-{epoch}")
         return links
 
-    def _changed_clusters(self, new: DataFrame, links: DataFrame, epoch: int) -> DataFrame:
-        """Rows to add to ``clusters``: new fronts, and the members of old clusters that new links join to another."""
-        own = new.select("tid", F.col("tid").alias("rep"))
-        now = self.clusters().unionByName(own) if self.epoch else own
-        a, b = now.select(F.col("tid").alias("x"), F.col("rep").alias("a")), now.select(F.col("tid").alias("y"), F.col("rep").alias("b"))
-        roots = components(links.join(a, "x").join(b, "y").select("a", "b"), storage.Scratch(self.spark, "linkage-clusters"))
-        moved = now.join(roots.filter("v <> root").select(F.col("v").alias("rep"), "root"), "rep").select("tid", F.col("root").alias("rep"))
-        still = own.join(moved.select("tid"), "tid", "left_anti")
-        return moved.unionByName(still).withColumn("epoch", F.lit(epoch))
-
-    def _found(self, cards: DataFrame, named: DataFrame, epoch: int) -> DataFrame:
-        accepted = self.table("accepted").groupBy("tid").agg(F.min("batch").alias("batch"))
-        mine = named.select("tid", "h", "n_rows")
-        links = self.table("links").select("x", "y")
-        arcs = links.select(F.col("x").alias("tid"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("tid"), F.col("x").alias("other")))
-        near = arcs.join(accepted.select(F.col("tid").alias("other"), "batch"), "other").select("tid", "batch").unionByName(accepted)
-        first = near.groupBy("tid").agg(F.min("batch").alias("first"))
-        # written, as the join below refers to it several times
-        per_front = self._add("first", mine.join(first, "tid").select("h", "n_rows", "first"), epoch)
-        total = F.lit(cards.count())
-        by_front = storage.join_by_size(cards.filter("h IS NOT NULL").select("id", "batch", "h"), per_front, "h", "n_rows", total).filter("first < batch").select("id")
-        prints = self.table("prints").groupBy("fingerprint").agg(F.min("batch").alias("first"))
+    def _merge_clusters(self, links: DataFrame, n_new: int, epoch: int) -> None:
+        """Union by representatives: one row for each cluster that new links make part of another; nothing else is touched."""
+        edges = links.filter("tid < other").select("tid", "other")
+        if self.state["tables"]["parents"]:
+            a = self.find(edges, 2 * n_new).select(F.col("rep").alias("a"), F.col("other").alias("tid"))
+            edges = self.find(a, 2 * n_new).select("a", F.col("rep").alias("b")).filter("a <> b")
+        else:
+            edges = edges.toDF("a", "b")
+        roots = cluster.components(edges, storage.Scratch(self.spark, "linkage-clusters"))
+        self._add("parents", roots.filter("id <> root").select(F.col("id").alias("tid"), F.col("root").alias("parent")), n_new)
+
+    def _found(self, cards: DataFrame, named: DataFrame, total: int, epoch: int) -> DataFrame:
+        work = self.work
+        mine = work.cut(self.find(named.select("tid", "h", "n_rows", "accepted", "last"), total), f"mine-{epoch}")
+        # the first batch that accepted anything of a cluster: what came in now, and what clusters bring along that were merged
+        now = mine.filter("accepted IS NOT NULL").select(F.col("rep").alias("tid"), F.col("accepted").alias("batch"))
+        if self.state["tables"]["firsts"]:
+            moved = self._read("parents", self.state["tables"]["parents"][-1])
+            brought = self.probe("firsts", moved.select("tid"), moved.count())
+            now = now.unionByName(brought.join(moved, "tid").select(F.col("parent").alias("tid"), "batch"))
+        self._add("firsts", now.groupBy("tid").agg(F.min("batch").alias("batch")), total)
+        reps = mine.select("rep").distinct()
+        first = self.probe("firsts", reps, total).groupBy(F.col("tid").alias("rep")).agg(F.min("batch").alias("first"))
+        size = mine.groupBy("rep").agg(F.count("*").alias("n")).join(first, "rep")
+        suspects = storage.join_by_size(mine, work.cut(size, f"size-{epoch}"), "rep", "n", F.lit(total)).filter("first < last").select("tid", "h", "n_rows")
+        suspects = work.cut(suspects, f"suspects-{epoch}")
+        # of these, the exact check: the card's own front, or one directly linked to it, was accepted earlier
+        arcs = self.probe("links", suspects.select("tid"), total).select("tid", "other")
+        arcs = work.cut(arcs.unionByName(suspects.select("tid", F.col("tid").alias("other"))), f"arcs-{epoch}")
+        accepted = self.probe("accepted", arcs.select("other"), arcs.count())
+        near = arcs.join(accepted.toDF("other", "batch"), "other").groupBy("tid").agg(F.min("batch").alias("first"))
+        per_front = work.cut(suspects.join(near, "tid").select("h", "n_rows", "first"), f"first-{epoch}")
+        by_front = storage.join_by_size(cards.filter("h IS NOT NULL").select("id", "batch", "h"), per_front, "h", "n_rows", F.lit(total)).filter("first < batch").select("id")
+        # a shared fingerprint is agreement of its own
         sizes = cards.filter("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.count("*").alias("n"))
-        per_print = self._add("first-print", sizes.join(prints, "fingerprint"), epoch)
-        by_print = storage.join_by_size(cards.filter("fingerprint IS NOT NULL").select("id", "batch", "fingerprint"), per_print, "fingerprint", "n", total).filter("first < batch").select("id")
+        prints = self.probe("prints", sizes.select("fingerprint"), total).groupBy("fingerprint").agg(F.min("batch").alias("first"))
+        per_print = work.cut(sizes.join(prints, "fingerprint"), f"print-{epoch}")
+        by_print = storage.join_by_size(cards.filter("fingerprint IS NOT NULL").select("id", "batch", "fingerprint"), per_print, "fingerprint", "n", F.lit(total)).filter("first < batch").select("id")
         return by_front.unionByName(by_print).distinct()
 
 
@@ -184,13 +304,16 @@ def _batched(cards: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min(kept).alias("c")).select("id", "c.*")
 
 
-def run(cards: DataFrame) -> tuple[History, DataFrame]:
-    """All batches but the newest as one epoch, then the newest against the persisted tables; gives the ids found in both."""
+def run(cards: DataFrame, path: str | None = None) -> tuple[History, DataFrame]:
+    """All batches but the newest as one epoch, then the newest against the persisted tables; gives the ids found in both.
+
+    ``path``: a folder for a history that is to stay; without one it goes with the session.
+    """
     spark = cards.sparkSession
     scratch = storage.Scratch(spark, "linkage")
     rows = scratch.cut(_batched(cards), "cards")
     newest = rows.agg(F.max("batch")).first()[0]
-    history = History(spark, scratch)
+    history = History(spark, path or scratch.path("history"))
     found = history.process(rows.filter(F.col("batch") != newest))
     return history, found.unionByName(history.process(rows.filter(F.col("batch") == newest)))
 
@@ -204,7 +327,8 @@ def front_clusters(cards: DataFrame) -> DataFrame:
     """``front, cluster_front, n_cards``: every front with the representative of its cluster."""
     history, _ = run(cards)
     texts = history.table("texts")
-    reps = texts.select(F.col("tid").alias("rep"), F.col("text").alias("cluster_front"))
-    per = history.clusters().groupBy("rep").agg(F.count("*").alias("n")).join(reps, "rep")
-    named = storage.join_by_size(history.clusters(), per, "rep", "n", F.lit(texts.count()))
-    return named.join(texts, "tid").select(F.col("text").alias("front"), "cluster_front", F.col("n_rows").alias("n_cards"))
+    n = texts.count()
+    mine = history.work.cut(history.find(texts, n), "members")
+    per = mine.groupBy("rep").agg(F.count("*").alias("n")).join(texts.select(F.col("tid").alias("rep"), F.col("text").alias("cluster_front")), "rep")
+    named = storage.join_by_size(mine, history.work.cut(per, "per"), "rep", "n", F.lit(n))
+    return named.select(F.col("text").alias("front"), "cluster_front", F.col("n_rows").alias("n_cards"))

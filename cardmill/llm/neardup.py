@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from cardmill import storage
 from cardmill.llm import shingles
 from cardmill.llm.components import components
+from cardmill.operators.candidates import pairs_within
 
-PLAN = shingles.Plan(rows=6, bands=40, words=2)
+PLAN = shingles.Plan(rows=6, bands=40)
 
 
 def note_texts(notes: DataFrame) -> DataFrame:
@@ -25,8 +26,8 @@ def _linked(notes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = scratch.cut(note_texts(notes), "rows")
     texts = shingles.numbered(rows, scratch, "texts")
     signed = scratch.cut(shingles.with_signatures(texts, PLAN), "signed")
-    pairs = shingles.candidates(shingles.block_rows(signed, PLAN), PLAN, scratch)
-    links = scratch.cut(shingles.similar(pairs, texts).select("x", "y"), "links")
+    pairs = shingles.candidates(shingles.block_rows(signed), scratch)
+    links = scratch.cut(shingles.compare(pairs, texts).select("x", "y"), "links")
     scratch.drop("signed")
     named = rows.select("note_id", F.unhex(F.md5("text")).alias("h"))
     members = scratch.cut(storage.join_by_size(named, texts.select("h", "tid", "n_rows"), "h", "n_rows", F.lit(rows.count())).select("note_id", "tid"), "members")
@@ -43,7 +44,7 @@ def near_pairs(notes: DataFrame) -> DataFrame:
     x, y = members.select(F.col("note_id").alias("p"), F.col("tid").alias("x")), members.select(F.col("note_id").alias("q"), F.col("tid").alias("y"))
     different = links.join(x, "x").join(y, "y").select("p", "q")
     several = members.join(texts.filter("n_rows > 1").select("tid"), "tid", "left_semi")
-    same = several.alias("a").join(several.alias("b"), "tid").filter("a.note_id < b.note_id").select(F.col("a.note_id").alias("p"), F.col("b.note_id").alias("q"))
+    same = pairs_within(several, "tid", "note_id").select("p", "q")
     return different.unionByName(same).select(F.least("p", "q").alias("note_id_a"), F.greatest("p", "q").alias("note_id_b"))
 
 

@@ -21,15 +21,24 @@ def brute(links):
     return {(x, find(x)) for x in list(parent)}
 
 
-@pytest.mark.parametrize("small", [0, 5000])
-def test_against_union_find(spark, small):
+@pytest.mark.parametrize("hub", [20, components.HUB])
+def test_against_union_find(spark, hub):
     rng = random.Random(3)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]  # many components
     links += [(1000 + i, 1001 + i) for i in range(120)]  # a chain
     links += [(5000, 5001 + i) for i in range(300)]  # a star
     links += [(b, a) for a, b in links[:50]] + [(7, 7), (9999, 9999)]
     df = spark.createDataFrame(links, "a bigint, b bigint")
-    assert pairs(components.components(df, small=small)) == brute(links)
+    assert pairs(components.components(df, hub=hub)) == brute(links)
+
+
+def test_the_recursion_runs_to_the_end(spark, monkeypatch):
+    levels = []
+    whole = components.decompose
+    monkeypatch.setattr(components, "decompose", lambda links, level, *a: levels.append(level) or whole(links, level, *a))
+    links = [(i, i + 1) for i in range(200)]
+    assert pairs(components.components(spark.createDataFrame(links, "a bigint, b bigint"))) == {(i, 0) for i in range(201)}
+    assert levels == list(range(len(levels))) and len(levels) >= 3
 
 
 def test_nothing(spark):
@@ -62,4 +71,4 @@ def test_one_decomposition_contracts_connected_parts(spark):
     got = {r.v: r.c for r in components.decompose(df).collect()}
     assert set(got) == set(range(61)) and len(set(got.values())) < 61
     for v, c in got.items():  # on a path a cluster is an interval around its centre
-        assert all(got[x] == c for x in range(min(v, c), max(v, c) + 1)) and abs(v - c) <= 4
+        assert all(got[x] == c for x in range(min(v, c), max(v, c) + 1)) and abs(v - c) <= 6

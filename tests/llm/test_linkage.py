@@ -1,5 +1,8 @@
+import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from cardmill import storage
 from cardmill.llm import linkage
 from tests.llm.helpers import cards, pairs
@@ -37,15 +40,19 @@ def test_against_all_pairs(spark):
     assert pairs(linkage.repeated_cards(cards(spark, rows))) == brute(rows)
 
 
-def test_batch_by_batch_gives_the_same(spark):
-    rows = fixture(2, 120)
+def test_batch_by_batch_in_sessions_of_their_own(spark):
+    """Every batch by a new object that knows the folder only; buckets and merged parts as in a long history."""
+    rows = fixture(2, 90)
     df = linkage._batched(cards(spark, rows)).cache()
-    history = linkage.History(spark, storage.Scratch(spark, "t"))
-    got = set()
+    path, got = storage.Scratch(spark, "t").path("history"), set()
     for b in sorted({m["ingest_batch"] for *_, m in rows}):
+        history = linkage.History(spark, path, bucket_rows=200)
         got |= pairs(history.process(df.filter(df.batch == b)))
     assert got == brute(rows)
-    # the clusters are the components of all links
+    history = linkage.History(spark, path)
+    assert history.state["epoch"] == 9 and all(len(p) <= 6 for p in history.state["tables"].values())
+    assert max(p["buckets"] for p in history.state["tables"]["bands"]) > 4
+    # the representatives are the components of all links
     parent = {}
 
     def find(x):
@@ -54,15 +61,35 @@ def test_batch_by_batch_gives_the_same(spark):
         return x
 
     for r in history.table("links").collect():
-        a, b = sorted((find(r.x), find(r.y)))
+        a, b = sorted((find(r.tid), find(r.other)))
         parent[b] = a
-    reps = {r.tid: r.rep for r in history.clusters().collect()}
+    reps = {r.tid: r.rep for r in history.find(history.table("texts"), 100).collect()}
     assert len(reps) == history.table("texts").count()
     for x in list(parent):
         assert reps[x] == reps[find(x)]
     assert len({reps[x] for x in reps}) == len({find(x) for x in reps})
 
 
+def test_a_batch_reads_its_own_buckets(spark):
+    rows = [(f"{i:04}", f, "b", {"front_normalized": f}) for i in range(60) for f in [f"card number {i * 7919} about {WORDS[i % len(WORDS)]}"]]
+    history = linkage.History(spark, storage.Scratch(spark, "t").path("h"), bucket_rows=8)
+    history.process(linkage._batched(cards(spark, rows)))
+    part = history.state["tables"]["bands"][0]
+    read = lambda df: {r[0] for r in df.select(F.input_file_name()).distinct().collect()}
+    keys = history.table("bands").select("key").limit(2)
+    assert part["buckets"] >= 200 and len(read(history._probed("bands", part, keys, 2))) <= 2 < len(read(history.table("bands")))
+    assert history.probe("bands", keys, 2).count() >= 2
+
+
+def test_the_weights_decide(spark):
+    rows = fixture(4, 120)
+    df = linkage._batched(cards(spark, rows)).cache()
+    history = linkage.History(spark, storage.Scratch(spark, "t").path("h"))
+    history.state["weights"], history.state["cutoff"] = [[0.0] * n for n in linkage.FIELDS.values()], 1.0  # nothing reaches the cutoff
+    fewer = pairs(history.process(df))
+    assert fewer < brute(rows) and not history.table("links").count() and not history.table("parents").count()
+
+
 def test_nulls_ties_empty(spark):
     m = lambda **k: {"ingest_batch": "b2", "fingerprint": None} | k
     rows = [
@@ -87,11 +114,14 @@ def test_hot_front(spark):
     assert len(pairs(linkage.repeated_cards(cards(spark, rows)))) == sum(i % 7 > 0 for i in range(1500))
 
 
-def test_weights_tell_matches_apart():
-    counts = {(2, 1): 500, (1, 1): 120, (1, 0): 30, (0, 0): 900, (0, 1): 60}
-    w = linkage.learn_weights(counts)
-    assert w[2, 1] > w[1, 1] > w[0, 0] and w[2, 1] > 0 > w[0, 0]
-    assert linkage.learn_weights({}) == {}
+def test_weights_tell_matches_apart_and_keep_the_rule():
+    counts = {(3, 1, 1, 1): 500, (2, 1, 1, 0): 120, (2, 0, 1, 1): 30, (0, 0, 0, 0): 900, (0, 1, 0, 1): 60, (1, 1, 1, 1): 40}
+    raw = linkage.learn_weights(counts)
+    assert raw[0][3] > 0 > raw[0][0] and raw[1][1] > raw[1][0] and raw[2][1] > raw[2][0]
+    for given in (counts, {}, {(0, 0, 0, 0): 3}, {(3, 0, 0, 0): 1, (0, 1, 1, 1): 100}):
+        weights, cutoff = linkage.calibrated(linkage.learn_weights(given))
+        for p in itertools.product(*map(range, linkage.FIELDS.values())):
+            assert (sum(w[v] for w, v in zip(weights, p, strict=True)) >= cutoff) == (p[0] >= 2)
 
 
 def test_front_clusters(spark):

@@ -76,36 +76,54 @@ def test_large_blocks_are_cut_without_loss(spark, monkeypatch, limit):
     assert pairs(neardup.near_pairs(notes(spark, rows))) == brute(rows)
 
 
-def test_long_runs_in_tiles():
-    """Runs of equal keys: by offset and by tile give what all pairs give."""
+def test_blocks_in_tiles():
+    """Blocks of every size, compared in tiles of sketches of different widths, give what all their pairs give."""
     rng = np.random.default_rng(1)
-    n = np.sort(rng.integers(50, 120, 2600)).astype(np.int32)
-    sketch = [rng.integers(0, 1 << 63, len(n), np.uint64) & rng.integers(0, 1 << 63, len(n), np.uint64) for _ in range(2)]
-    for s in sketch:
-        s[1::2] = s[::2]  # half of them alike
-    key = np.r_[np.zeros(2500, int), np.ones(40, int), np.arange(2, 62)]
+    lengths = [1, 2, 1, 3, 4, 7, 40, 65, 64, 1, 700, 2, 1]
+    key = np.repeat(np.arange(len(lengths)), lengths)
+    sets = [np.unique(rng.integers(0, 1 << 60, int(rng.integers(1, 500)))) for _ in range(40)]
+    mine = []
+    for _ in key:
+        s = sets[rng.integers(len(sets))]
+        mine.append(np.unique(np.r_[s[rng.random(len(s)) < 0.97], rng.integers(0, 1 << 60, int(rng.integers(1, 4)))]))
+    n = np.array([len(s) for s in mine], np.int32)
     order = np.lexsort((n, key))
-    key, n, sketch = key[order], n[order], [s[order] for s in sketch]
+    key, n, mine = key[order], n[order], [mine[i] for i in order]
+    raw = shingles.sketches(mine)
+    words, flat = np.array([len(x) // 8 for x in raw]), np.frombuffer(b"".join(raw), np.uint64)
+    assert len(set(words.tolist())) > 3
     part = np.zeros(len(key), np.int8)
-    got = {(int(a), int(b)) for i, j in shingles._run_pairs(key, part, n, sketch) for a, b in zip(i, j, strict=True)}
-    want = set()
+    part[key == 6] = np.arange(40) % 2 + 1
+    found = [(int(a), int(b)) for i, j in shingles.block_pairs(key, part, n, words, flat) for a, b in zip(i, j, strict=True)]
+    assert len(found) == len(set(found))
+    must, may = set(), set()
     for i in range(len(key)):
-        j = np.arange(i + 1, len(key))
-        j = j[key[i + 1 :] == key[i]]
-        differ = sum(np.bitwise_count(s[i] ^ s[j]).astype(int) for s in sketch)
-        ok = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (9 * differ <= n[i] + n[j])
-        want |= {(i, int(x)) for x in j[ok]}
-    assert got == want
+        for j in range(i + 1, len(key)):
+            if key[i] == key[j] and (part[i] != part[j] or part[i] == 0):
+                shared = len(np.intersect1d(mine[i], mine[j]))
+                if 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]):
+                    may.add((i, j))
+                if 5 * shared >= 4 * (n[i] + n[j] - shared):
+                    must.add((i, j))
+    assert must <= set(found) <= may and len(must) > 1000 and len(found) < 1.1 * len(must) + 200
+
+
+def test_tiles_beyond_the_radius_are_skipped():
+    n = np.sort(np.random.default_rng(2).integers(10, 1000, 640))
+    first = np.arange(0, 640, 64)
+    met = [(a, b) for i, j in shingles._tile_pairs(first, first + 64, np.zeros(10, int), n) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    near = {(a, b) for a in range(10) for b in range(a, 10) if 4 * n[64 * b] <= 5 * n[64 * a + 63]}
+    assert set(met) == near and len(met) == len(near) < 55
 
 
 def test_sketches_never_exceed_the_sets_difference():
     rng = random.Random(8)
-    plan = shingles.Plan()
-    for _ in range(100):
-        a = " ".join(rng.choices(WORDS, k=30))
-        b = edited(rng, a)
+    for _ in range(200):
+        a = " ".join(rng.choices(WORDS, k=rng.choice([2, 8, 30, 200])))
+        b = edited(rng, a) + "z" * rng.choice([0, 1, 60])
         s, t = shingles.trigrams(a), shingles.trigrams(b)
-        _, sketch = shingles.signatures([s, t], plan)
-        bits = sketch.view(np.uint64)
-        assert sum(int(np.bitwise_count(bits[0, w] ^ bits[1, w])) for w in range(plan.words)) <= len(np.setxor1d(s, t))
         assert len(s) == len(tri(a))
+        raw = shingles.sketches([s, t])
+        words, flat = np.array([len(x) // 8 for x in raw]), np.frombuffer(b"".join(raw), np.uint64)
+        held = shingles.Sketches(words, flat).at[int(words.min())]
+        assert sum(int(np.bitwise_count(x ^ y)) for x, y in zip(held[0], held[1], strict=True)) <= len(np.setxor1d(s, t))
