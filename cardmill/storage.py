@@ -20,12 +20,14 @@ HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine only where the session names none (tests, local use)."""
+    """The cluster's shared folder; a folder of this machine only where the session names none and runs on this machine alone."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cardmill-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -111,3 +113,29 @@ def join_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     hot = F.broadcast(groups.filter(is_hot))
     cold_rows = rows.join(F.broadcast(groups.filter(is_hot).select(key)), key, "left_anti")
     return rows.join(hot, key).unionByName(cold_rows.join(groups.filter(~is_hot), key))
+
+
+#: A key of fewer rows is never treated as hot, whatever its share.
+HUB = 50_000
+
+
+def hot_keys(rows: DataFrame, columns: list[str], total: int, scratch: Scratch, name: str, least: int = HUB) -> DataFrame | None:
+    """``v``: the values of ``columns`` (of one kind) that hold more than ``least`` rows and 1/HOT_SHARE of all; None if none does.
+
+    At most HOT_SHARE of them in each column, so they may be broadcast.
+    """
+    limit = max(least, total // HOT_SHARE)
+    if total <= limit:  # no value has more rows than there are
+        return None
+    counted = rows.select(F.explode(F.array(*columns)).alias("v")).groupBy("v").count()
+    held = scratch.cut(counted.filter(F.col("count") > limit).select("v"), name)
+    return None if held.isEmpty() else F.broadcast(held)
+
+
+def join_at(rows: DataFrame, by: str, values: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``rows`` with the columns of ``values`` (one row per ``v``) for the value in column ``by``: hot ones by a broadcast, so that their rows stay where they are."""
+    cold = values.withColumnRenamed("v", by)
+    if hot is None:
+        return rows.join(cold, by)
+    few = F.broadcast(values.join(hot, "v", "left_semi").withColumnRenamed("v", by))
+    return rows.join(hot.withColumnRenamed("v", by), by, "left_anti").join(cold, by).unionByName(rows.join(few, by))
