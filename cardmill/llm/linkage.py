@@ -1,8 +1,7 @@
 """New batches against everything accepted before, without going through the history again.
 
-The history is a set of tables under one folder, each in hash buckets of its key: blocking keys of every front with
-its sketch (``bands``), the number and text of every front (``names``, ``texts``), links between fronts with their
-weight, the representative mapping of merged clusters (``parents``, a union-find forest), the first batch that accepted
+The history is a set of tables under one folder, each in hash buckets of its key: blocking keys, sketch, number and text
+of every front (``bands``, ``sketches``, ``names``, ``texts``), links between fronts with their weight, the representative mapping of merged clusters (``parents``, a union-find forest), the first batch that accepted
 each front, each cluster and each fingerprint. ``manifest.json`` names the parts of each table, the epoch and the
 learned weights; it is replaced last, so that an epoch that dies leaves the history as it was, and any later session
 goes on from it.
@@ -32,14 +31,15 @@ from cardmill.operators import cluster
 PLAN = shingles.Plan(rows=5, bands=30)
 ACCEPTED = ("aprobada", "subida")
 #: Rows of a bucket; a part of a table has as many buckets as its rows need.
-BUCKET_ROWS = 1 << 22
+BUCKET_ROWS = 1 << 20
 #: Keys up to this number are broadcast to the table that they probe (some 30 MB).
 MOST_KEYS = 500_000
 #: Each table's columns, the first being its key.
 _TABLES = {
     "names": "h binary, tid bigint",
     "texts": "tid bigint, text string, n_rows bigint",
-    "bands": "key bigint, tid bigint, n int, sketch binary",
+    "bands": "key bigint, tid bigint",
+    "sketches": "tid bigint, n int, sketch binary",
     "links": "tid bigint, other bigint, weight double",
     "parents": "tid bigint, parent bigint",
     "accepted": "tid bigint, batch string",
@@ -127,7 +127,7 @@ class History:
         if n == 1:
             df.write.mode("overwrite").parquet(folder)
         else:
-            df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition(n, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+            df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition(n, "bucket").sortWithinPartitions("bucket", *[c for c in df.columns if c.endswith("tid")]).write.mode("overwrite").partitionBy("bucket").parquet(folder)
         return {"folder": folder, "rows": rows, "buckets": n}
 
     def _add(self, name: str, df: DataFrame, rows: int) -> DataFrame:
@@ -232,7 +232,8 @@ class History:
         before = bool(self.state["tables"]["bands"])
         if before:
             n_keys = n_new * PLAN.bands
-            probed = self.probe("bands", rows.select("key"), n_keys)
+            probed = work.cut(self.probe("bands", rows.select("key"), n_keys), f"probed-{epoch}")
+            probed = probed.join(self.probe("sketches", probed.select("tid"), probed.count()), "tid")
             both = rows.withColumn("fresh", F.lit(True)).unionByName(probed.withColumn("fresh", F.lit(False)))
             pairs = work.cut(shingles.candidates(both, work, f"hot-{epoch}", across=True), f"pairs-{epoch}")
             ends = pairs.select(F.explode(F.array("x", "y")).alias("tid")).filter(F.col("tid") < (epoch << 50)).distinct()
@@ -241,7 +242,8 @@ class History:
             texts = texts.filter(F.col("tid") < (epoch << 50)).unionByName(new.select("tid", "text"))
         else:
             pairs, texts = shingles.candidates(rows, work, f"hot-{epoch}"), new.select("tid", "text")
-        self._add("bands", rows.select("key", "tid", "n", "sketch"), n_new * PLAN.bands)
+        self._add("bands", rows.select("key", "tid"), n_new * PLAN.bands)
+        self._add("sketches", signed.select("tid", "n", "sketch"), n_new)
         compared = shingles.compare(pairs, texts, (1, 2), _compare, "digits int, opening int, length int")
         level = F.when(F.col("shared") * 10 >= F.col("united") * 9, 3).when(F.col("shared") * 5 >= F.col("united") * 4, _LINKED).when(F.col("shared") * 20 >= F.col("united") * 13, 1).otherwise(0)
         compared = work.cut(compared.select("x", "y", level.alias("level"), "digits", "opening", "length"), f"compared-{epoch}")
@@ -253,7 +255,7 @@ class History:
         linked = compared.withColumn("weight", agreement({f: F.col(f) for f in FIELDS}, weights)).filter(F.col("weight") >= cutoff)
         ends = F.explode(F.array(F.struct(F.col("x").alias("tid"), F.col("y").alias("other")), F.struct(F.col("y").alias("tid"), F.col("x").alias("other")))).alias("e")
         links = self._add("links", linked.select("weight", ends).select("e.tid", "e.other", "weight"), 2 * n_new)
-        work.drop(f"signed-{epoch}", f"compared-{epoch}", f"pairs-{epoch}", f"hot-{epoch}")
+        work.drop(f"signed-{epoch}", f"compared-{epoch}", f"pairs-{epoch}", f"probed-{epoch}", f"hot-{epoch}")
         return links
 
     def _merge_clusters(self, links: DataFrame, n_new: int, epoch: int) -> None:
