@@ -16,37 +16,12 @@ from pyspark.sql import functions as F
 
 from cardmill import storage
 
-#: A vertex is a hub if it has more links than this and than 1/HOT_SHARE of all.
-HUB = 50_000
-
-
 def _start(vertex: Column, level: int, beta: float, steps: int) -> Column:
     """The step at which a vertex starts its own cluster: ``steps`` less its exponential shift; from a hash, so repeatable."""
     uniform = (F.pmod(F.xxhash64(F.lit(level), vertex), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     return F.greatest(F.lit(0), F.lit(steps) - F.floor(-F.log(uniform) / beta)).cast("int")
 
 
-def _hubs(links: DataFrame, total: int, hub: int, scratch: storage.Scratch, name: str) -> DataFrame | None:
-    """``v`` of the hubs of ``links``, fewer than 2 * HOT_SHARE; None if there are none."""
-    limit = max(hub, total // storage.HOT_SHARE)
-    if total <= limit:  # no vertex has more links than there are
-        return None
-    ends = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").count().filter(F.col("count") > limit).select("v")
-    held = scratch.cut(ends, name)
-    return None if held.isEmpty() else F.broadcast(held)
-
-
-def _at(links: DataFrame, by: str, values: DataFrame, hubs: DataFrame | None) -> DataFrame:
-    """``links`` with the columns of ``values`` (one row per ``v``) for the vertex in column ``by``."""
-    cold = links.join(values.withColumnRenamed("v", by), by)
-    if hubs is None:
-        return cold
-    named = hubs.withColumnRenamed("v", by)
-    of_hubs = F.broadcast(values.join(hubs, "v", "left_semi").withColumnRenamed("v", by))
-    cold = links.join(named, by, "left_anti").join(values.withColumnRenamed("v", by), by)
-    return cold.unionByName(links.join(of_hubs, by))
-
-
 def decompose(links: DataFrame, level: int = 0, beta: float = 0.25, steps: int = 6, hubs: DataFrame | None = None) -> DataFrame:
     """One decomposition of undirected ``a, b`` links: ``v, c``, the centre of every vertex.
 
@@ -61,12 +36,12 @@ def decompose(links: DataFrame, level: int = 0, beta: float = 0.25, steps: int =
         if state is None:  # the first relaxation needs no join: every vertex's state follows from its name
             sent = arcs.select(F.col("b").alias("v"), F.struct((_start(F.col("a"), level, beta, steps) + F.col("w")).alias("d"), F.col("a").alias("c")).alias("s"))
         else:
-            sent = _at(arcs, "a", state, hubs).select(F.col("b").alias("v"), F.struct((F.col("s.d") + F.col("w")).alias("d"), F.col("s.c").alias("c")).alias("s"))
+            sent = storage.join_at(arcs, "a", state, hubs).select(F.col("b").alias("v"), F.struct((F.col("s.d") + F.col("w")).alias("d"), F.col("s.c").alias("c")).alias("s"))
         state = sent.groupBy("v").agg(F.min("s").alias("s"))
     return state.select("v", F.col("s.c").alias("c"))
 
 
-def components(links: DataFrame, scratch: storage.Scratch | None = None, beta: float = 0.25, steps: int = 6, hub: int = HUB, max_levels: int = 100) -> DataFrame:
+def components(links: DataFrame, scratch: storage.Scratch | None = None, beta: float = 0.25, steps: int = 6, hub: int = storage.HUB, max_levels: int = 100) -> DataFrame:
     """``v, root``: for every vertex of ``a, b`` (strings or numbers) the smallest vertex of its component.
 
     The graph is decomposed and contracted until no link is left, at every size alike. Self-links name no vertex, null
@@ -80,10 +55,11 @@ def components(links: DataFrame, scratch: storage.Scratch | None = None, beta: f
         left = graph.count()
         if not left:
             break
-        hubs = _hubs(graph, left, hub, scratch, f"hubs-{level}")
+        hubs = storage.hot_keys(graph, ["a", "b"], left, scratch, f"hubs-{level}", hub)
         maps.append(scratch.cut(decompose(graph, level, beta, steps, hubs), f"map-{level}"))
         to = maps[-1]
-        moved = _at(_at(graph, "a", to.withColumnRenamed("c", "ca"), hubs), "b", to.withColumnRenamed("c", "cb"), hubs).filter("ca <> cb")
+        moved = storage.join_at(graph, "a", to.withColumnRenamed("c", "ca"), hubs)
+        moved = storage.join_at(moved, "b", to.withColumnRenamed("c", "cb"), hubs).filter("ca <> cb")
         graph = scratch.cut(moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), f"links-{level + 1}")
         scratch.drop(f"links-{level}")
     else:

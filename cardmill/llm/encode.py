@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Pre-tokens kept per Python worker; beyond that the store is emptied, which costs time but changes nothing.
-STORE = 400_000
+#: Pre-tokens, and pairs of tokens, kept per Python worker; beyond that a store is emptied, which costs time but changes nothing.
+STORE, PAIRS = 400_000, 2_000_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -97,6 +97,8 @@ class PrefixEncoder:
 
     def compatible(self, left: int, right: int) -> bool:
         if (known := self._pairs.get((left, right))) is None:
+            if len(self._pairs) >= PAIRS:
+                self._pairs.clear()
             known = self._pairs[left, right] = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
 
@@ -141,12 +143,18 @@ class EncodedText:
     def replace(self, start: int, end: int, new: str) -> int:
         """Put ``new`` for text[start:end]; returns how many pre-tokens were encoded again.
 
-        Splitting looks one character ahead and never behind. So it is taken up at the pre-token that holds or ends at
-        ``start``, and left as soon as a new boundary falls on an old one behind ``end``.
+        Where a pre-token ends depends on what follows it: on the next character, or, for white space, on the whole run
+        of white space and the character after it, or, for an apostrophe, on two characters. So splitting is taken up one
+        pre-token before the white space that ends at ``start``, or two if the first of them is an apostrophe, and left as soon as a new boundary falls on an old one behind ``end``.
         """
         text = self.text[:start] + new + self.text[end:]
         shift = len(new) - (end - start)
-        keep = max(0, int(np.searchsorted(self.starts, start, "left")) - 1)
+        back = start
+        while back and self.text[back - 1].isspace():
+            back -= 1
+        keep = max(0, int(np.searchsorted(self.starts, back, "left")) - 1)
+        if keep and self.text[self.starts[keep] - 1] == "'":
+            keep -= 1
         at = self.starts[keep] if self.starts else 0
         old = {s + shift: k for k, s in enumerate(self.starts) if s >= end}
         starts, parts, rest, done = self.starts[:keep], self.parts[:keep], None, 0

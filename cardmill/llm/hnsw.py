@@ -52,7 +52,7 @@ class Hnsw:
         spent = np.ones((b, width), bool)
         e = entries.shape[1]
         ids[:, :e] = entries
-        sims[:, :e] = np.where(entries >= 0, np.einsum("bed,bd->be", self.x[entries], queries), -np.inf)
+        sims[:, :e] = np.where(entries >= 0, np.matmul(self.x[entries], queries[:, :, None])[:, :, 0], -np.inf)
         spent[:, :e] = entries < 0
         seen[rows, entries] = True
         live = np.arange(b)
@@ -75,7 +75,7 @@ class Hnsw:
             order[:, 1:][order[:, 1:] == order[:, :-1]] = -1
             near = order
             seen[live[:, None], near] = True
-            new = np.einsum("bed,bd->be", self.x[near], queries[live])
+            new = np.matmul(self.x[near], queries[live][:, :, None])[:, :, 0]
             new[near < 0] = -np.inf
             all_sims = np.concatenate([sims[live], new], 1)
             keep = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
@@ -88,7 +88,7 @@ class Hnsw:
     def _choose(self, ids: np.ndarray, sims: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
         """Of candidates (best first) the diverse ones: not closer to a chosen one than to the point itself; then the best of the rest."""
         b, c = ids.shape
-        between = np.einsum("bcd,bed->bce", self.x[ids], self.x[ids])
+        between = np.matmul(own := self.x[ids], own.transpose(0, 2, 1))
         chosen = np.zeros((b, c), bool)
         count = np.zeros(b, int)
         for i in range(c):

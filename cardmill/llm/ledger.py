@@ -47,51 +47,70 @@ def keyed_cards(cards: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(*[F.min_by(c, F.struct("seen_at", "key")).alias(c) for c in ("key", "batch")], F.min("seen_at").alias("seen_at"))
 
 
+#: Keys of a bucket; the number of buckets follows the ledger's size.
+BUCKET_KEYS = 1 << 18
+
+
 class CopyLedger:
-    """Counts per canonical key, persisted in ``buckets`` hash buckets under ``path``.
+    """Counts per canonical key, persisted in hash buckets under ``path``.
 
-    ``manifest.json`` names the version that each bucket is to be read from. It is replaced after a fold's files are
-    complete, so a fold that dies leaves the ledger as it was. A replayed row must carry the batch of its original
-    (it is dropped by id within its batch); a batch must be folded once.
+    ``manifest.json`` names the version that each bucket is to be read from, the batches folded and about how many keys
+    there are. It is replaced after a fold's files are complete, so a fold that dies leaves the ledger as it was; the
+    versions it replaces are removed then. When the buckets have become too large, their number is doubled and all of
+    them are written again, which happens once per doubling of the ledger. A batch that comes again under its name
+    changes nothing. A replayed row must carry the batch of its original: it is dropped by id within its batch.
     """
 
     COLUMNS = "key binary, n bigint, seen_at string, first_id string, keep_id string, bucket int"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, bucket_keys: int = BUCKET_KEYS):
+        self.spark, self.path, self.bucket_keys = spark, path, bucket_keys
 
-    def _manifest(self) -> dict:
-        return json.loads(storage.read_text(self.spark, f"{self.path}/manifest.json") or '{"version": 0, "buckets": {}}')
+    def manifest(self) -> dict:
+        return json.loads(storage.read_text(self.spark, f"{self.path}/manifest.json") or '{"version": 0, "number": 1, "keys": 0, "buckets": {}, "folded": []}')
 
     def read(self, only: list[int] | None = None) -> DataFrame:
         """The current rows, of all buckets or of some; reads the files of these buckets alone."""
-        held = self._manifest()["buckets"]
-        paths = [f"{self.path}/v={v}/bucket={b}" for b, v in held.items() if only is None or int(b) in only]
+        state = self.manifest()
+        paths = [f"{self.path}/v={v}/bucket={b}" for b, v in state["buckets"].items() if only is None or int(b) in only]
         if not paths:
             return self.spark.createDataFrame([], self.COLUMNS)
         plain = self.COLUMNS.rpartition(",")[0]
-        return self.spark.read.schema(plain).parquet(*paths).withColumn("bucket", self._bucket())
+        return self.spark.read.schema(plain).parquet(*paths).withColumn("bucket", self._bucket(state["number"]))
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.hash("key"), F.lit(self.buckets))
-
-    def fold(self, batch: DataFrame) -> None:
-        """Add a batch of ``id, key, seen_at`` (ids distinct)."""
-        manifest = self._manifest()
-        version = manifest["version"] + 1
+    @staticmethod
+    def _bucket(number: int) -> Column:
+        return F.pmod(F.hash("key"), F.lit(number))
+
+    def fold(self, batch: DataFrame, name: str) -> bool:
+        """Add a batch of ``id, key, seen_at`` (ids distinct); False if a batch of this name was added before."""
+        state = self.manifest()
+        if name in state["folded"]:
+            return False
+        version = state["version"] + 1
         new = batch.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("seen_at", "id")).alias("first"), F.min("id").alias("keep_id"))
-        new = new.select("key", "n", F.col("first.seen_at").alias("seen_at"), F.col("first.id").alias("first_id"), "keep_id").withColumn("bucket", self._bucket())
         delta = f"{self.path}/delta-{version}"
-        new.write.mode("overwrite").parquet(delta)
+        new.select("key", "n", F.col("first.seen_at").alias("seen_at"), F.col("first.id").alias("first_id"), "keep_id").write.mode("overwrite").parquet(delta)
         new = self.spark.read.parquet(delta)
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most one row per bucket
-        old = self.read(touched) if manifest["buckets"] else None
+        state["keys"] += new.count()  # an upper bound, as some keys are held already
+        number = max(state["number"], 1 << max(0, -(-state["keys"] // self.bucket_keys) - 1).bit_length())
+        new = new.withColumn("bucket", self._bucket(number))
+        if number > state["number"]:
+            touched = list(range(number))
+            old = self.read().withColumn("bucket", self._bucket(number)) if state["buckets"] else None
+        else:
+            touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most one row per bucket
+            old = self.read(touched) if state["buckets"] else None
         merged = new if old is None else self._merge(old, new)
-        merged.repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
-        manifest["version"] = version
-        manifest["buckets"].update({str(b): version for b in touched})
-        storage.write_text(self.spark, f"{self.path}/manifest.json", json.dumps(manifest))
-        storage.delete(self.spark, delta)
+        folder = f"{self.path}/v={version}"
+        merged.repartition(number, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        gone = [f"{self.path}/v={v}/bucket={b}" for b, v in state["buckets"].items() if number > state["number"] or int(b) in touched]
+        held = {} if number > state["number"] else state["buckets"]
+        held |= {str(b): version for b in touched if storage.exists(self.spark, f"{folder}/bucket={b}")}
+        storage.write_text(self.spark, f"{self.path}/manifest.json", json.dumps({"version": version, "number": number, "keys": state["keys"], "buckets": held, "folded": [*state["folded"], name]}))
+        for path in [delta, *gone]:
+            storage.delete(self.spark, path)
+        return True
 
     @staticmethod
     def _merge(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -113,9 +132,9 @@ def fold_cards(cards: DataFrame, scratch: storage.Scratch) -> tuple[DataFrame, C
     members = scratch.cut(keyed_cards(cards), "members")
     newest = members.agg(F.max("batch")).first()[0]
     ledger = CopyLedger(cards.sparkSession, scratch.path("ledger"))
-    ledger.fold(members.filter(F.coalesce(F.col("batch") != newest, F.lit(True))) if newest else members)
+    ledger.fold(members.filter(F.coalesce(F.col("batch") != newest, F.lit(True))) if newest else members, f"before {newest}")
     if newest:
-        ledger.fold(members.filter(F.col("batch") == newest))
+        ledger.fold(members.filter(F.col("batch") == newest), newest)
     return members, ledger
 
 

@@ -17,14 +17,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardmill import storage
+from cardmill.operators.candidates import pairs_within
 
-#: Letters of other scripts and the Latin letters they print like (fixed values, from the public Unicode confusables).
+#: Letters that print like a basic Latin letter: all of Cyrillic, Greek, Armenian and the Latin extensions that the public
+#: Unicode confusables name, and a few capitals that they leave out (fixed values, in code order).
 LOOKALIKES = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ү": "y", "ӏ": "l",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ү": "Y", "Һ": "h", "Ԍ": "G", "Ԁ": "d",
-    "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "υ": "u", "γ": "y", "ϲ": "c", "ϳ": "j",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "օ": "o", "Օ": "O", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "զ": "q", "Տ": "S", "Լ": "L",
+    "Ѕ": "S", "І": "I", "Ј": "J", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ь": "b", "а": "a", "г": "r",
+    "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ѡ": "w", "Ѵ": "V", "ѵ": "v", "Ү": "Y", "ү": "y", "Һ": "h", "һ": "h", "ҽ": "e", "Ӏ": "I",
+    "ӏ": "i", "Ԁ": "d", "ԁ": "d", "Ԍ": "G", "Ԛ": "Q", "ԛ": "q", "Ԝ": "W", "ԝ": "w", "ꙇ": "i",
+    "Ϳ": "J", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "α": "a", "γ": "y", "ι": "i",
+    "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "υ": "u", "Ϝ": "F", "ϳ": "j", "Ϻ": "M", "ᴦ": "r",
+    "Լ": "L", "Ս": "U", "Տ": "S", "Օ": "O", "ա": "w", "գ": "q", "զ": "q", "հ": "h", "ո": "n", "ռ": "n", "ս": "u", "ց": "g", "ք": "f", "օ": "o",
+    "ı": "i", "Ƅ": "b", "ƍ": "g", "Ɩ": "I", "Ʀ": "R", "ƽ": "s", "ǀ": "l", "ɑ": "a", "ɡ": "g", "ɣ": "y", "ɩ": "i", "ɪ": "i", "ɯ": "w", "ʋ": "u", "ʏ": "y", "ᴄ": "c", "ᴏ": "o", "ᴑ": "o",
+    "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ᶃ": "g", "ᶌ": "y", "ẝ": "f", "ỿ": "y", "ꜱ": "s", "Ꞙ": "F", "ꞙ": "f", "ꞟ": "u", "Ʝ": "J", "Ꭓ": "X", "Ꞵ": "B", "ꬲ": "e", "ꬵ": "f", "ꬽ": "o",
+    "ꭇ": "r", "ꭈ": "r", "ꭎ": "u", "ꭒ": "u", "ꭚ": "y",
 }
 #: Hyphens and minus signs that print as the plain one (fixed values).
 HYPHENS = "‐‑‒–⁃−﹣－"
@@ -90,14 +96,14 @@ def _prepare(cards: DataFrame, scratch: storage.Scratch) -> tuple[DataFrame, Dat
 def alike_pairs(cards: DataFrame) -> DataFrame:
     """``id_a, id_b``: cards that print the same on both sides but differ in characters; the smaller id first.
 
-    Pairs are first formed between the variants of a class and then joined with their cards, so that no copies of one
-    variant are ever compared with each other; every joined row is a result row.
+    Pairs are first formed between the variants of a class, in cells where they are many, and then joined with their
+    cards, so that no copies of one variant are ever compared with each other; every joined row is a result row.
+    ``canonical_cards`` gives the classes without any pairs.
     """
     scratch = storage.Scratch(cards.sparkSession, "lookalike")
     members, classes = _prepare(cards, scratch)
     several = scratch.cut(classes.filter("n > 1").select("variant", "canonical"), "several")
-    a, b = several.select(F.col("variant").alias("va"), "canonical"), several.select(F.col("variant").alias("vb"), "canonical")
-    pairs = a.join(b, "canonical").filter("va < vb").select("va", "vb")
+    pairs = pairs_within(several, "canonical", "variant").toDF("canonical", "va", "vb").select("va", "vb")
     left, right = members.select(F.col("id").alias("x"), F.col("variant").alias("va")), members.select(F.col("id").alias("y"), F.col("variant").alias("vb"))
     both = pairs.join(left, "va").join(right, "vb")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

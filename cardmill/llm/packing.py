@@ -1,8 +1,9 @@
 """Texts into containers of fixed token capacity: bounded-space online best-fit.
 
-Each task holds a fixed number of open bins, found through a bitset keyed by free space: an item goes to the bin with
-the least room that still takes it; if none does and all bins are in use, the fullest closes for a new one. What is
-still open when a task ends goes, with that of neighbouring tasks, through the same packing once more, largest first.
+Each run of items is packed for one capacity with a fixed number of open bins, found through a bitset keyed by free
+space: an item goes to the bin with the least room that still takes it; if none does and all bins are in use, the
+fullest closes for a new one. When the run ends its open bins close as they are; nothing is packed twice. Runs are long,
+so that what the last bins leave unused is a small share.
 """
 
 from __future__ import annotations
@@ -67,70 +68,54 @@ def pieces(size: int, capacity: int) -> Iterable[tuple[int, int]]:
 _SCHEMA = "target_name string, container string, doc_id bigint, piece int, token_start bigint, tokens bigint"
 
 
-def pack(sizes: DataFrame, targets: list[tuple[str, int]], scratch: storage.Scratch, slots: int = 256, tokens_per_task: int = 2_000_000, tasks_per_group: int = 16) -> DataFrame:
+def pack(sizes: DataFrame, targets: list[tuple[str, int]], slots: int = 64, tokens_per_run: int = 32_000_000) -> DataFrame:
     """Pack ``doc_id, n`` for each of ``targets`` (name, capacity): one row per placed piece.
 
-    The items of a task follow from a hash of their id and the number of tasks from the total size, so the result is
-    the same on any cluster. Items of size 0 take no place. Rows with equal ids are different items.
+    The items of a run follow from a hash of their id and the number of runs from the total size, so the result is the
+    same on any cluster. Items of size 0 or null take no place. Rows with equal ids are different items.
     """
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, -(-total // tokens_per_task))
-    spread = sizes.filter("n > 0").withColumn("task", F.pmod(F.xxhash64("doc_id"), F.lit(tasks)).cast("int"))
-
-    def rows(name: str, container: str, items: list) -> Iterator[tuple]:
-        for doc, piece, start, size in items:
-            yield name, container, doc, piece, start, size
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, state, serial = None, {}, 0
-
-        def ended() -> Iterator[tuple]:
-            for name, bins in state.items():
-                for k, items in enumerate(bins.rest()):
-                    yield from ((*r, task) for r in rows(name, f"open-{task}-{k}", items))
+    runs = max(1, -(-total // tokens_per_run))
+    names = [c.split()[0] for c in _SCHEMA.split(", ")]
+    spread = sizes.filter("n > 0").withColumn("at", F.xxhash64("doc_id")).withColumn("run", F.pmod("at", F.lit(runs)).cast("int"))
+    # one task per run and target
+    spread = spread.select("run", F.explode(F.array(*[F.lit(k) for k in range(len(targets))]).cast("array<int>")).alias("target"), "at", "doc_id", "n")
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, bins, serial, out = None, None, 0, []
+
+        def emit(closed: Iterable[list]) -> None:
+            nonlocal serial
+            for items in closed:
+                container = f"{at[0]}-{serial}"
+                out.extend((targets[at[1]][0], container, *item) for item in items)
+                serial += 1
 
         for frame in frames:
-            out = []
-            for t, doc, n in zip(frame.task.tolist(), frame.doc_id.tolist(), frame.n.tolist(), strict=True):
-                if t != task:
-                    out += ended()
-                    task, serial = t, 0
-                    state = {name: OpenBins(capacity, slots) for name, capacity in targets}
-                for name, capacity in targets:
-                    for k, (start, size) in enumerate(pieces(n, capacity)):
-                        for closed in state[name].add((doc, k, start, size), size):
-                            out += ((*r, -1) for r in rows(name, f"{task}-{serial}", closed))
-                            serial += 1
-            yield pd.DataFrame(out, columns=[*_names, "left_by"])
-        yield pd.DataFrame(list(ended()), columns=[*_names, "left_by"])
-
-    _names = [c.split()[0] for c in _SCHEMA.split(", ")]
-    sorted_items = spread.repartition(tasks, "task").sortWithinPartitions("task", F.xxhash64("doc_id"), "n")
-    placed = scratch.cut(sorted_items.select("task", "doc_id", "n").mapInPandas(run, _SCHEMA + ", left_by int"), "placed")
-    capacities = dict(targets)
-
-    def again(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        name, group = key
-        bins, out, serial = OpenBins(capacities[name], 1 << 30), [], 0
-        items = frame.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True])
-        closed = [c for item in zip(items.doc_id.tolist(), items.piece.tolist(), items.token_start.tolist(), items.tokens.tolist(), strict=True) for c in bins.add(item, item[3])]
-        for c in [*closed, *bins.rest()]:
-            out += rows(name, f"rest-{group}-{serial}", c)
-            serial += 1
-        return pd.DataFrame(out, columns=_names)
-
-    rest = placed.filter("left_by >= 0").withColumn("group", F.floor(F.col("left_by") / tasks_per_group))
-    # at most slots * tasks_per_group bins in a group: bounded, whatever the input
-    repacked = rest.groupBy("target_name", "group").applyInPandas(again, _SCHEMA)
-    return placed.filter("left_by < 0").drop("left_by").unionByName(repacked)
-
-
-def pack_texts(docs: DataFrame, targets: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", slots: int = 256) -> DataFrame:
+            for run, target, doc, n in zip(frame["run"].tolist(), frame.target.tolist(), frame.doc_id.tolist(), frame.n.tolist(), strict=True):
+                if (run, target) != at:
+                    if bins:
+                        emit(bins.rest())
+                    at, serial, bins = (run, target), 0, OpenBins(targets[target][1], slots)
+                for k, (start, size) in enumerate(pieces(n, bins.capacity)):
+                    emit(bins.add((doc, k, start, size), size))
+            yield pd.DataFrame(out, columns=names)
+            out.clear()
+        if bins:
+            emit(bins.rest())
+            yield pd.DataFrame(out, columns=names)
+
+    tasks = min(runs * max(1, len(targets)), 100_000)
+    ordered = spread.repartition(tasks, "run", "target").sortWithinPartitions("run", "target", "at", "doc_id", "n")
+    return ordered.select("run", "target", "doc_id", "n").mapInPandas(packed, _SCHEMA)
+
+
+def pack_texts(docs: DataFrame, targets: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", slots: int = 64) -> DataFrame:
     """Containers for the texts of ``docs`` at every capacity of ``targets`` (a small fixed table; capacities of 1 or more)."""
     scratch = storage.Scratch(docs.sparkSession, "packing")
     wanted = [(r.target_name, r.capacity_tokens) for r in targets.filter("capacity_tokens > 0").select("target_name", "capacity_tokens").distinct().orderBy("capacity_tokens", "target_name").collect()]
     sizes = scratch.cut(count_tokens(docs, vocabulary=vocabulary), "sizes")
-    return pack(sizes, wanted, scratch, slots)
+    return scratch.cut(pack(sizes, wanted, slots), "placed")
 
 
 def fill(placed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ of folds that share no source with their training rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 
 from cardmill import storage
 
-_TAG = re.compile(r"<[^<>]{0,200}>")
+_TAG = re.compile(r"<[^<>]*>")
 _SENTENCE = re.compile(r"[^.!?…\n]*(?:[.!?…](?![\s\"'»”)\]]|$)[^.!?…\n]*)*[.!?…]+[\"'»”)\]]*(?=\s|$)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _LENGTH_CUTS = np.array([4, 8, 12, 16, 20, 25, 30, 36, 43, 52])
 _QUANTILES = (10, 25, 50, 75, 90)
+#: Words of the windows in which variety is measured.
+_WINDOW = 400
 
 #: Levels, from the least demanding.
 LEVELS = (1, 2, 3, 4)
@@ -61,7 +64,7 @@ def measures(text: str | None) -> list[float] | None:
     out += (np.bincount(place, lengths, len(_LENGTH_CUTS) + 1) / inside).tolist()
     flat = [x.lower() for w, _ in sentences for x in w]
     out += [float(np.average(commas, weights=lengths)), sum(map(len, flat)) / inside, sum(len(x) >= 13 for x in flat) / inside, sum(len(x) <= 3 for x in flat) / inside]
-    out.append(len(set(flat[:400])) / min(400, len(flat)))  # variety over the same length for all texts
+    out.append(variety(flat))
     before: set = set()
     shared = []
     for w, _ in sentences:
@@ -73,6 +76,21 @@ def measures(text: str | None) -> list[float] | None:
     return out
 
 
+def variety(words: list[str], window: int = _WINDOW) -> float:
+    """The mean share of different words over all windows of so many words; a shorter text is one window."""
+    if len(words) <= window:
+        return len(set(words)) / max(1, len(words))
+    held, total = Counter(words[:window]), 0
+    total = different = len(held)
+    for gone, come in zip(words, words[window:], strict=False):
+        held[come] += 1
+        different += held[come] == 1
+        held[gone] -= 1
+        different -= held[gone] == 0
+        total += different
+    return total / (window * (len(words) - window + 1))
+
+
 WIDTH = 3 * len(_QUANTILES) + len(_LENGTH_CUTS) + 1 + 6
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cardmill.llm.ledger import LABELS
+from cardmill.llm.lookalike import printed_form
 
 _WORDS = "'  ' || regexp_replace(regexp_replace(lower(coalesce({x}, '')), '\\p{{Cf}}+', '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '  ', 'g') || '  '"
 _GRAMS = "list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3)))"
@@ -52,8 +53,24 @@ _UNITS = (
 )
 
 
+def _printed() -> str:
+    """Relations up to ``pc`` (id, plain sides, printed sides): each character by its printed form, then composed."""
+    forms = ((chr(c), printed_form("x" + chr(c) + "x")[1:-1]) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000)
+    changed = ", ".join("(chr(" + str(ord(c)) + "), '" + f.replace("'", "''") + "')" for c, f in forms if f != c)
+    plain = "trim(regexp_replace(coalesce({x}, ''), '[ \\t\\r\\n]+', ' ', 'g'), ' ')"
+    return (
+        f"fm(ch, form) AS (VALUES {changed}), c AS (SELECT id, {plain.format(x='any_value(front_original)')} AS f, {plain.format(x='any_value(back_original)')} AS b FROM processed_cards WHERE id IS NOT NULL GROUP BY id), "
+        "sd AS (SELECT DISTINCT unnest([f, b]) AS x FROM c), ch AS (SELECT x, unnest(regexp_extract_all(x, '(?s).')) AS ch, generate_subscripts(regexp_extract_all(x, '(?s).'), 1) AS i FROM sd), "
+        "pr AS (SELECT x, trim(regexp_replace(nfc_normalize(string_agg(coalesce(form, ch.ch), '' ORDER BY i)), '[\\s\\x0b\\x1c-\\x1f\\x{85}]+', ' ', 'g'), ' ') AS p FROM ch LEFT JOIN fm ON fm.ch = ch.ch GROUP BY x), "
+        "pc AS (SELECT id, f, b, coalesce(x.p, '') AS pf, coalesce(y.p, '') AS pb FROM c LEFT JOIN pr x ON x.x = f LEFT JOIN pr y ON y.x = b)"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
+    printed = _printed()
     return {
+        "p3_found": f"WITH {printed} SELECT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM pc x JOIN pc y ON x.pf = y.pf AND x.pb = y.pb AND x.id < y.id AND (x.f <> y.f OR x.b <> y.b)",
+        "p3_canonical": f"WITH {printed}, va AS (SELECT md5(f || chr(1) || b) AS v, any_value(pf) AS pf, any_value(pb) AS pb, min(id) AS first FROM pc GROUP BY 1), cl AS (SELECT pf, pb, arg_min(first, v) AS canonical_id FROM va GROUP BY 1, 2) SELECT id, canonical_id FROM pc JOIN cl USING (pf, pb)",
         "p1_found": f"WITH {_KEYED} SELECT g.keep_id, k.id AS copy_id FROM k JOIN g USING (key) WHERE k.id <> g.keep_id",
         "p1_distinct": f"WITH {_KEYED} SELECT keep_id, first_id, copies FROM g",
         "p4_found": f"WITH {_NOTES} SELECT a AS note_id_a, b AS note_id_b FROM nr UNION SELECT x.id, y.id FROM n x JOIN n y ON x.t = y.t AND x.id < y.id",

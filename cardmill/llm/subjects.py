@@ -4,10 +4,12 @@ A card is read sentence by sentence. Each subject has a naive Bayes model of its
 (all other sentences). Labelled cards name the subjects that their sentences may teach; which of them teaches what,
 and which teaches nothing (an aside, a comparison, a memory picture), is a hidden class that expectation-maximization
 settles, first on the labelled cards and then with all unlabelled ones. A card's evidence for each subject becomes an
-independent posterior through a logistic calibration on labelled cards that the fold's model hasn't seen.
+independent posterior through a logistic calibration on labelled cards; the evidence for it comes from models that lack these labels
+and were refined over the unlabelled cards in the same way.
 
-Words are kept if they make up a share of all sentences; that share bounds their number. Sentences are reduced to
-these words and counted once each, so that the passes over the collection work on distinct sentences.
+Words go to a fixed number of places by a hash, and a place is kept if a few sentences have a word of it; that bounds
+the model at every size of the collection and drops no word for being a small share of it. Sentences are reduced to these places and counted once each, so that the passes over the collection work on
+distinct sentences.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -25,11 +29,11 @@ from pyspark.sql import functions as F
 from cardmill import storage
 from cardmill.llm.lookalike import printed_form
 
-#: A word is kept if at least one in so many sentences has it, and at least LEAST_COUNT do.
-SHARE, LEAST_COUNT = 20_000, 5
+#: Words share so many places; a place is kept from LEAST_COUNT sentences on.
+PLACES, LEAST_COUNT = 1 << 20, 5
 #: Pairs of neighbouring words share so many places.
 PAIRS = 1 << 16
-_TAG = re.compile(r"<[^<>]{0,100}>|&[a-zA-Z#0-9]{1,8};")
+_TAG = re.compile(r"<[^<>]*>|&[a-zA-Z#0-9]{1,8};")
 _BREAK = re.compile(r"[.!?;\n|•()\[\]\"»«“”]+|(?:^|\s)[-–—](?:\s|$)")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -49,7 +53,7 @@ class Model:
     """Counts by feature and class; the last class is "teaches nothing"."""
 
     subjects: list[str]
-    words: dict[str, int]
+    index: np.ndarray  # the number of every place that is kept, else -1
     odds: np.ndarray | None = None  # (features, classes): log ratio of a class to its complement
     prior: np.ndarray | None = None
     bias: np.ndarray | None = None  # calibration: (subjects,)
@@ -60,18 +64,22 @@ class Model:
     def classes(self) -> int:
         return len(self.subjects) + 1
 
+    @cached_property
+    def kept(self) -> int:
+        return int(self.index.max(initial=-1)) + 1
+
     @property
     def features(self) -> int:
-        return len(self.words) + PAIRS
+        return self.kept + PAIRS
 
     def reduce(self, sentence: list[str]) -> str:
-        get = self.words.get
-        return " ".join(str(i) for w in sentence if (i := get(w)) is not None)
+        index = self.index
+        return " ".join(str(i) for w in sentence if (i := index[crc32(w.encode()) % PLACES]) >= 0)
 
     def places(self, key: str) -> np.ndarray:
         """Feature numbers of a reduced sentence: its words, and its neighbouring words in pairs; each once."""
         w = np.array(key.split(), np.int64)
-        pairs = (w[:-1] * 1_000_003 + w[1:] * 7_919) % PAIRS + len(self.words)
+        pairs = (w[:-1] * 1_000_003 + w[1:] * 7_919) % PAIRS + self.kept
         return np.unique(np.concatenate([w, pairs]))
 
     def set_counts(self, counts: np.ndarray, mass: np.ndarray, smooth: float = 0.3) -> None:
@@ -207,32 +215,32 @@ def _labelled_sentences(model: Model, rows: list, subjects_of: dict) -> tuple[li
     return keys, allowed, np.array(list(seen.values()), float)
 
 
-def _unlabelled_counts(model: Model, distinct: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The expectation step over all distinct sentences (``key, n``): counts by feature and class, and mass by class.
+def _unlabelled_counts(models: list[Model], distinct: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The expectation step over all distinct sentences (``key, n``), for several models at once: counts by feature and class, and mass by class.
 
-    What comes back is one row per feature, a number fixed by the vocabulary.
+    What comes back is one row per feature, a number bounded by PLACES + PAIRS.
     """
-    held = distinct.sparkSession.sparkContext.broadcast(model)
-    k = model.classes
-    columns = [f"c{c}" for c in range(k)]
+    held = distinct.sparkSession.sparkContext.broadcast(models)
+    k, features = models[0].classes, models[0].features
+    columns = [f"m{m}c{c}" for m in range(len(models)) for c in range(k)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
-        total = np.zeros((m.features + 1, k))
+        total = np.zeros((features + 1, len(columns)))
         for f in frames:
             if len(f):
-                s = Sentences(m, f.key.tolist())
-                w = _posterior(s.scores(m)) * f.n.to_numpy(float)[:, None]
-                total[:-1] += s.counts(m, w)
-                total[-1] += w.sum(0)
+                s = Sentences(held.value[0], f.key.tolist())
+                for i, m in enumerate(held.value):
+                    w = _posterior(s.scores(m)) * f.n.to_numpy(float)[:, None]
+                    total[:-1, i * k : (i + 1) * k] += s.counts(m, w)
+                    total[-1, i * k : (i + 1) * k] += w.sum(0)
         rows = np.flatnonzero(total.any(1))
         yield pd.DataFrame({"place": rows} | {c: total[rows, i] for i, c in enumerate(columns)})
 
     sums = distinct.mapInPandas(run, "place bigint, " + ", ".join(f"{c} double" for c in columns))
     rows = sums.groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-    out = np.zeros((model.features + 1, k))
+    out = np.zeros((features + 1, len(columns)))
     out[rows.place.to_numpy()] = rows[columns].to_numpy()
-    return out[:-1], out[-1]
+    return [(out[:-1, i * k : (i + 1) * k], out[-1, i * k : (i + 1) * k]) for i in range(len(models))]
 
 
 def _read(cards: DataFrame) -> DataFrame:
@@ -246,14 +254,17 @@ def _read(cards: DataFrame) -> DataFrame:
     return one.mapInPandas(run, "id string, fronts array<string>, backs array<string>, tags string")
 
 
-def train(cards: DataFrame, areas: DataFrame, labels: DataFrame, scratch: storage.Scratch, most_labelled: int = 20_000, rounds: int = 2) -> tuple[Model | None, DataFrame]:
+def train(cards: DataFrame, areas: DataFrame, labels: DataFrame, scratch: storage.Scratch, most_labelled: int = 20_000, rounds: int = 2, folds: int = 4) -> tuple[Model | None, DataFrame]:
     """A model, and ``id, sentences, fronts, tags`` of all cards. At most ``most_labelled`` labelled cards are used (by a hash of their id)."""
     spark = cards.sparkSession
     read = scratch.cut(_read(cards), "read")
-    every = read.select(F.explode(F.concat("fronts", "backs")).alias("s"))
-    least = max(LEAST_COUNT, every.count() // SHARE)
-    words = every.select(F.explode(F.array_distinct(F.split("s", " "))).alias("w")).groupBy("w").count().filter(F.col("count") >= least)
-    model = Model(sorted(r[0] for r in areas.select("subject").distinct().collect()), {w: i for i, w in enumerate(sorted(r[0] for r in words.select("w").collect()))})
+    ids = labels.filter("id IS NOT NULL").groupBy("id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("id"), "id").limit(most_labelled)
+    places = F.transform(F.split("s", " "), lambda w: (F.crc32(w.cast("binary")) % PLACES).cast("int"))
+    seen = read.select(F.explode(F.concat("fronts", "backs")).alias("s")).select(F.explode(F.array_distinct(places)).alias("place")).groupBy("place").agg(F.count("*").alias("n"))
+    kept = np.sort(seen.filter(F.col("n") >= LEAST_COUNT).select("place").toPandas().place.to_numpy(np.int64))  # at most PLACES numbers
+    index = np.full(PLACES, -1, np.int32)
+    index[kept] = np.arange(len(kept))
+    model = Model(sorted(r[0] for r in areas.select("subject").distinct().collect()), index)
     held = spark.sparkContext.broadcast(model)
 
     def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,28 +278,30 @@ def train(cards: DataFrame, areas: DataFrame, labels: DataFrame, scratch: storag
     scratch.drop("read")
     k = len(model.subjects)
     number = {s: i for i, s in enumerate(model.subjects)}
-    ids = labels.filter("id IS NOT NULL").groupBy("id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("id"), "id").limit(most_labelled)
     rows = reduced.join(F.broadcast(ids), "id").collect()  # at most most_labelled cards
     rows.sort(key=lambda r: r.id)
     if not rows or not k:
         return None, reduced
     subjects_of = {r.id: np.isin(np.arange(k), [number[s] for s in r.subjects if s in number]).astype(float) for r in rows}
-    # calibration: evidence of each half by a model of the other half
-    x, y = np.zeros((len(rows), k, 5), np.float32), np.stack([subjects_of[r.id] for r in rows])
-    for half in (0, 1):
-        train_rows, test = [r for i, r in enumerate(rows) if i % 2 != half], [i for i in range(len(rows)) if i % 2 == half]
-        if train_rows and test:
-            part = Model(model.subjects, model.words)
-            fit_labelled(part, *_labelled_sentences(part, train_rows, subjects_of))
-            _learn_hints(part, train_rows, subjects_of)
-            x[test] = _card_evidence(part, [rows[i] for i in test])
-    model.bias, model.slope = calibrate(x, y)
-    _learn_hints(model, rows, subjects_of)
-    keys, allowed, weight = _labelled_sentences(model, rows, subjects_of)
-    fit_labelled(model, keys, allowed, weight)
+    # models of all labels but a part give that part's evidence for calibration; all of them are refined alike
+    y = np.stack([subjects_of[r.id] for r in rows])
+    parts = []
+    for k_th in range(folds):
+        own, test = ([r for i, r in enumerate(rows) if (i % folds != k_th) == (side == 0)] for side in (0, 1))
+        if own and test:
+            parts.append((Model(model.subjects, index), own, test))
+    fits = [(m, _labelled_sentences(m, own, subjects_of)) for m, own in [*((m, own) for m, own, _ in parts), (model, rows)]]
+    for (m, data), own in zip(fits, [*(own for _, own, _ in parts), rows], strict=True):
+        fit_labelled(m, *data)
+        _learn_hints(m, own, subjects_of)
     distinct = scratch.cut(reduced.select(F.explode("sentences").alias("key")).groupBy("key").agg(F.count("*").alias("n")), "distinct")
     for _ in range(rounds):
-        fit_labelled(model, keys, allowed, weight, rounds=2, more=_unlabelled_counts(model, distinct))
+        for (m, data), more in zip(fits, _unlabelled_counts([m for m, _ in fits], distinct), strict=True):
+            fit_labelled(m, *data, rounds=2, more=more)
+    x, place = np.zeros((len(rows), k, 5), np.float32), {r.id: i for i, r in enumerate(rows)}
+    for m, _, test_rows in parts:
+        x[[place[r.id] for r in test_rows]] = _card_evidence(m, test_rows)
+    model.bias, model.slope = calibrate(x, y)
     return model, reduced
 
 

@@ -2,8 +2,10 @@
 
 Identical vectors are one entry. Entries go to the shards of their ``copies`` nearest centroids, so that close
 vectors share a shard although a border may lie between them; every shard builds a navigable small-world graph in
-flat neighbour arrays and searches it for each of its entries; the answers of the shards are merged per entry.
-Centroids come from a bounded sample; everything else covers every row.
+flat neighbour arrays and searches it for each of its entries; the answers of the shards are merged per entry. A search
+for an entry of the graph starts at the entry itself, on the lowest layer; the upper layers serve building, and
+searches for entries of another part. Centroids, on two levels, come from bounded samples; everything else covers
+every row.
 """
 
 from __future__ import annotations
@@ -93,38 +95,88 @@ def _centroids(sample: np.ndarray, shards: int, rounds: int = 8) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def _matrix(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1)
+
+
+class Cells:
+    """Centroids on two levels: ``coarse`` cells, each with ``fine`` centroids of its own, all of them numbered in a row."""
+
+    def __init__(self, coarse: np.ndarray, fine: list[np.ndarray]):
+        self.coarse, self.fine = coarse, fine
+        self.first = np.r_[0, np.cumsum([len(f) for f in fine])]
+
+    def nearest(self, x: np.ndarray, copies: int, probes: int = 3) -> np.ndarray:
+        """The numbers of the ``copies`` nearest fine centroids in the ``probes`` nearest coarse cells, -1 if there are fewer."""
+        probes, width = min(probes, len(self.coarse)), max(len(f) for f in self.fine)
+        cells = np.argpartition(-(x @ self.coarse.T), probes - 1, axis=1)[:, :probes]
+        sims = np.full((len(x), probes, width), -np.inf, np.float32)
+        for c in np.unique(cells):
+            row, at = np.nonzero(cells == c)
+            sims[row, at, : len(self.fine[c])] = x[row] @ self.fine[c].T
+        sims = sims.reshape(len(x), -1)
+        take = min(copies, sims.shape[1])
+        best = np.argpartition(-sims, take - 1, axis=1)[:, :take]
+        numbers = self.first[np.take_along_axis(cells, best // width, 1)] + best % width
+        return np.where(np.take_along_axis(sims, best, 1) > -np.inf, numbers, -1).astype(np.int32)
+
+
+def _cells(entries: DataFrame, n: int, wanted: int, sample_rows: int) -> Cells:
+    """About ``wanted`` fine centroids, as many coarse cells as each then has fine ones.
+
+    The coarse ones are fitted here on at most ``sample_rows`` rows; each cell's fine ones in a task of its own, on at
+    most about as many again. So the samples grow with no more than the number of cells.
+    """
+    place = lambda salt: F.pmod(F.xxhash64("vid", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    # pseudo-random samples by hash: the same rows on any cluster
+    rows = entries.withColumn("at", place(3)).filter(F.col("at") < min(1.0, 1.2 * sample_rows / n)).select("at", "u").orderBy("at", "u").limit(sample_rows).collect()
+    sample = _matrix([r.u for r in rows])
+    coarse = _centroids(sample, max(1, round(wanted**0.5)))
+    share = np.bincount(np.argmax(sample @ coarse.T, axis=1), minlength=len(coarse)) / len(sample)
+    number = np.maximum(1, np.round(wanted * share)).astype(int)
+    rate = np.minimum(min(1.0, 64 * wanted / n), sample_rows / np.maximum(1, share * n))
+    held = entries.sparkSession.sparkContext.broadcast((coarse, number, rate))
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, _, limit = held.value
+        for batch in batches:
+            if batch.num_rows:
+                home = np.argmax(_matrix(batch.column(1).to_pylist()) @ c.T, axis=1)
+                keep = batch.column(0).to_numpy() < limit[home]
+                yield pa.RecordBatch.from_arrays([pa.array(home[keep].astype(np.int32)), batch.column(1).filter(pa.array(keep))], names=["home", "u"])
+
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        c = _centroids(_matrix(sorted(frame.u.tolist())), int(held.value[1][key[0]]))
+        return pd.DataFrame({"home": key[0], "u": [x.tobytes() for x in c]})
+
+    some = entries.withColumn("at", place(4)).filter(F.col("at") < float(rate.max())).select("at", "u").mapInArrow(homes, "home int, u binary")
+    found: dict[int, list[bytes]] = {}
+    for r in some.groupBy("home").applyInPandas(fit, "home int, u binary").collect():  # one row per shard
+        found.setdefault(r.home, []).append(r.u)
+    return Cells(coarse, [_matrix(sorted(found[k])) if k in found else coarse[k : k + 1] for k in range(len(coarse))])
+
+
 def nearest(entries: DataFrame, scratch: storage.Scratch, k: int = 5, least: float = 0.90, shard_rows: int = 6000, copies: int = 3, sample_rows: int = 20_000, degree: int = 12, beam: int = 24) -> DataFrame:
     """``vid, other, sim``: for each entry (``vid, u`` with u the float32 bytes of a unit vector) up to ``k`` others of at least ``least``.
 
-    A shard with more than twice ``shard_rows`` entries is cut into parts by hash: an entry is indexed in one part and
-    searched for in all of them, in chunks of bounded size.
+    The number of shards follows from the number of entries; what is held of them by every task are their centroids,
+    1/2000 of the vectors. A shard with more than twice ``shard_rows`` entries is cut into parts by hash: an entry is
+    indexed in one part and searched for in all of them, in chunks of bounded size.
     """
     spark = entries.sparkSession
     n = entries.count()
-    shards = max(1, round(n * copies / shard_rows)) if n > shard_rows else 1
-    share = min(1.0, 1.2 * sample_rows / max(1, n))
-    if shards > 1:
-        # a pseudo-random sample by hash: the same rows on any cluster
-        chosen = entries.filter(F.pmod(F.xxhash64("vid", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("u").limit(sample_rows)
-        sample = np.stack([np.frombuffer(r[0], np.float32) for r in chosen.collect()])
-        centroids = _centroids(sample, shards)
-    else:
-        centroids = np.zeros((1, 1), np.float32)
-    held = spark.sparkContext.broadcast(centroids)
-    count = min(copies, len(centroids))
+    wanted = round(n * copies / shard_rows) if n > shard_rows else 1
+    held = spark.sparkContext.broadcast(_cells(entries, n, wanted, sample_rows) if wanted > 1 else None)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = held.value
+        cells = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if len(c) == 1:
-                near = np.zeros((batch.num_rows, 1), np.int32)
-            else:
-                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(batch.num_rows, -1)
-                near = np.argpartition(-(x @ c.T), count - 1, axis=1)[:, :count].astype(np.int32)
-            take = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), batch.column(0).take(take), batch.column(1).take(take)], names=["shard", "vid", "u"])
+            near = np.zeros((batch.num_rows, 1), np.int32) if cells is None else cells.nearest(_matrix(batch.column(1).to_pylist()), copies)
+            row, at = np.nonzero(near >= 0)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(near[row, at]), batch.column(0).take(take), batch.column(1).take(take)], names=["shard", "vid", "u"])
 
     placed = entries.select("vid", "u").mapInArrow(assign, "shard int, vid bigint, u binary")
     placed = scratch.cut(placed, "placed")
@@ -143,7 +195,7 @@ def nearest(entries: DataFrame, scratch: storage.Scratch, k: int = 5, least: flo
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vid", kind="stable")  # the graph doesn't depend on the order of arrival
-        x = np.frombuffer(b"".join(frame.u.tolist()), np.float32).reshape(len(frame), -1)
+        x = _matrix(frame.u.tolist())
         vid, role = frame.vid.to_numpy(), frame.role.to_numpy()
         index = np.flatnonzero(role & 1)
         graph = Hnsw(x[index], degree, beam)

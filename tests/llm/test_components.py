@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from cardmill import storage
 from cardmill.llm import components
 from tests.llm.helpers import pairs
 
@@ -21,7 +22,7 @@ def brute(links):
     return {(x, find(x)) for x in list(parent)}
 
 
-@pytest.mark.parametrize("hub", [20, components.HUB])
+@pytest.mark.parametrize("hub", [20, storage.HUB])
 def test_against_union_find(spark, hub):
     rng = random.Random(3)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]  # many components

@@ -62,6 +62,35 @@ def test_edits_are_exact_and_local(both):
     assert long.ids == other.encode_ordinary(long.text)
 
 
+def test_edits_among_white_space_digits_and_apostrophes(both):
+    enc, other = both
+    rng = random.Random(11)
+    letters = [" ", " ", "\n", "\n", "\t", "\u00a0", "1", "22", ".", "'", "'s", "r", "e", "l", "v", "a", "é", "I"]
+    for _ in range(3000):
+        text = "".join(rng.choices(letters, k=rng.randrange(0, 14)))
+        held = encode.EncodedText(enc, text)
+        for _ in range(2):
+            a = rng.randrange(len(held.text) + 1)
+            b = min(len(held.text), a + rng.randrange(4))
+            new = "".join(rng.choices(letters, k=rng.randrange(0, 3)))
+            before = held.text
+            held.replace(a, b, new)
+            assert held.text == before[:a] + new + before[b:]
+            assert held.ids == other.encode_ordinary(held.text), (before, a, b, new)
+            assert held.starts == encode.EncodedText(enc, held.text).starts
+
+
+def test_stores_are_bounded(both, monkeypatch):
+    enc, other = both
+    monkeypatch.setattr(enc, "_store", {})
+    monkeypatch.setattr(enc, "_pairs", {})
+    monkeypatch.setattr(encode, "STORE", 5)
+    monkeypatch.setattr(encode, "PAIRS", 20)
+    for t in TEXTS:
+        assert enc.encode(t) == other.encode_ordinary(t)
+        assert len(enc._store) <= 5 and len(enc._pairs) <= 20
+
+
 def test_corpus(spark):
     rows = [(1, "Hello", "a"), (2, "", "b"), (3, None, "c"), (1, "Hello", "a")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")

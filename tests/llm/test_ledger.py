@@ -29,11 +29,12 @@ def test_nulls_repeats_and_empty(spark):
 
 def test_ledger_adds_batches(spark):
     scratch = storage.Scratch(spark, "test")
-    book = ledger.CopyLedger(spark, scratch.path("ledger"), buckets=4)
+    book = ledger.CopyLedger(spark, scratch.path("ledger"), bucket_keys=16)
     first = [(f"{i:03}", f"front {i % 40}", "b", {"created_at": f"2024-01-{i % 28 + 1:02}"}) for i in range(100)]
     second = [(f"{i:03}", f"front {i % 50}", "b", {"created_at": "2023-12-31"}) for i in range(100, 130)]
-    for part in (first, second):
-        book.fold(ledger.keyed_cards(cards(spark, part)))
+    for name, part in (("one", first), ("two", second), ("one", first)):  # the first comes again
+        assert book.fold(ledger.keyed_cards(cards(spark, part)), name) == (part is second or not book.manifest()["version"] > 1)
+    assert book.manifest()["number"] == 8 and book.manifest()["folded"] == ["one", "two"]
     whole = {}
     for i, front, _, more in first + second:
         whole.setdefault(front, []).append((more["created_at"], i))
@@ -42,15 +43,16 @@ def test_ledger_adds_batches(spark):
     assert sorted(got) == sorted((len(v), min(v)[1], min(i for _, i in v)) for v in whole.values()) and set(got) == want
 
 
-def test_untouched_buckets_stay(spark):
-    scratch = storage.Scratch(spark, "test")
-    book = ledger.CopyLedger(spark, scratch.path("ledger"), buckets=64)
-    book.fold(ledger.keyed_cards(cards(spark, [(str(i), f"f{i}", "b") for i in range(300)])))
-    before = book._manifest()["buckets"]
-    book.fold(ledger.keyed_cards(cards(spark, [("x", "f1", "b")])))
-    after = book._manifest()["buckets"]
-    assert sum(before[b] != after[b] for b in before) == 1
-    assert book.read().filter("n = 2").count() == 1
+def test_untouched_buckets_stay_and_replaced_versions_go(spark):
+    path = storage.Scratch(spark, "test").path("ledger")
+    book = ledger.CopyLedger(spark, path, bucket_keys=8)
+    book.fold(ledger.keyed_cards(cards(spark, [(str(i), f"f{i}", "b") for i in range(300)])), "a")
+    before = book.manifest()["buckets"]
+    ledger.CopyLedger(spark, path, bucket_keys=8).fold(ledger.keyed_cards(cards(spark, [("x", "f1", "b")])), "b")  # by another object
+    after = book.manifest()["buckets"]
+    (changed,) = [b for b in before if before[b] != after[b]]
+    assert len(before) > 30 and not storage.exists(spark, f"{path}/v=1/bucket={changed}") and storage.exists(spark, f"{path}/v=2/bucket={changed}")
+    assert book.read().filter("n = 2").count() == 1 and book.read().count() == 300
 
 
 def test_hot_key(spark):

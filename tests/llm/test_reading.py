@@ -66,3 +66,14 @@ def test_folds_share_no_source():
 
 def test_few_labels():
     assert reading.fit(np.ones((1, reading.WIDTH)), np.array([2.0]), np.array(["a"])).grade(np.ones((2, reading.WIDTH))).tolist() == [2, 2]
+
+
+def test_variety_over_all_windows():
+    import random
+
+    rng = random.Random(3)
+    words = [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 9) for _ in range(1500)]
+    want = sum(len(set(words[i : i + 400])) / 400 for i in range(1101)) / 1101
+    assert abs(reading.variety(words) - want) < 1e-12
+    assert reading.variety(["a", "b", "a"]) == 2 / 3 and reading.variety([]) == 0
+    assert reading.variety(["a"] * 400 + list(map(str, range(4000)))) > 0.9  # an opening doesn't decide
