@@ -105,8 +105,8 @@ class Sentences:
 
     def __init__(self, model: Model, keys: list[str]):
         places = [model.places(k) for k in keys]
-        self.owner = np.repeat(np.arange(len(keys)), [len(p) for p in places])
-        self.flat = np.concatenate(places) if places else np.empty(0, np.int64)
+        self.owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(p) for p in places])
+        self.flat = np.concatenate(places).astype(np.int32) if places else np.empty(0, np.int32)
         self.n = len(keys)
 
     def scores(self, model: Model) -> np.ndarray:
@@ -119,12 +119,12 @@ class Sentences:
         return np.stack([np.bincount(self.flat, weight[self.owner, c], model.features) for c in range(model.classes)], 1)
 
 
-def fit_labelled(model: Model, keys: list[str], allowed: np.ndarray, weight: np.ndarray, rounds: int = 6, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def fit_labelled(model: Model, held: Sentences, allowed: np.ndarray, weight: np.ndarray, rounds: int = 6, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximization over labelled sentences, each limited to ``allowed`` classes; gives their counts and mass.
 
-    ``more``: counts and mass of unlabelled sentences that are added in every round.
+    ``weight``: how often each sentence occurs, 0 for those that the model must not see; ``more``: counts and mass of
+    unlabelled sentences that are added in every round.
     """
-    held = Sentences(model, keys)
     share = allowed / allowed.sum(1, keepdims=True)
     single = allowed.sum(1) == 2  # one subject, or nothing
     share = np.where(single[:, None], np.where(np.arange(model.classes) == model.classes - 1, 0.25, 0.75) * allowed, share)
@@ -202,17 +202,19 @@ def _card_evidence(model: Model, rows: list) -> np.ndarray:
     return out
 
 
-def _labelled_sentences(model: Model, rows: list, subjects_of: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct (sentence, allowed classes) of labelled cards, with counts."""
+def _labelled_sentences(model: Model, rows: list, subjects_of: dict, folds: int) -> tuple[Sentences, np.ndarray, np.ndarray]:
+    """Distinct (sentence, allowed classes) of labelled cards, and how often each occurs in every fold (rows by turns)."""
     seen: dict[tuple[str, bytes], int] = {}
-    for r in rows:
+    at, fold = [], []
+    for i, r in enumerate(rows):
         mask = subjects_of[r.id].astype(bool).tobytes()
         for key in r.sentences:
-            seen[key, mask] = seen.get((key, mask), 0) + 1
-    keys = [k for k, _ in seen]
+            at.append(seen.setdefault((key, mask), len(seen)))
+            fold.append(i % folds)
     allowed = np.stack([np.frombuffer(m, bool) for _, m in seen]) if seen else np.zeros((0, len(model.subjects)), bool)
-    allowed = np.concatenate([allowed, np.ones((len(keys), 1), bool)], 1)
-    return keys, allowed, np.array(list(seen.values()), float)
+    allowed = np.concatenate([allowed, np.ones((len(seen), 1), bool)], 1)
+    counts = np.bincount(np.array(fold, int) * len(seen) + np.array(at, int), minlength=folds * len(seen)).reshape(folds, len(seen)).astype(float)
+    return Sentences(model, [k for k, _ in seen]), allowed, counts
 
 
 def _unlabelled_counts(models: list[Model], distinct: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -237,10 +239,13 @@ def _unlabelled_counts(models: list[Model], distinct: DataFrame) -> list[tuple[n
         yield pd.DataFrame({"place": rows} | {c: total[rows, i] for i, c in enumerate(columns)})
 
     sums = distinct.mapInPandas(run, "place bigint, " + ", ".join(f"{c} double" for c in columns))
-    rows = sums.groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-    out = np.zeros((features + 1, len(columns)))
-    out[rows.place.to_numpy()] = rows[columns].to_numpy()
-    return [(out[:-1, i * k : (i + 1) * k], out[-1, i * k : (i + 1) * k]) for i in range(len(models))]
+    rows = sums.groupBy("place").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toPandas()
+    out = []
+    for i in range(len(models)):
+        own = np.zeros((features + 1, k), np.float32)
+        own[rows.place.to_numpy()] = rows[columns[i * k : (i + 1) * k]].to_numpy()
+        out.append((own[:-1], own[-1]))
+    return out
 
 
 def _read(cards: DataFrame) -> DataFrame:
@@ -283,24 +288,22 @@ def train(cards: DataFrame, areas: DataFrame, labels: DataFrame, scratch: storag
     if not rows or not k:
         return None, reduced
     subjects_of = {r.id: np.isin(np.arange(k), [number[s] for s in r.subjects if s in number]).astype(float) for r in rows}
-    # models of all labels but a part give that part's evidence for calibration; all of them are refined alike
+    # models of all labels but a fold give that fold's evidence for calibration; all of them are refined alike
     y = np.stack([subjects_of[r.id] for r in rows])
-    parts = []
-    for k_th in range(folds):
-        own, test = ([r for i, r in enumerate(rows) if (i % folds != k_th) == (side == 0)] for side in (0, 1))
-        if own and test:
-            parts.append((Model(model.subjects, index), own, test))
-    fits = [(m, _labelled_sentences(m, own, subjects_of)) for m, own in [*((m, own) for m, own, _ in parts), (model, rows)]]
-    for (m, data), own in zip(fits, [*(own for _, own, _ in parts), rows], strict=True):
-        fit_labelled(m, *data)
-        _learn_hints(m, own, subjects_of)
+    folds = min(folds, len(rows))
+    held_sentences, allowed, counts = _labelled_sentences(model, rows, subjects_of, folds)
+    models = [*(Model(model.subjects, index) for _ in range(folds if folds > 1 else 0)), model]
+    weights = [*(counts.sum(0) - counts[f] for f in range(len(models) - 1)), counts.sum(0)]
+    for f, (m, w) in enumerate(zip(models, weights, strict=True)):
+        fit_labelled(m, held_sentences, allowed, w)
+        _learn_hints(m, [r for i, r in enumerate(rows) if m is model or i % folds != f], subjects_of)
     distinct = scratch.cut(reduced.select(F.explode("sentences").alias("key")).groupBy("key").agg(F.count("*").alias("n")), "distinct")
     for _ in range(rounds):
-        for (m, data), more in zip(fits, _unlabelled_counts([m for m, _ in fits], distinct), strict=True):
-            fit_labelled(m, *data, rounds=2, more=more)
-    x, place = np.zeros((len(rows), k, 5), np.float32), {r.id: i for i, r in enumerate(rows)}
-    for m, _, test_rows in parts:
-        x[[place[r.id] for r in test_rows]] = _card_evidence(m, test_rows)
+        for m, w, more in zip(models, weights, _unlabelled_counts(models, distinct), strict=True):
+            fit_labelled(m, held_sentences, allowed, w, rounds=2, more=more)
+    x = np.zeros((len(rows), k, 5), np.float32)
+    for f, m in enumerate(models[:-1]):
+        x[f::folds] = _card_evidence(m, rows[f::folds])
     model.bias, model.slope = calibrate(x, y)
     return model, reduced
 
