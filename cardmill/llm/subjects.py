@@ -224,28 +224,30 @@ def _unlabelled_counts(models: list[Model], distinct: DataFrame) -> list[tuple[n
     """
     held = distinct.sparkSession.sparkContext.broadcast(models)
     k, features = models[0].classes, models[0].features
-    columns = [f"m{m}c{c}" for m in range(len(models)) for c in range(k)]
+    columns = [f"c{c}" for c in range(k)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((features + 1, len(columns)))
+        total = [np.zeros((features + 1, k)) for _ in held.value]
         for f in frames:
             if len(f):
                 s = Sentences(held.value[0], f.key.tolist())
-                for i, m in enumerate(held.value):
+                for m, own in zip(held.value, total, strict=True):
                     w = _posterior(s.scores(m)) * f.n.to_numpy(float)[:, None]
-                    total[:-1, i * k : (i + 1) * k] += s.counts(m, w)
-                    total[-1, i * k : (i + 1) * k] += w.sum(0)
-        rows = np.flatnonzero(total.any(1))
-        yield pd.DataFrame({"place": rows} | {c: total[rows, i] for i, c in enumerate(columns)})
-
-    sums = distinct.mapInPandas(run, "place bigint, " + ", ".join(f"{c} double" for c in columns))
-    rows = sums.groupBy("place").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toPandas()
-    out = []
-    for i in range(len(models)):
-        own = np.zeros((features + 1, k), np.float32)
-        own[rows.place.to_numpy()] = rows[columns[i * k : (i + 1) * k]].to_numpy()
-        out.append((own[:-1], own[-1]))
-    return out
+                    own[:-1] += s.counts(m, w)
+                    own[-1] += w.sum(0)
+        for i, own in enumerate(total):
+            rows = np.flatnonzero(own.any(1))
+            yield pd.DataFrame({"m": i, "place": rows} | {c: own[rows, j] for j, c in enumerate(columns)})
+
+    sums = distinct.mapInPandas(run, "m int, place int, " + ", ".join(f"{c} double" for c in columns))
+    rows = sums.groupBy("m", "place").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toArrow()
+    model, place = rows.column("m").to_numpy(), rows.column("place").to_numpy()
+    out = [np.zeros((features + 1, k), np.float32) for _ in models]
+    for i, own in enumerate(out):
+        mine = model == i
+        for c in range(k):
+            own[place[mine], c] = rows.column(columns[c]).to_numpy()[mine]
+    return [(own[:-1], own[-1]) for own in out]
 
 
 def _read(cards: DataFrame) -> DataFrame:
