@@ -18,17 +18,19 @@ from cardmill import storage
 #: Words that open an entry of a labelled list (fixed values).
 LABELS = ("case", "theme", "unit", "grade", "caso", "tema", "unidad", "grado")
 _MARK, _JOIN = "\u0001", "\u0002"
+#: A label in text whose words are set apart by two spaces, also with something dropped between its letters.
+LABEL = "(?:" + "|".join("(?:  )?".join(w) for w in LABELS) + ")"
 
 
 def side_key(text: Column) -> Column:
     """The content of one side. Null counts as empty; a side without letters and digits gives ''.
 
     Words are first set apart by two spaces, so that labels next to each other are both found. A list starts with a
-    label and has at least two of them.
+    label and has at least two of them. What is dropped doesn't count within a label either ("The:me" is one).
     """
     words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Cf}+", "")
     words = F.concat(F.lit("  "), F.regexp_replace(words, r"[^\p{L}\p{M}\p{N}]+", "  "), F.lit("  "))
-    marked = F.regexp_replace(words, f" ({'|'.join(LABELS)}) ", f"{_MARK}$1 ")
+    marked = F.regexp_replace(words, f" ({LABEL}) ", f"{_MARK}$1 ")
     entries = F.array_sort(F.split(F.replace(marked, F.lit(" "), F.lit("")), _MARK))
     return F.when(marked.rlike(f"^ *{_MARK}[^{_MARK}]*{_MARK}"), F.array_join(entries, _JOIN)).otherwise(F.replace(words, F.lit(" "), F.lit("")))
 

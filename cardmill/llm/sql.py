@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardmill.llm.ledger import LABELS
+from cardmill.llm.ledger import LABEL
 from cardmill.llm.lookalike import printed_form
 
 _WORDS = "'  ' || regexp_replace(regexp_replace(lower(coalesce({x}, '')), '\\p{{Cf}}+', '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '  ', 'g') || '  '"
@@ -10,7 +10,7 @@ _GRAMS = "list_distinct(list_transform(range(1, length({x}) - 1), lambda i: subs
 
 
 def _side(x: str) -> str:
-    marked = f"regexp_replace({x}, ' ({'|'.join(LABELS)}) ', chr(1) || '\\1 ', 'g')"
+    marked = f"regexp_replace({x}, ' ({LABEL}) ', chr(1) || '\\1 ', 'g')"
     return f"CASE WHEN regexp_matches({marked}, '^ *' || chr(1) || '[^' || chr(1) || ']*' || chr(1)) THEN array_to_string(list_sort(string_split(replace({marked}, ' ', ''), chr(1))), chr(2)) ELSE replace({x}, ' ', '') END"
 
 

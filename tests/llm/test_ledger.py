@@ -21,6 +21,18 @@ def test_formats_lists_and_swaps(spark):
     assert found(spark, rows) == {("a", "b"), ("a", "c"), ("e", "f")}
 
 
+def test_what_is_dropped_does_not_count_within_labels(spark):
+    rows = [
+        ("a", "Case: A B; Theme: the me; Unit: 1", "z"),
+        ("b", "Cas:e A B; The me -- the me; Uni:t 1", "z"),  # the same letters
+        ("c", "Unit: 1; Case: A B; Theme: the me", "z"),  # other order
+        ("d", "Case: A B; Theme: the me; Unit: 12", "z"),
+        ("e", "Caseload A B; Theme: x", "z"),  # no list
+        ("f", "Theme: x. Caseload A B", "z"),
+    ]
+    assert found(spark, rows) == {("a", "b"), ("a", "c")}
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [("a", None, "x y"), ("b", "xy", None), ("a", None, "x y"), (None, "x", "y"), ("c", None, None), ("d", "?!", ""), ("e", "long " * 20000, "q"), ("f", "LONG " * 20000, "q", {"ingest_batch": None})]
     assert found(spark, rows) == {("a", "b"), ("c", "d"), ("e", "f")}
