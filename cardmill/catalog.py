@@ -125,23 +125,37 @@ def scored_edges(s: SparkSession, d: str) -> DataFrame:
     return found.select("a", "b", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
+def _report(found: DataFrame) -> DataFrame:
+    return found.withColumn("reasons", F.array_join("reasons", ","))
+
+
 def duplicate_clusters(s: SparkSession, d: str) -> DataFrame:
-    _, _, found = audits.duplicate_clusters(_records(s, d), SETTINGS)
-    return found.select("cluster_id", F.col("representative"), "size", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+    return _report(audits.duplicate_clusters(_records(s, d), SETTINGS)[2])
 
 
-def cluster_report(s: SparkSession, d: str) -> DataFrame:
-    """Clusters with vectors as a further signal; rows only, as vectors come through JSON and cache."""
+def cluster_members(s: SparkSession, d: str) -> DataFrame:
+    return audits.duplicate_clusters(_records(s, d), SETTINGS)[1].select("cluster_id", F.col("id").alias("note_id"), "size")
+
+
+def largest_clusters(s: SparkSession, d: str) -> DataFrame:
+    return _report(audits.largest(audits.duplicate_clusters(_records(s, d), SETTINGS)[2]))
+
+
+def _note_vectors(s: SparkSession, d: str) -> DataFrame:
     notes = _notes(s, d).select("note_id", "fingerprint", "embedding_vector")
-    vectors = registry.own_or_cached(notes, _t(s, d, "embedding_cache"), MODEL).select(F.col("note_id").alias("record_id"), "vector")
-    _, _, found = audits.duplicate_clusters(_records(s, d), SETTINGS, vectors)
-    return found
+    return registry.own_or_cached(notes, _t(s, d, "embedding_cache"), MODEL).select(F.col("note_id").alias("record_id"), "vector")
+
+
+def cluster_report(s: SparkSession, d: str) -> DataFrame:
+    """Clusters with vectors as a further signal."""
+    return _report(audits.duplicate_clusters(_records(s, d), SETTINGS, _note_vectors(s, d))[2])
 
 
 def pair_metrics(s: SparkSession, d: str) -> DataFrame:
-    r = audits.with_blocks(_records(s, d))
+    scratch = storage.Scratch(s, "metrics")
+    r = scratch.cut(audits.with_blocks(_records(s, d)), "records")
     _, _, found = audits.duplicate_clusters(r.drop("anchors", "block_keys"), SETTINGS)
-    return cluster.pair_metrics(r, candidates.block_sizes(r), candidates.jaccard_all(r), found)
+    return cluster.pair_metrics(r, candidates.block_sizes(r), audits.candidate_pairs(r, scratch.cut(_note_vectors(s, d), "vectors")), found)
 
 
 def _vectors(s: SparkSession, d: str) -> DataFrame:
@@ -156,14 +170,21 @@ def calibrated_cosine(s: SparkSession, d: str) -> DataFrame:
     return candidates.vector_join(_vectors(s, d), 0.30).select("a", "b", F.round(scores.calibrate(F.col("cosine")), 4).alias("score"))
 
 
-def similar_topk(s: SparkSession, d: str) -> DataFrame:
-    pool = audits.with_blocks(_records(s, d))
-    pool = storage.Scratch(s, "similar").cut(pool, "pool")
+def _similar(s: SparkSession, d: str, least: float, vectors: DataFrame | None = None) -> DataFrame:
+    pool = _written(s, d)
     queries = pool.filter("record_id % 100 = 0")
-    found = similar.top_similar(similar.lookup_pairs(queries, pool), queries, pool, 0.60)
+    found = similar.top_similar(similar.lookup_pairs(queries, pool, least, vectors), queries, pool, least)
     return found.select("q", "r", "score", F.array_join("reasons", ",").alias("reasons"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def similar_topk(s: SparkSession, d: str) -> DataFrame:
+    return _similar(s, d, 0.60)
+
+
+def similar_by_vectors(s: SparkSession, d: str) -> DataFrame:
+    return _similar(s, d, SETTINGS.similar_threshold, storage.Scratch(s, "vectors").cut(_note_vectors(s, d), "vectors"))
+
+
 def _neighbours(s: SparkSession, d: str) -> DataFrame:
     v = _vectors(s, d)
     return similar.nearest_vectors(v.filter("record_id % 100 = 0"), v, least=0.0)
@@ -220,12 +241,13 @@ def resolved_tags(s: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(s: SparkSession, d: str) -> DataFrame:
-    c = _cards(s, d).select(F.col("id").alias("record_id"), "created_at", F.col("front_original").alias("front"), F.col("back_original").alias("back"), F.col("target_deck").alias("deck"), F.filter(F.split(F.coalesce("tags_resolved", F.lit("")), " "), lambda t: t != "").alias("suggested_tags"))
+    c = _norm_cards(s, d).select(F.col("id").alias("record_id"), F.col("f").alias("front"), F.col("b").alias("back"), F.col("target_deck").alias("deck"), F.filter(F.split(F.coalesce("tags_resolved", F.lit("")), " "), lambda t: t != "").alias("suggested_tags"))
     return classify.classify(c, PROFILE, _taxonomy(s, d))
 
 
 def classified(s: SparkSession, d: str) -> DataFrame:
-    return _classified(s, d).select("record_id", F.to_json("scope").alias("scope"), F.array_join("tags_resolved", " ").alias("tags"), "confidence")
+    scope = [F.col("scope")[c].alias(c) for c in ("topic", "cert", "area", "level", "type")]
+    return _classified(s, d).select("record_id", *scope, F.array_join("tags_resolved", " ").alias("tags"), "confidence")
 
 
 def confidence(s: SparkSession, d: str) -> DataFrame:
@@ -263,8 +285,8 @@ def cloze(s: SparkSession, d: str) -> DataFrame:
 
 def better_version(s: SparkSession, d: str) -> DataFrame:
     c = _norm_cards(s, d).filter("f <> ''")
-    empty = F.array().cast("array<string>")
-    flags = quality.flags(F.coalesce("back_original", F.lit("")), F.col("b"), empty, empty)
+    words = lambda x: F.split(text.words_only(text.unaccented(F.col(x))), " ")
+    flags = quality.flags(F.coalesce("back_original", F.lit("")), F.col("b"), words("f"), words("b"))
     c = c.withColumn("flags", flags)
     pairs = candidates.stars(c.withColumnRenamed("id", "record_id"), ["f"]).select("a", "b")
     old = c.select(F.col("id").alias("a"), F.col("flags").alias("old_flags"), F.col("back_original").alias("old_back"))
@@ -282,7 +304,7 @@ def _audit(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     parts = []
     for rows in (c.filter(is_new), registry.active(c.filter(~is_new))):
         parts.append(audits.records(rows, "id", "front_normalized", "back_normalized", "target_deck", "note_type", "scope_json"))
-    every = scratch.cut(audits.with_blocks(parts[0].withColumn("new", F.lit(True)).unionByName(parts[1].withColumn("new", F.lit(False)))), "records")
+    every = scratch.cut(parts[0].withColumn("new", F.lit(True)).unionByName(parts[1].withColumn("new", F.lit(False))), "records")
     batch = every.filter("new").drop("new", "scope")
     tags = F.filter(F.split(F.coalesce("tags_resolved", F.lit("")), " "), lambda t: t != "")
     batch = batch.join(c.select(F.col("id").alias("record_id"), tags.alias("suggested_tags"), F.struct("created_at", "id").alias("idx")), "record_id")
@@ -292,7 +314,12 @@ def _audit(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def annotate(s: SparkSession, d: str) -> DataFrame:
     audited, held = _audit(s, d)
-    return audit.annotate(audited, held).select("record_id", "action", "reason", F.array_join("match_ids", " ").alias("matches"), "status", F.array_join("tags_resolved", " ").alias("tags"), F.array_join("quality", " ").alias("quality"), "cloze", "version")
+    return audit.annotate(audited, held).select("record_id", "action", "reason", F.array_join("match_ids", " ").alias("matches"), "status", F.array_join("quality", " ").alias("quality"), "cloze", "version")
+
+
+def annotated_tags(s: SparkSession, d: str) -> DataFrame:
+    """The tags of the newest batch, with what its neighbours' votes add; rows only, as cards vote in a chain."""
+    return _audit(s, d)[0].select("record_id", F.array_join("tags_resolved", " ").alias("tags"), "confidence")
 
 
 def audit_summary(s: SparkSession, d: str) -> DataFrame:
@@ -326,7 +353,7 @@ def untagged_page(s: SparkSession, d: str) -> DataFrame:
 
 
 def taxonomy_proposals(s: SparkSession, d: str) -> DataFrame:
-    return audits.taxonomy_proposals(_records(s, d), ["topic"], _taxonomy(s, d), SETTINGS)
+    return audits.taxonomy_proposals(_records(s, d), ["topic"], _taxonomy(s, d), SETTINGS).withColumn("samples", F.array_join("samples", " | "))
 
 
 def collection_health(s: SparkSession, d: str) -> DataFrame:
@@ -346,7 +373,7 @@ def recent_notes(s: SparkSession, d: str) -> DataFrame:
 
 def recent_audit(s: SparkSession, d: str) -> DataFrame:
     scratch = storage.Scratch(s, "recent")
-    r = scratch.cut(audits.with_blocks(_records(s, d)), "records")
+    r = scratch.cut(_records(s, d), "records")
     ids = recent_notes(s, d).select(F.col("note_id").alias("record_id"))
     return audits.recent_audit(r.join(ids, "record_id", "left_semi"), r, ["topic", "type"], SETTINGS).withColumn("missing", F.array_join("missing", " "))
 
@@ -362,7 +389,7 @@ def id_lookup(s: SparkSession, d: str) -> DataFrame:
     c = _cards(s, d)
     out = None
     for prefix in ("0", "00", "zz"):
-        one = registry.by_prefix(c, prefix).select(F.lit(prefix).alias("prefix"), "outcome", "id")
+        one = registry.by_prefix(c, prefix).select(F.lit(prefix).alias("prefix"), "outcome", "id", "n")
         out = one if out is None else out.union(one)
     return out
 
@@ -385,8 +412,10 @@ def undo_sync(s: SparkSession, d: str) -> DataFrame:
 
 
 def replaced_deck(s: SparkSession, d: str) -> DataFrame:
-    n = _notes(s, d).select("note_id", "deck_name")
-    fresh = n.filter(registry.in_deck(F.col("deck_name"), ROOT)).filter("note_id % 2 = 0")
+    n = _notes(s, d).select("note_id", "deck_name", "indexed_at")
+    decks = _t(s, d, "indexed_decks").filter(registry.in_deck(F.col("deck_name"), ROOT))
+    at = decks.agg(F.max("last_refreshed_at")).first()[0] or ""
+    fresh = n.filter(registry.in_deck(F.col("deck_name"), ROOT) & (F.col("indexed_at") >= at))
     return registry.counts_by(registry.replace_deck(n, fresh, ROOT), "deck_name")
 
 
@@ -418,8 +447,8 @@ def simple(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str],
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         exact_duplicates, normalized_text, semantic_text, normalized_format, question_keys, stemmed_tokens, char_trigrams, token_idf, anchor_tokens, block_keys, block_sizes, blocked_pairs, exact_links, jaccard_pairs,
-        scored_edges, duplicate_clusters, cluster_report, pair_metrics, cosine_pairs, calibrated_cosine, similar_topk, knn_topk, facet_vote, applied_votes, keyword_facets, topic_facet, type_facet, deck_facets, resolved_tags,
-        classified, confidence, auto_classify_summary, missing_categories, deck_route, quality_flags, cloze, better_version, annotate, audit_summary, ingest_upsert, lifecycle_fold, latest_events, untagged_page, taxonomy_proposals,
+        scored_edges, duplicate_clusters, cluster_members, largest_clusters, cluster_report, pair_metrics, cosine_pairs, calibrated_cosine, similar_topk, similar_by_vectors, knn_topk, facet_vote, applied_votes, keyword_facets, topic_facet, type_facet, deck_facets, resolved_tags,
+        classified, confidence, auto_classify_summary, missing_categories, deck_route, quality_flags, cloze, better_version, annotate, annotated_tags, audit_summary, ingest_upsert, lifecycle_fold, latest_events, untagged_page, taxonomy_proposals,
         collection_health, cache_join, recent_notes, recent_audit, tsv_export, id_lookup, sync_plan, undo_ingest, undo_sync, replaced_deck, deck_counts, stale_decks, record_pool, embedding_text,
     ]
     return {f.__name__: f for f in named} | {

@@ -10,12 +10,12 @@ from cardmill.functions import text
 # Limits (fixed values).
 LONG_ANSWER, SEGMENTS, LEAK_LENGTH, CLOZE_WORDS, LONGER = 320, 3, 6, 4, 1.3
 YES_NO = r"^(?:s[ií]|no|yes|true|false|verdadero|falso)(?:$|[^\p{L}\p{N}_])"
-LIST_MARK = r"(?:^|\n)\s*(?:[-*•·]|\d+[.)])\s+"
+LIST_MARK = r"(?m)^\s*(?:[-*•·]|\d+[.)])\s+"
 
 
 def flags(back_raw: Column, back: Column, front_words: Column, back_words: Column) -> Column:
     """Codes of what is wrong: ``back`` is the normal form, the word arrays are semantic tokens."""
-    marks = F.size(F.split(back_raw, LIST_MARK)) - 1
+    marks = F.regexp_count(back_raw, F.lit(LIST_MARK))
     segments = F.size(F.filter(F.split(back, r"[.;\n]+"), lambda s: F.trim(s) != ""))
     shared = F.exists(F.array_intersect(front_words, back_words), lambda w: F.length(w) >= LEAK_LENGTH)
     found = F.array(

@@ -59,9 +59,11 @@ def settle_votes(scopes: DataFrame, matches: DataFrame, fixed: DataFrame, terms:
             return applied
 
 
-def audit_batch(cards: DataFrame, held: DataFrame, profile: Profile, taxonomy: Taxonomy, settings: Settings, scratch: storage.Scratch) -> DataFrame:
+def audit_batch(cards: DataFrame, held: DataFrame, profile: Profile, taxonomy: Taxonomy, settings: Settings, scratch: storage.Scratch, vectors: DataFrame | None = None) -> DataFrame:
     """Audit a batch (``record_id, idx, front, back, deck, suggested_tags`` and features) against ``held`` records.
 
+    ``vectors`` (record_id, vector) of either side add near vectors to what the texts find.
+
     Cards are judged in order: card i sees the pool and its siblings before it, whose facets may come from votes of
     their own. All cards are scored at once (a pair with a later sibling is dropped); votes are repeated until no scope
     changes, which settles at least one more card of every chain each round: a card depends on those before it only,
@@ -72,9 +74,9 @@ def audit_batch(cards: DataFrame, held: DataFrame, profile: Profile, taxonomy: T
     rows = batch.withColumns({"sibling": F.lit(True), "vendor": F.col("scope")["vendor"]})
     pool_rows = held.withColumns({"sibling": F.lit(False), "vendor": F.col("scope")["vendor"]})
     records = pool_rows.unionByName(rows, allowMissingColumns=True)
-    pairs = similar.lookup_pairs(rows.select("record_id", "fingerprint", "front_norm", "semantic_key", "block_keys"), records)
+    pairs = similar.lookup_pairs(rows, records, settings.similar_threshold, vectors)
     order = pairs.join(siblings.select(F.col("record_id").alias("q"), F.col("idx").alias("qi")), "q").join(siblings.select(F.col("record_id").alias("r"), F.col("idx").alias("ri")), "r", "left")
-    pairs = order.filter("ri IS NULL OR ri < qi").select("q", "r")
+    pairs = order.filter("ri IS NULL OR ri < qi").select("q", "r", "cosine")
     matches = similar.top_similar(pairs, rows, records, settings.similar_threshold)
     matches = scratch.cut(matches.join(records.select(F.col("record_id").alias("r"), "sibling"), "r"), "matches")
     terms = cards.sparkSession.createDataFrame([(c, v) for c, values in taxonomy.categories.items() for v in values], "category string, value string")

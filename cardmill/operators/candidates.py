@@ -59,10 +59,13 @@ def block_sizes(records: DataFrame, keys: str = "block_keys", key: str = "record
 def stars(records: DataFrame, on: list[str], key: str = "record_id") -> DataFrame:
     """``a, b`` linking each record to the first of its group: the components of all pairs of equal values, in linear size.
 
-    The first is found by an aggregation, so a hot value meets in no task as a group.
+    The first is found by an aggregation and brought to hot values by a broadcast, so a hot value meets in no task as a
+    group.
     """
-    first = records.groupBy(*on).agg(F.min(key).alias("a"), F.count("*").alias("n")).filter("n > 1")
-    return records.select(*on, F.col(key).alias("b")).join(first, on).filter("a < b").select("a", "b")
+    value = on[0] if len(on) == 1 else "value"
+    rows = records if len(on) == 1 else records.withColumn("value", F.struct(*on))
+    first = rows.groupBy(value).agg(F.min(key).alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return storage.join_by_size(rows.select(value, F.col(key).alias("b")), first, value, "n", F.lit(records.count())).filter("a < b").select("a", "b")
 
 
 def exact(records: DataFrame, key: str = "record_id") -> DataFrame:
@@ -94,19 +97,51 @@ def expand_equal_sets(pairs: DataFrame, records: DataFrame, tokens: str = "conte
     return pairs.select("a", "b").union(stars(records.select(key, F.array_sort(tokens).alias("t")).filter(F.size("t") > 0), ["t"], key))
 
 
-def jaccard_all(records: DataFrame, least: float = 0.5, tokens: str = "content", key: str = "record_id") -> DataFrame:
-    """``a, b, shared``: the pairs of ``jaccard_join`` between all records, also those of equal token sets.
+def jaccard_lookup(queries: DataFrame, pool: DataFrame, least: float, tokens: str = "content", key: str = "record_id") -> DataFrame:
+    """``q, r``: all pairs of a query and a pool record with a token Jaccard of at least ``least``, by prefix filter.
+
+    Tokens are ordered by their number in the pool, rarest first (those it lacks come before all others), so that common
+    tokens are met only by sets that have few others. Equal token sets are one entry on either side of the join.
+    """
+    sets = lambda df: df.select(F.col(key).alias("id"), F.array_sort(tokens).alias("t")).filter(F.size("t") > 0)
+    df = sets(pool).select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("t").orderBy("df", "token"))
+    sides = []
+    for rows in (queries, pool):
+        each = sets(rows).select("t").distinct().select("t", F.size("t").alias("n"), F.explode("t").alias("token")).join(df, "token", "left").fillna(0, ["df"])
+        sides.append(each.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("token", "n", "t"))
+    a, b = sides[0].toDF("token", "na", "ta"), sides[1].toDF("token", "nb", "tb")
+    near = a.join(b, "token").filter((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("ta", "tb", "na", "nb").distinct()
+    shared = F.size(F.array_intersect("ta", "tb"))
+    near = near.filter(shared >= least * (F.col("na") + F.col("nb") - shared)).select("ta", "tb")
+    return near.join(sets(queries).toDF("q", "ta"), "ta").join(sets(pool).toDF("r", "tb"), "tb").select("q", "r")
+
+
+def _sets(records: DataFrame, tokens: str, key: str, scratch: storage.Scratch) -> tuple[DataFrame, DataFrame]:
+    """(``head, t, n`` of each distinct token set, ``head, id, shared`` of its records), written."""
+    sets = scratch.cut(records.select(F.col(key).alias("id"), F.array_sort(tokens).alias("t")).filter(F.size("t") > 0), "sets")
+    heads = scratch.cut(sets.groupBy("t").agg(F.min("id").alias("head"), F.count("*").alias("n")), "set-heads")
+    members = storage.join_by_size(sets, heads, "t", "n", sets.count()).select("head", "id", F.size("t").alias("shared"))
+    return heads, scratch.cut(members, "set-members")
+
+
+def jaccard_across(records: DataFrame, least: float = 0.5, tokens: str = "content", key: str = "record_id", scratch: storage.Scratch | None = None, sets: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``a, b, shared``: all pairs of records of different token sets with a token Jaccard of at least ``least``.
 
     Sets are compared once each; their records are joined on at the end, so the rows are as many as the pairs.
     """
-    sets = records.select(F.col(key).alias("id"), F.array_sort(tokens).alias("t")).filter(F.size("t") > 0)
-    heads = sets.groupBy("t").agg(F.min("id").alias("head"), F.count("*").alias("n"))
-    members = storage.join_by_size(sets, heads, "t", "n", records.count()).select("head", "id", F.size("t").alias("shared"))
+    heads, members = sets or _sets(records, tokens, key, scratch or storage.Scratch(records.sparkSession, "jaccard"))
     a, b = (members.select(F.col("head").alias(side), F.col("id").alias(name)) for side, name in (("a", "p"), ("b", "q")))
-    across = jaccard_join(records, least, tokens, key).join(a, "a").join(b, "b")
-    widths = heads.filter("n > 1").select("head", F.size("t").alias("shared"))
-    inside = pairs_within(members.select("head", "id"), "head", "id").join(widths, "head")
-    return across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared").union(inside.select("p", "q", "shared"))
+    near = jaccard_join(heads.select(F.col("head").alias(key), F.col("t").alias(tokens)), least, tokens, key)
+    return near.join(a, "a").join(b, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared")
+
+
+def jaccard_all(records: DataFrame, least: float = 0.5, tokens: str = "content", key: str = "record_id") -> DataFrame:
+    """``a, b, shared``: the pairs of ``jaccard_join`` between all records, also those of equal token sets."""
+    sets = _sets(records, tokens, key, storage.Scratch(records.sparkSession, "jaccard"))
+    widths = sets[0].filter("n > 1").select("head", F.size("t").alias("shared"))
+    inside = pairs_within(sets[1].select("head", "id"), "head", "id").join(widths, "head").select("p", "q", "shared")
+    return jaccard_across(records, least, tokens, key, sets=sets).union(inside)
 
 
 def equal(records: DataFrame, on: str, key: str = "record_id") -> DataFrame:
@@ -176,14 +211,20 @@ def complete(records: DataFrame, vectors: DataFrame | None = None, key: str = "r
     the limit of pairs that nothing but their vectors supports. Records that agree in all that is scored meet the others
     as one, linked to the first of them by a star; with ``copies`` each of them has all of its pairs.
     """
+    scratch = storage.Scratch(records.sparkSession, "complete")
     rows = records if vectors is None else records.join(vectors.select(key, "vector"), key, "left")
     links = None
     if not copies:
-        same = F.to_json(F.struct(*[c for c in ("front_norm", "back_norm", "vendor", "vector") if c in rows.columns]))
-        links = stars(rows.select(key, same.alias("same")), ["same"], key)
+        same = F.md5(F.to_json(F.struct(*[c for c in ("front_norm", "back_norm", "vendor", "vector") if c in rows.columns])))
+        links = scratch.cut(stars(scratch.cut(rows.select(key, same.alias("same")), "same"), ["same"], key), "links")
         rows = rows.join(links.select(F.col("b").alias(key)), key, "left_anti")
-    pairs = equal(rows, "fingerprint", key).union(equal(rows.filter("front_norm <> ''"), "front_norm", key)).union(equal(rows, "semantic_key", key)).union(jaccard_all(rows, key=key).select("a", "b"))
-    pairs = (pairs if links is None else pairs.union(links)).distinct().withColumn("cosine", F.lit(None).cast("double"))
+    rows = scratch.cut(rows.select(key, "fingerprint", "front_norm", "semantic_key", "content", *[c for c in ("vector",) if c in rows.columns]), "rows")
+    # equal values of any kind in one join; what they are is told apart by a letter in front
+    named = lambda tag, c: F.when(c.isNotNull() & (c != ""), F.md5(F.concat(F.lit(tag), c)))
+    values = F.array_compact(F.array(named("p", F.col("fingerprint")), named("f", F.col("front_norm")), named("q", F.col("semantic_key")), named("t", F.array_join(F.array_sort("content"), " "))))
+    keys = scratch.cut(rows.select(F.explode(values).alias("value"), F.col(key).alias("id")), "values")
+    pairs = pairs_within(keys, "value", "id").select(F.col("p").alias("a"), F.col("q").alias("b")).union(jaccard_across(rows, key=key, scratch=scratch).select("a", "b"))
+    pairs = scratch.cut((pairs if links is None else pairs.union(links)).distinct(), "pairs").withColumn("cosine", F.lit(None).cast("double"))
     return pairs if vectors is None else with_cosine(pairs.unionByName(vector_join(rows.select(key, "vector"), 0.96, key)), vectors, key)
 
 

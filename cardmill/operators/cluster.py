@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +17,10 @@ FIELDS = {"fingerprint": "fingerprint", "front": "front_norm", "key": "semantic_
 def score_pairs(pairs: DataFrame, records: DataFrame, least: float, key: str = "record_id") -> DataFrame:
     """``a, b, score, reasons`` of candidate pairs whose score is at least ``least``; the score is rounded after the test.
 
-    Only features travel to the pairs, never the texts. ``pairs`` may carry a ``cosine``.
+    Only features travel to the pairs, never the texts. ``pairs`` may carry a ``cosine``. Records need a ``vendor``
+    (null where there is none), as vectors alone never link records of two vendors.
     """
-    rows = records if "vendor" in records.columns else records.withColumn("vendor", F.lit(None).cast("string"))
+    rows = records
     sides = []
     for side in ("a", "b"):
         sides.append(rows.select(F.col(key).alias(side), *[F.col(c).alias(f"{side}_{n}") for n, c in FIELDS.items()]))
@@ -39,12 +43,13 @@ def components(edges: DataFrame, scratch: storage.Scratch, a: str = "a", b: str
     for k in range(most_rounds):
         if graph.isEmpty():
             break
+        hubs = storage.hot_keys(graph, ["x", "y"], graph.count(), scratch, f"hubs-{k}")
         order = lambda c, k=k: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("v"))
         seen = graph.select("x", order("y").alias("o")).union(graph.select("y", order("x"))).union(graph.select("x", order("x"))).union(graph.select("y", order("y")))
         move = scratch.cut(seen.groupBy(F.col("x").alias("v")).agg(F.min("o").alias("o")).select("v", F.col("o.v").alias("to")), f"move-{k}")
         moves.append(move)
-        p, q = move.select(F.col("v").alias("x"), F.col("to").alias("p")), move.select(F.col("v").alias("y"), F.col("to").alias("q"))
-        moved = graph.join(p, "x").join(q, "y").filter("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+        moved = storage.join_at(graph, "x", move.withColumnRenamed("to", "p"), hubs)
+        moved = storage.join_at(moved, "y", move.withColumnRenamed("to", "q"), hubs).filter("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
         graph = scratch.cut(moved.distinct(), f"graph-{k + 1}")
         scratch.drop(f"graph-{k}")
     else:
@@ -59,20 +64,55 @@ def components(edges: DataFrame, scratch: storage.Scratch, a: str = "a", b: str
     return storage.join_by_size(answer, first, "to", "n", F.lit(answer.count())).select(F.col("v").alias("id"), "root")
 
 
-def summaries(edges: DataFrame, roots: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``cluster_id, representative, size, members, reasons, score_floor`` of components of two or more.
+def members(roots: DataFrame, scratch: storage.Scratch) -> DataFrame:
+    """``cluster_id, root, id, size``: a row for every member. The cluster's id is drawn from its members' ids as text, in order.
+
+    The digest is taken over the sorted rows as they stream by, so that a cluster of any size needs no memory.
+    """
+    size = roots.groupBy("root").agg(F.count("*").alias("size"))
+    sorted_rows = roots.select("root", F.col("id").cast("string").alias("id")).repartition("root").sortWithinPartitions("root", "id")
+    kind = roots.schema["root"].dataType.simpleString()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        at, held, out = None, None, []
+        for batch in batches:
+            for root, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held is None or root != at:
+                    if held is not None:
+                        out.append((at, held.hexdigest()[:12]))
+                    at, held = root, hashlib.sha1(i.encode())
+                else:
+                    held.update(b"||" + i.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in ((0, batch.schema.field(0).type), (1, pa.string()))], names=["root", "cluster_id"])
+            out = []
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], batch.schema.field(0).type), pa.array([held.hexdigest()[:12]])], names=["root", "cluster_id"])
+
+    named = scratch.cut(sorted_rows.mapInArrow(digest, f"root {kind}, cluster_id string").join(size, "root"), "named")
+    return storage.join_by_size(roots, named, "root", "size", F.lit(roots.count())).select("cluster_id", "root", "id", "size")
+
+
+def summaries(edges: DataFrame, found: DataFrame, records: DataFrame | None = None, a: str = "a") -> DataFrame:
+    """``cluster_id, representative, size, reasons, score_floor`` of the clusters in ``found`` (see ``members``).
 
-    The members of one cluster come into one row; clusters are small by nature, hot copies are counted before.
+    The representative is the first member in record order, if ``records`` (``record_id`` and its ``place``) are given,
+    else the smallest id. Only counts, a minimum and the few reason codes are gathered of a cluster.
     """
-    members = roots.groupBy("root").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members"))
-    inside = edges.join(roots.select(F.col("id").alias(a), "root"), a)
-    about = inside.groupBy("root").agg(F.min("score").alias("score_floor"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"))
-    named = F.substring(F.sha1(F.array_join(F.transform("members", lambda m: m.cast("string")), "||")), 1, 12)
-    return members.join(about, "root").select(named.alias("cluster_id"), F.col("root").alias("representative"), "size", "members", "reasons", F.round("score_floor", 4).alias("score_floor"))
+    inside = edges.join(found.select(F.col("id").alias(a), "cluster_id"), a)
+    floors = inside.groupBy("cluster_id").agg(F.min("score").alias("score_floor"))
+    codes = inside.select("cluster_id", F.explode("reasons").alias("reason")).groupBy("cluster_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    first = found if records is None else found.join(records.select(F.col("record_id").alias("id"), "place"), "id")
+    order = F.col("id") if records is None else F.struct("place", F.col("id").cast("string").alias("text"), "id")
+    first = first.groupBy("cluster_id").agg(F.min(order).alias("f"), F.first("size").alias("size"))
+    rep = F.col("f") if records is None else F.col("f.id")
+    out = first.join(floors, "cluster_id").join(codes, "cluster_id")
+    return out.select("cluster_id", rep.alias("representative"), "size", "reasons", F.round("score_floor", 4).alias("score_floor"))
 
 
 def pair_metrics(records: DataFrame, sizes: DataFrame, pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One row: cards, raw candidates (closed form over block sizes), distinct pairs, clusters, and the share of all pairs saved."""
+    """One row: cards, raw candidates (closed form over block sizes), distinct candidate pairs, clusters, and the share of all pairs saved."""
     n = records.agg(F.count("*").alias("cards"))
     raw = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("raw_candidates"))
     distinct = pairs.agg(F.count("*").alias("pairs"))

@@ -48,16 +48,21 @@ def anchors(records: DataFrame, idf_table: DataFrame, tokens: str = "stems", key
     return ranked.filter(F.col("rank") <= ANCHORS).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("anchors"))
 
 
-def scope_block(scope: Column, note_type: Column, deck: Column) -> Column:
-    """``scope:cat=value|..:type`` of a non-empty facet map, else ``deck:..:type``, else null."""
-    kind = text.semantic(F.coalesce(note_type, F.lit("")))
+def scope_block(scope: Column, kind: Column, deck: Column, deck_form: Column) -> Column:
+    """``scope:cat=value|..:type`` of a non-empty facet map, else ``deck:..:type``, else null; ``kind`` and ``deck_form`` are normal forms."""
+    kind = F.coalesce(kind, F.lit(""))
     # a map can't be ordered as such; blanks are no facets
     entries = F.array_sort(F.filter(F.map_entries(scope), lambda e: F.trim(e["value"]) != ""))
     parts = F.array_join(F.transform(entries, lambda e: F.concat(F.lower(e["key"]), F.lit("="), F.lower(F.regexp_replace(e["value"], r"[^\p{L}\p{N}_\s]", " ")))), "|")
-    by_deck = F.concat(F.lit("deck:"), text.words_only(text.unaccented(text.normal(deck))), F.lit(":"), kind)
+    by_deck = F.concat(F.lit("deck:"), F.coalesce(deck_form, F.lit("")), F.lit(":"), kind)
     return F.when(F.coalesce(F.size(entries), F.lit(0)) > 0, F.concat(F.lit("scope:"), parts, F.lit(":"), kind)).when(deck.isNotNull() & (deck != ""), by_deck)
 
 
+def record_place(note_id: Column, created_at: Column) -> Column:
+    """Sorts notes before other records: notes by their number, the others by when they were made. Ties go by id."""
+    return F.struct(F.when(note_id.isNull(), 1).otherwise(0).alias("rank"), F.coalesce(note_id, F.lit(0)).alias("note"), F.when(note_id.isNull(), F.coalesce(created_at, F.lit(""))).otherwise("").alias("made"))
+
+
 def block_keys(scope_key: Column, semantic_key: Column, anchor_tokens: Column, trigrams: Column) -> Column:
     """Sorted distinct keys: scope, question key, anchors, first trigrams."""
     named = F.array_compact(F.array(scope_key, F.concat(F.lit("semantic:"), semantic_key)))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardmill import storage
 from cardmill.settings import APPROVED, DELETED, DISCARDED, IN_REVIEW, REMOVED, UPLOADED
 
 # Columns that each kind of event sets (fixed values of the domain); all others keep what they have.
@@ -35,14 +36,28 @@ def fold(events: DataFrame, columns: list[str]) -> DataFrame:
 
     ``purged`` is a tombstone: what lies before it is gone, and without a later ``inserted`` so is the record.
     """
-    gone = events.filter("event = 'purged'").groupBy("record_id").agg(F.max("seq").alias("gone"))
-    live = events.join(gone, "record_id", "left").filter("event <> 'purged' AND (gone IS NULL OR seq > gone)")
+    return unfolded(fold_state(events, columns), columns)
+
+
+def fold_state(events: DataFrame, columns: list[str]) -> DataFrame:
+    """What has to be kept of events to go on folding: per record the last ``purged`` and ``inserted``, and per column the last that sets it with its value."""
     aggs = []
     for c in columns:
         setters = [e for e, owned in OWNED.items() if owned is None or c in owned]
-        order = F.when(F.col("event").isin(setters), F.col("seq"))
-        aggs.append(F.max_by(F.struct(F.col(c).alias("v")), order)["v"].alias(c))
-    return live.groupBy("record_id").agg(F.max(F.col("event") == "inserted").alias("born"), *aggs).filter("born").drop("born")
+        aggs.append(F.max_by(F.struct("seq", F.col(c).alias("v")), F.when(F.col("event").isin(setters), F.col("seq"))).alias(c))
+    last = lambda e: F.max(F.when(F.col("event") == e, F.col("seq")))
+    return events.groupBy("record_id").agg(last("purged").alias("gone"), last("inserted").alias("born"), *aggs)
+
+
+def merge_states(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """The state of all events of both: a maximum each, so order doesn't matter and nothing is read twice."""
+    return a.unionByName(b).groupBy("record_id").agg(F.max("gone").alias("gone"), F.max("born").alias("born"), *[F.max_by(c, F.col(f"{c}.seq")).alias(c) for c in columns])
+
+
+def unfolded(state: DataFrame, columns: list[str]) -> DataFrame:
+    """The snapshot that a state stands for."""
+    gone = F.coalesce("gone", F.lit(-(1 << 62)))
+    return state.filter(F.col("born") > gone).select("record_id", *[F.when(F.col(f"{c}.seq") > gone, F.col(f"{c}.v")).alias(c) for c in columns])
 
 
 def active(cards: DataFrame) -> DataFrame:
@@ -61,24 +76,34 @@ def uploaded_ids(cards: DataFrame) -> DataFrame:
     return cards.filter((F.col("status") == UPLOADED) & F.col("anki_note_id").isNotNull()).select("anki_note_id")
 
 
-def by_prefix(cards: DataFrame, prefix: str) -> DataFrame:
-    """``outcome, id, matches``: exact id, one id with the prefix, or ambiguous with the 8-character ids; one row."""
+def by_prefix(cards: DataFrame, prefix: str, most: int = 10) -> DataFrame:
+    """``outcome, id, matches, n``: exact id, one id with the prefix, or ambiguous with the first ``most`` 8-character ids; one row."""
     found = cards.filter(F.col("id").startswith(prefix)).select("id").distinct()
-    one = found.agg(F.count("*").alias("n"), F.max(F.col("id") == prefix).alias("exact"), F.min("id").alias("id"), F.array_sort(F.collect_list(F.substring("id", 1, 8))).alias("ids"))
+    one = found.agg(F.count("*").alias("n"), F.max(F.col("id") == prefix).alias("exact"), F.min("id").alias("id"))
+    some = found.orderBy("id").limit(most).agg(F.array_sort(F.collect_list(F.substring("id", 1, 8))).alias("ids"))
+    one = one.crossJoin(some)  # one row each
     outcome = F.when(F.col("n") == 0, "missing").when(F.col("exact"), "found").when(F.col("n") == 1, "found").otherwise("ambiguous")
-    return one.select(outcome.alias("outcome"), F.when(outcome == "found", F.when(F.col("exact"), F.lit(prefix)).otherwise(F.col("id"))).alias("id"), F.array_join("ids", " ").alias("matches"))
+    return one.select(outcome.alias("outcome"), F.when(outcome == "found", F.when(F.col("exact"), F.lit(prefix)).otherwise(F.col("id"))).alias("id"), F.array_join("ids", " ").alias("matches"), "n")
+
+
+def by_fingerprint(cards: DataFrame, fingerprint: str) -> DataFrame:
+    """The first card of a fingerprint, by creation and id; no row if there is none."""
+    return cards.filter(F.col("fingerprint") == fingerprint).orderBy("created_at", "id").limit(1)
 
 
 def upsert(batch: DataFrame, held: DataFrame) -> DataFrame:
-    """``fingerprint, outcome`` of an ingest by fingerprint: new, updated, or resurrected where the held card was removed.
+    """``id, fingerprint, outcome`` of an ingest by fingerprint: new, updated, or resurrected where the held card was removed.
 
-    Equal cards of one batch: the first is what the registry says, the later ones update it.
+    Equal cards of one batch: the first is what the registry says, the later ones update it. The first is found by an
+    aggregation and brought to hot fingerprints by a broadcast.
     """
+    rows = batch.filter("fingerprint IS NOT NULL").select("id", "fingerprint", "created_at")
+    first = rows.groupBy("fingerprint").agg(F.min(F.struct("created_at", "id")).alias("first"), F.count("*").alias("n"))
     known = held.filter("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min_by("status", F.struct("created_at", "id")).alias("held_status"))
-    order = Window.partitionBy("fingerprint").orderBy("created_at", "id")
-    rows = batch.filter("fingerprint IS NOT NULL").withColumn("turn", F.row_number().over(order)).join(known, "fingerprint", "left")
-    outcome = F.when(F.col("turn") > 1, "updated").when(F.col("held_status").isNull(), "new").when(F.col("held_status").isin(*REMOVED), "resurrected").otherwise("updated")
-    return rows.select("id", "fingerprint", outcome.alias("outcome"))
+    joined = storage.join_by_size(rows, first.join(known, "fingerprint", "left"), "fingerprint", "n", F.lit(rows.count()))
+    later = F.struct("created_at", "id") != F.col("first")
+    outcome = F.when(later, "updated").when(F.col("held_status").isNull(), "new").when(F.col("held_status").isin(*REMOVED), "resurrected").otherwise("updated")
+    return joined.select("id", "fingerprint", outcome.alias("outcome"))
 
 
 def counts_by(cards: DataFrame, column: str) -> DataFrame:
@@ -152,6 +177,12 @@ def cache_join(records: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     return records.join(rows, "fingerprint", "left")
 
 
+def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache with new vectors (``fingerprint, model, dim, vector, created_at``): the last written of a key and model counts, empty ones don't."""
+    rows = cache.unionByName(new.filter(F.size("vector") > 0))
+    return latest(rows, ["fingerprint", "model"], F.col("created_at"), F.col("vector"))
+
+
 def own_or_cached(records: DataFrame, cache: DataFrame, model: str, own: str = "embedding_vector") -> DataFrame:
     """Adds ``vector``: the record's own, if it is a JSON list of as many finite numbers as the model's name says, else the cached one."""
     given = F.from_json(own, "array<double>")

@@ -5,26 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardmill.operators import cluster
+from cardmill.functions import scores
+from cardmill.operators import candidates, cluster
 
 TOP, NEIGHBOURS, VOTE_SCORE, VOTE_CONFIDENCE, VOTES = 20, 8, 0.70, 0.70, 2
 
 
-def lookup_pairs(queries: DataFrame, pool: DataFrame, key: str = "record_id") -> DataFrame:
-    """``q, r``: pool records that share a fingerprint, a front, a question key or a content token's block with a query.
+def least_overlap(least: float) -> float:
+    """The token Jaccard below which no pair of different keys scores ``least`` by its texts."""
+    by_tokens, by_rest = scores.WEIGHTS[0], scores.WEIGHTS[1] + scores.WEIGHTS[2]
+    return max(0.01, min(scores.TOKENS_WEAK, (least - by_rest) / by_tokens - 1e-9))
 
-    Three equi-joins and one over block keys; a query never meets itself.
+
+def lookup_pairs(queries: DataFrame, pool: DataFrame, least: float, vectors: DataFrame | None = None, key: str = "record_id") -> DataFrame:
+    """``q, r, cosine``: every pair of a query and a pool record whose score can reach ``least``; a query never meets itself.
+
+    Equal fingerprint, front or question key by equi-joins; overlapping tokens by a prefix-filtered join, which never
+    meets on common tokens alone; with ``vectors`` (one row per key) pairs of a cosine of 0.96 or more, and the cosines
+    of all the others.
     """
     q, r = queries.withColumnRenamed(key, "q"), pool.withColumnRenamed(key, "r")
     parts = []
     for column in ("fingerprint", "front_norm", "semantic_key"):
         some = F.col(column).isNotNull() & (F.col(column) != "")
         parts.append(q.filter(some).select("q", column).join(r.filter(some).select("r", column), column).select("q", "r"))
-    parts.append(q.select("q", F.explode("block_keys").alias("k")).join(r.select("r", F.explode("block_keys").alias("k")), "k").select("q", "r"))
-    out = parts[0]
-    for p in parts[1:]:
+    out = candidates.jaccard_lookup(queries, pool, least_overlap(least), key=key)
+    for p in parts:
         out = out.union(p)
-    return out.filter("q <> r").distinct()
+    out = out.filter("q <> r").distinct().withColumn("cosine", F.lit(None).cast("double"))
+    if vectors is None:
+        return out
+    held = [df.select(key).join(vectors.select(key, "vector"), key) for df in (queries, pool)]
+    near = candidates.vector_join(held[0], scores.VECTOR_ALONE, key, other=held[1]).filter("a <> b").toDF("q", "r", "cosine")
+    return candidates.with_cosine(out.unionByName(near).withColumnsRenamed({"q": "a", "r": "b"}), vectors, key).withColumnsRenamed({"a": "q", "b": "r"})
 
 
 def top_similar(pairs: DataFrame, queries: DataFrame, pool: DataFrame, least: float = 0.75, k: int = TOP, key: str = "record_id", order: list[Column] | None = None) -> DataFrame:
@@ -38,9 +51,7 @@ def top_similar(pairs: DataFrame, queries: DataFrame, pool: DataFrame, least: fl
 
 def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int = TOP, least: float = 0.0, key: str = "record_id") -> DataFrame:
     """``q, r, cosine, rank`` by exact blocked products."""
-    from cardmill.operators.candidates import vector_join
-
-    found = vector_join(queries, least, key, other=pool).filter("a <> b")
+    found = candidates.vector_join(queries, least, key, other=pool).filter("a <> b")
     by = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select(F.col("a").alias("q"), F.col("b").alias("r"), "cosine", "rank")
 

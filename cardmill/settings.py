@@ -91,3 +91,18 @@ def save_taxonomy(taxonomy: Taxonomy, path: str) -> None:
     import yaml
 
     Path(path).write_text(yaml.safe_dump({c: list(v) for c, v in taxonomy.categories.items()}, sort_keys=False, allow_unicode=True), encoding="utf-8")
+
+
+def load_settings(path: str) -> Settings:
+    """Settings from YAML; names that aren't settings are ignored, what isn't given has its default."""
+    raw = load_yaml(path) or {}
+    return Settings(**{k: v for k, v in raw.items() if k in Settings.__dataclass_fields__})
+
+
+def load_taxonomy(path: str) -> Taxonomy:
+    return Taxonomy.of(load_yaml(path) or {})
+
+
+def load_profile(path: str, base: Profile | None = None) -> Profile:
+    """A rule pack from YAML on top of another."""
+    return (base or Profile()).merged(load_yaml(path) or {})

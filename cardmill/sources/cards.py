@@ -32,10 +32,11 @@ def cards_from_json(spark: SparkSession, text: str) -> tuple[DataFrame, DataFram
 
 
 def cards_from_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A small JSON or YAML file: JSON first, YAML if that fails."""
+    """A small JSON or YAML file, or standard input by the name "-": JSON first, YAML if that fails."""
     import json
+    import sys
 
-    text = Path(path).read_text(encoding="utf-8")
+    text = sys.stdin.read() if path == "-" else Path(path).read_text(encoding="utf-8")
     try:
         return cards_from_json(spark, text)
     except json.JSONDecodeError:

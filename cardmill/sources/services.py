@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cardmill import storage
+
 BATCH, SECONDS = 64, {"embed": 120, "answer": 30, "notes": 5, "probe": 4}
 
 
@@ -76,8 +78,8 @@ class MemoryNotes:
         return self._decks if self._decks is not None else sorted({n["deckName"] for n in self.held.values()})
 
     def find(self, query: str) -> list[int]:
-        deck = query.partition('deck:"')[2].partition('"')[0]
-        return [i for i, n in self.held.items() if not deck or n.get("deckName") == deck]
+        deck, tag = query.partition('deck:"')[2].partition('"')[0], query.partition("tag:")[2].partition(" ")[0]
+        return [i for i, n in self.held.items() if (not deck or n.get("deckName") == deck) and (not tag or tag in n.get("tags", []))]
 
     def notes(self, ids: list[int]) -> list[dict]:
         return [self.held[i] for i in ids if i in self.held]
@@ -87,6 +89,18 @@ class MemoryNotes:
         self.held[new] = {"noteId": new, **note}
         return new
 
+    def add_tags(self, ids: list[int], tags: str) -> None:
+        for i in ids:
+            held = self.held[i].setdefault("tags", [])
+            held.extend(t for t in tags.split() if t not in held)
+
+    def remove_tags(self, ids: list[int], tags: str) -> None:
+        for i in ids:
+            self.held[i]["tags"] = [t for t in self.held[i].get("tags", []) if t not in tags.split()]
+
+    def update(self, note: int, fields: dict[str, str]) -> None:
+        self.held[note].setdefault("fields", {}).update(fields)
+
     def delete(self, ids: list[int]) -> None:
         for i in ids:
             self.held.pop(i, None)
@@ -157,18 +171,25 @@ class HttpEmbedder:
     def __init__(self, url: str, model: str):
         self.url, self.model = url, model
 
-    def embed(self, texts: list[str]) -> list[list[float]] | None:
+    def embed(self, texts: list[str], seconds: float = SECONDS["embed"]) -> list[list[float]] | None:
         """Vectors of a batch; None on any failure or if their number differs."""
         try:
             body = json.dumps({"model": self.model, "input": texts}).encode()
-            with urllib.request.urlopen(urllib.request.Request(f"{self.url}/api/embed", body, {"Content-Type": "application/json"}), timeout=SECONDS["embed"]) as r:  # noqa: S310
+            with urllib.request.urlopen(urllib.request.Request(f"{self.url}/api/embed", body, {"Content-Type": "application/json"}), timeout=seconds) as r:  # noqa: S310
                 vectors = json.load(r).get("embeddings")
             return vectors if vectors and len(vectors) == len(texts) else None
         except Exception:
             return None
 
     def available(self) -> bool:
-        return self.embed(["ping"]) is not None
+        """Whether the service answers at all, within a few seconds."""
+        return self.embed(["ping"], SECONDS["probe"]) is not None
+
+
+def embeddings_used(df: DataFrame, embedder: Any | None) -> DataFrame:
+    """Adds ``embeddings_used``: whether vectors had a part in the result, asked for once on the driver."""
+    probe = getattr(embedder, "available", lambda: embedder is not None)
+    return df.withColumn("embeddings_used", F.lit(bool(probe())))
 
 
 def embed_missing(records: DataFrame, cached: DataFrame, embedder: Embedder, text: str = "text", key: str = "fingerprint") -> DataFrame:
@@ -186,10 +207,59 @@ def embed_missing(records: DataFrame, cached: DataFrame, embedder: Embedder, tex
     return misses.mapInPandas(run, f"{key} string, vector array<double>")
 
 
+def embedded(records: DataFrame, cache: DataFrame, embedder: Embedder, model: str, at: str, text: str = "text", key: str = "fingerprint", record: str = "record_id") -> tuple[DataFrame, DataFrame]:
+    """(``record_id, vector`` of all records that have one, rows to add to the cache): cached vectors, and new ones for the rest."""
+    held = cache.filter((F.col("model") == model) & (F.size("vector") > 0)).groupBy(key).agg(F.max_by("vector", F.struct("created_at", "vector")).alias("vector"))
+    new = storage.Scratch(records.sparkSession, "embedded").cut(embed_missing(records, held, embedder, text, key), "new")  # written at once: a later read must not ask again
+    rows = new.filter(F.size("vector") > 0).select(key, F.lit(model).alias("model"), F.size("vector").alias("dim"), "vector", F.lit(at).alias("created_at"))
+    return records.join(held.unionByName(new), key).select(record, "vector"), rows
+
+
 class LanguageModel(Protocol):
     def answer(self, prompt: str) -> str | None: ...
 
 
+class HttpModel:
+    """A language model behind ``/api/generate``, without randomness."""
+
+    def __init__(self, url: str, model: str):
+        self.url, self.model = url, model
+
+    def answer(self, prompt: str) -> str | None:
+        """The text of the answer; None on any failure."""
+        try:
+            body = json.dumps({"model": self.model, "prompt": prompt, "stream": False, "options": {"temperature": 0}}).encode()
+            with urllib.request.urlopen(urllib.request.Request(f"{self.url}/api/generate", body, {"Content-Type": "application/json"}), timeout=SECONDS["answer"]) as r:  # noqa: S310
+                out = json.load(r).get("response")
+            return out if isinstance(out, str) else None
+        except Exception:
+            return None
+
+
+def model_facets(cards: DataFrame, required: list[str], categories: dict[str, tuple[str, ...]], model: LanguageModel, key: str = "record_id") -> DataFrame:
+    """Adds ``model_scope``: facets that a language model gives for the required categories a card lacks, valid values only.
+
+    Only cards that lack one are asked about; no answer, or one that isn't JSON, gives no facets.
+    """
+    asked = {c: list(categories[c]) for c in required if categories.get(c)}
+    lack = F.filter(F.array(*[F.lit(c) for c in asked]).cast("array<string>"), lambda c: ~F.array_contains(F.map_keys("scope"), c))
+    open_cards = cards.withColumn("_lack", lack).filter(F.size("_lack") > 0).select(key, "front", "back", "_lack")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            answers = []
+            for r in f.itertuples(index=False):
+                options = json.dumps({c: asked[c] for c in r[3]}, ensure_ascii=False)
+                answers.append(model.answer(f"Choose one value for each category from its list, or leave the category out. Answer with a JSON object only.\nQuestion: {r[1]}\nAnswer: {r[2]}\nCategories: {options}"))
+            yield pd.DataFrame({key: f[key], "_answer": answers, "_asked": f["_lack"]})
+
+    field = cards.schema[key].dataType.simpleString()
+    said = storage.Scratch(cards.sparkSession, "answers").cut(open_cards.mapInPandas(run, f"{key} {field}, _answer string, _asked array<string>"), "answers")
+    found = F.map_filter(facets_from_answer(F.col("_answer"), {c: tuple(v) for c, v in asked.items()}), lambda c, v: F.array_contains("_asked", c))
+    none = F.create_map().cast("map<string,string>")
+    return cards.join(said.select(key, found.alias("model_scope")), key, "left").withColumn("model_scope", F.coalesce("model_scope", none))
+
+
 def facets_from_answer(answer: Column, categories: dict[str, tuple[str, ...]]) -> Column:
     """Facet map from a model's answer: the first { to the last } as JSON, with valid values of the asked categories only."""
     parsed = F.from_json(F.regexp_extract(answer, r"(?s)\{.*\}", 0), "map<string,string>")

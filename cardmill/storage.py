@@ -7,6 +7,7 @@ folder of ``spark.checkpoint.dir``, which every executor can read again.
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import urllib.parse
@@ -115,6 +116,43 @@ def join_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(hot, key).unionByName(cold_rows.join(groups.filter(~is_hot), key))
 
 
+class BucketTable:
+    """A persisted table in hash buckets of its key, of which an update reads and writes only those that its keys fall into.
+
+    ``manifest.json`` names the version of each bucket and the last update; it is replaced after an update's files are
+    complete, and what it no longer names is removed then. So an update that dies leaves the table as it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str, buckets: int = 64):
+        self.spark, self.path, self.key, self.schema, self.buckets = spark, path, key, schema, buckets
+
+    def manifest(self) -> dict:
+        return json.loads(read_text(self.spark, f"{self.path}/manifest.json") or '{"version": 0, "done": -1, "buckets": {}}')
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, keys: DataFrame) -> list[int]:
+        return [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # at most one row per bucket
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        held = self.manifest()["buckets"]
+        paths = [f"{self.path}/v={v}/bucket={b}" for b, v in held.items() if only is None or int(b) in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def replace(self, rows: DataFrame, only: list[int], done: int) -> None:
+        """Put ``rows`` in the place of all rows of the buckets ``only``; ``done`` numbers the update."""
+        state = self.manifest()
+        version = state["version"] + 1
+        folder = f"{self.path}/v={version}"
+        rows.withColumn("bucket", self._bucket()).repartition(max(1, len(only)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        gone = [f"{self.path}/v={v}/bucket={b}" for b, v in state["buckets"].items() if int(b) in only]
+        held = {b: v for b, v in state["buckets"].items() if int(b) not in only} | {str(b): version for b in only if exists(self.spark, f"{folder}/bucket={b}")}
+        write_text(self.spark, f"{self.path}/manifest.json", json.dumps({"version": version, "done": done, "buckets": held}))
+        for path in gone:
+            delete(self.spark, path)
+
+
 #: A key of fewer rows is never treated as hot, whatever its share.
 HUB = 50_000
 

@@ -56,8 +56,51 @@ def test_components_of_chains_and_stars(spark):
 
 def test_clusters_of_paraphrases_do_not_bridge(spark):
     rows = [("a", "What is a CDN?", "x", "D"), ("b", "Define CDN", "y", "D"), ("c", "¿Qué es un CDN?", "z", "D"), ("d", "Advantages of a CDN for static sites", "w", "D"), ("e", "Guide to CDN setup", "v", "D")]
-    _, _, found = audits.duplicate_clusters(records(spark, rows), Settings())
-    assert [(r.representative, r.members, r.score_floor) for r in found.collect()] == [("a", ["a", "b", "c"], 0.95)]
+    _, members, found = audits.duplicate_clusters(records(spark, rows), Settings())
+    assert [(r.representative, r.size, r.score_floor) for r in found.collect()] == [("a", 3, 0.95)]
+    assert sorted(r.id for r in members.collect()) == ["a", "b", "c"] and {r.cluster_id for r in members.collect()} == {found.first().cluster_id}
+
+
+def test_cluster_ids_follow_from_the_ids_as_text(spark):
+    import hashlib
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(8, 120)] + [(500, 1000)], "a bigint, b bigint")
+    scratch = storage.Scratch(spark, "t")
+    got = {(r.root, r.size): r.cluster_id for r in cluster.members(cluster.components(edges, scratch), scratch).collect()}
+    want = {(min(m), len(m)): hashlib.sha1("||".join(sorted(map(str, m))).encode()).hexdigest()[:12] for m in ([*range(8, 121)], [500, 1000])}
+    assert got == want
+
+
+def test_vectors_alone_never_link_two_vendors(spark):
+    rows = [("a", "alpha bravo", "x", "aws"), ("b", "charlie delta", "y", "azure"), ("c", "echo foxtrot", "z", "aws"), ("d", "golf hotel", "w", None)]
+    df = spark.createDataFrame([(*r[:3], f'{{"vendor": "{r[3]}"}}' if r[3] else None) for r in rows], "id string, f string, b string, s string")
+    recs = audits.records(df, "id", "f", "b", None, None, "s")
+    vectors = spark.createDataFrame([(i, [1.0, 0.01 * k]) for k, i in enumerate("abcd")], "record_id string, vector array<double>")
+    edges, _, _ = audits.duplicate_clusters(recs, Settings(), vectors)
+    assert {(r.a, r.b) for r in edges.collect()} == {("a", "c"), ("a", "d"), ("b", "d"), ("c", "d")}
+    with pytest.raises(Exception, match="vendor"):
+        cluster.score_pairs(edges.select("a", "b"), recs.drop("vendor"), 0.9).collect()
+
+
+def test_representative_is_first_in_record_order(spark):
+    df = spark.createDataFrame([("x1", "same front", "b", None, "2024-02"), ("x2", "same front", "c", None, "2024-01"), ("anki:9", "same front", "d", 9, "2025"), ("y1", "two words", "b", None, "2024-03"), ("y2", "two words", "c", None, "2024-01")], "id string, f string, b string, note bigint, made string")
+    place = df.select(F.col("id").alias("record_id"), features.record_place(F.col("note"), F.col("made")).alias("place"))
+    recs = audits.records(df, "id", "f", "b", None, None, None).join(place, "record_id")
+    assert sorted(r.representative for r in audits.duplicate_clusters(recs, Settings())[2].collect()) == ["anki:9", "y2"]
+
+
+def test_lookup_is_complete(spark):
+    rows = [(f"r{i:03}", f, b, d) for i, (_, f, b, d) in enumerate(made(120, 9))] + [("r900", "the of", "same", "D"), ("r901", "the of", "other", "D")]
+    r = storage.Scratch(spark, "t").cut(records(spark, rows), "r")
+    asked = r.filter("record_id LIKE '%0'")
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(k[0], (rng.normal(size=4) + 3).tolist()) for k in rows], "record_id string, vector array<double>")
+    for least, held in ((0.75, None), (0.6, None), (0.75, vectors)):
+        every = asked.select(F.col("record_id").alias("q")).join(r.select(F.col("record_id").alias("r"))).filter("q <> r").withColumn("cosine", F.lit(None).cast("double"))
+        if held is not None:
+            every = candidates.with_cosine(every.withColumnsRenamed({"q": "a", "r": "b"}), held).withColumnsRenamed({"a": "q", "b": "r"})
+        want, got = ({(x.q, x.r, x.score) for x in similar.top_similar(p, asked, r, least).collect()} for p in (every, similar.lookup_pairs(asked, r, least, held)))
+        assert got == want and len(want) > 10
 
 
 def test_complete_covers_blocked(spark):

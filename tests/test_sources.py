@@ -108,7 +108,26 @@ def test_fold_stream(spark, tmp_path):
     kind = "record_id string, seq bigint, event string, status string"
     spark.createDataFrame([("a", 1, "inserted", "aprobada"), ("a", 2, "deleted_in_anki", "borrada-en-anki")], kind).coalesce(1).write.parquet(str(tmp_path / "in"))
     ingest.fold_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), ["status"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/snapshot-0")).collect()] == [("a", "borrada-en-anki")]
+    assert [tuple(r) for r in ingest.folded(spark, ["status"], str(tmp_path / "out")).collect()] == [("a", "borrada-en-anki")]
+    # later batches read and write the buckets of their own records only
+    rows = [("b", 1, "inserted", "aprobada"), ("a", 3, "purged", None), ("c", 1, "purged", None), ("c", 2, "inserted", "en-revision")]
+    spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.fold_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), ["status"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert {tuple(r) for r in ingest.folded(spark, ["status"], str(tmp_path / "out")).collect()} == {("b", "aprobada"), ("c", "en-revision")}
+
+
+def test_bucket_table(spark, tmp_path):
+    table = storage.BucketTable(spark, str(tmp_path / "t"), "k", "k string, v bigint", buckets=16)
+    assert table.read().count() == 0
+    rows = spark.range(100).selectExpr("concat('k', id) AS k", "id AS v")
+    table.replace(rows, table.touched(rows), 0)
+    one = rows.filter("k = 'k7'")
+    (only,) = table.touched(one)
+    held = table.read([only])
+    assert 0 < held.count() < 30
+    table.replace(held.withColumn("v", F.col("v") + F.when(F.col("k") == "k7", 1000).otherwise(0)), [only], 1)
+    assert table.read().count() == 100 and table.read().filter("k = 'k7'").first().v == 1007 and table.manifest()["done"] == 1
+    assert sum(v == 2 for v in table.manifest()["buckets"].values()) == 1 and not storage.exists(spark, str(tmp_path / f"t/v=1/bucket={only}"))
 
 
 def test_state_files_and_shared_folder(spark, tmp_path):
