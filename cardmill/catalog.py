@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cardmill import catalog_sql, storage
 from cardmill.functions import quality, scores, text
 from cardmill.operators import audit, candidates, classify, cluster, features, registry, similar
-from cardmill.plans import audits
+from cardmill.plans import audits, curation, reports
 from cardmill.settings import Profile, Settings, Taxonomy
 from cardmill.sources import cards as card_files
 
@@ -440,6 +440,86 @@ def embedding_text(s: SparkSession, d: str) -> DataFrame:
     return _cards(s, d).select("id", text.embedding_text(F.col("front_original"), F.col("back_original")).alias("text"))
 
 
+def card_files_read(s: SparkSession, d: str) -> DataFrame:
+    """All cards written as a card file and read again; what the reader refuses, with its reason, stands beside."""
+    path = storage.Scratch(s, "files").path("cards")
+    _cards(s, d).select(F.col("front_original").alias("front"), F.col("back_original").alias("back"), "source", "note_type", F.col("target_deck").alias("deck")).write.json(path)
+    good, bad = card_files.read_cards(s, path)
+    return good.select("front", "back", "source", "note_type", F.lit(None).cast("string").alias("error")).unionByName(bad.withColumn("note_type", F.lit(None).cast("string")).select("front", "back", "source", "note_type", "error"))
+
+
+def registry_backup(s: SparkSession, d: str) -> DataFrame:
+    path = card_files.snapshot(_cards(s, d), storage.Scratch(s, "backup").path("registry"), "20250101T000000Z")
+    return registry.counts_by(s.read.parquet(path), "status")
+
+
+def index_codec(s: SparkSession, d: str) -> DataFrame:
+    """The index's delimited columns as arrays and back."""
+    arrays = card_files.import_index(_notes(s, d))
+    sizes = arrays.select("note_id", *[F.size(c).alias(f"n_{c}") for c in ("content_tokens", "back_tokens", "anchor_tokens", "char_trigrams")])
+    return card_files.export_index(arrays).select("note_id", "content_tokens", "anchor_tokens").join(sizes, "note_id")
+
+
+def migrated(s: SparkSession, d: str) -> DataFrame:
+    """An older registry without status and scope brought up to date."""
+    old = _cards(s, d).select("id", "action_taken", "anki_note_id", "tags_resolved", F.get_json_object("scope_json", "$.topic").alias("scope_topic"))
+    return card_files.migrate(old).select("id", "status", F.get_json_object("scope_json", "$.topic").alias("topic"))
+
+
+def review_list(s: SparkSession, d: str) -> DataFrame:
+    return curation.review_list(_cards(s, d)).select("id", "id_short", "front", F.col("scope")["topic"].alias("topic"), "profile", "deck", "status", "created_at")
+
+
+def reconcile_events(s: SparkSession, d: str) -> DataFrame:
+    return curation.reconcile(_cards(s, d), _notes(s, d), 1).select("record_id", "event", "status", "seq")
+
+
+def auto_classify(s: SparkSession, d: str) -> DataFrame:
+    c = _norm_cards(s, d).select(F.col("id").alias("record_id"), F.col("f").alias("front"), F.col("b").alias("back"), F.col("target_deck").alias("deck"), F.filter(F.split(F.coalesce("tags_resolved", F.lit("")), " "), lambda t: t != "").alias("suggested_tags"))
+    return curation.auto_classify(c, PROFILE, _taxonomy(s, d))[2]
+
+
+def date_stamps(s: SparkSession, d: str) -> DataFrame:
+    return _cards(s, d).select("id", curation.stamp(F.to_timestamp("created_at")).alias("stamp"))
+
+
+def record_shapes(s: SparkSession, d: str) -> DataFrame:
+    """Records as they are reported, without their facets."""
+    r = _records(s, d).select(reports.record_struct().alias("r"))
+    return r.select("r.id", "r.deck", "r.note_type", "r.front", "r.back_excerpt", "r.intent", "r.semantic_key")
+
+
+def records_as_json(s: SparkSession, d: str) -> DataFrame:
+    return reports.as_json(_cards(s, d).select("id", "status"))
+
+
+def cache_upserted(s: SparkSession, d: str) -> DataFrame:
+    """The cache written once more with its own rows: the last of each key and model stays."""
+    cache = _t(s, d, "embedding_cache").select("fingerprint", "model", "dim", "vector", "created_at").filter("size(vector) > 0")
+    return registry.cache_upsert(cache, cache).select("fingerprint", "model", "dim", "created_at")
+
+
+def by_fingerprint(s: SparkSession, d: str) -> DataFrame:
+    c = _cards(s, d)
+    return registry.by_fingerprint(c, c.agg(F.max("fingerprint")).first()[0] or "").select("id", "fingerprint")
+
+
+def first_of_fronts(s: SparkSession, d: str) -> DataFrame:
+    """The first record of every front in record order: notes before cards, notes by number, cards by when they were made."""
+    null = F.lit(None)
+    c = registry.active(_cards(s, d)).select(F.col("front_normalized").alias("front"), F.col("id").alias("record_id"), features.record_place(null.cast("bigint"), F.col("created_at")).alias("place"))
+    n = _notes(s, d).select(F.col("front_normalized").alias("front"), F.concat(F.lit("anki:"), F.col("note_id").cast("string")).alias("record_id"), features.record_place(F.col("note_id"), null.cast("string")).alias("place"))
+    return c.unionByName(n).filter("front <> ''").groupBy("front").agg(F.min(F.struct("place", "record_id"))["record_id"].alias("first"), F.count("*").alias("records"))
+
+
+def refreshed_decks(s: SparkSession, d: str) -> DataFrame:
+    """The decks' lines after a fresh scan of one of them that finds the notes of the index."""
+    decks, index = _t(s, d, "indexed_decks"), _notes(s, d)
+    field = lambda n, c: F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit("")).alias("value"))
+    notes = index.select("note_id", "deck_name", "note_type", F.array().cast("array<string>").alias("tags"), F.array(field("Front", "front_original"), field("Back", "back_original")).alias("fields"))
+    return audits.refresh_index(index, decks, notes, ROOT, "2030")[1].select("deck_name", "include_subdecks", "last_refreshed_at", "note_count")
+
+
 def simple(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: f(_cards(s, d))
 
@@ -450,6 +530,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scored_edges, duplicate_clusters, cluster_members, largest_clusters, cluster_report, pair_metrics, cosine_pairs, calibrated_cosine, similar_topk, similar_by_vectors, knn_topk, facet_vote, applied_votes, keyword_facets, topic_facet, type_facet, deck_facets, resolved_tags,
         classified, confidence, auto_classify_summary, missing_categories, deck_route, quality_flags, cloze, better_version, annotate, annotated_tags, audit_summary, ingest_upsert, lifecycle_fold, latest_events, untagged_page, taxonomy_proposals,
         collection_health, cache_join, recent_notes, recent_audit, tsv_export, id_lookup, sync_plan, undo_ingest, undo_sync, replaced_deck, deck_counts, stale_decks, record_pool, embedding_text,
+        card_files_read, registry_backup, index_codec, migrated, review_list, reconcile_events, auto_classify, date_stamps, record_shapes, records_as_json, cache_upserted, by_fingerprint, first_of_fronts, refreshed_decks,
     ]
     return {f.__name__: f for f in named} | {
         "review_queue": simple(lambda c: registry.review_queue(c).select("id", "created_at")),

@@ -293,4 +293,20 @@ def build(profile: Profile) -> dict[str, str]:
     for name, column in (("ingest_batches", "ingest_batch"), ("sync_batches", "sync_batch")):
         out[name] = f"WITH {CARDS} SELECT {column} AS batch, count(*) AS cards, min(created_at) AS first_at FROM c WHERE {column} IS NOT NULL GROUP BY 1"
     out["reconcile_orphans"] = f"WITH {CARDS}, {NOTES} SELECT id, anki_note_id FROM c WHERE status = 'subida' AND anki_note_id IS NOT NULL AND anki_note_id NOT IN (SELECT note_id FROM n)"
+    blank = lambda c: f"coalesce(trim({c}) = '', true)"
+    out["card_files_read"] = f"WITH {CARDS}, z AS (SELECT front_original AS front, back_original AS back, source, coalesce(note_type, 'Basic') AS kind, CASE WHEN {blank('front_original')} THEN 'front is empty' WHEN {blank('back_original')} THEN 'back is empty' WHEN source IS NULL THEN 'source is missing' END AS error FROM c) SELECT front, back, source, CASE WHEN error IS NULL THEN kind END AS note_type, error FROM z"
+    out["registry_backup"] = f"WITH {CARDS} SELECT status, count(*) AS n FROM c GROUP BY 1"
+    parts = lambda c, by: f"list_filter(string_split(coalesce({c}, ''), '{by}'), lambda t: t <> '')"
+    out["index_codec"] = f"WITH {NOTES} SELECT note_id, array_to_string({parts('content_tokens', ' ')}, ' ') AS content_tokens, array_to_string({parts('anchor_tokens', ' ')}, ' ') AS anchor_tokens, " + ", ".join(f"len({parts(c, by)})::INT AS n_{c}" for c, by in (("content_tokens", " "), ("back_tokens", " "), ("anchor_tokens", " "), ("char_trigrams", "|"))) + " FROM n"
+    out["migrated"] = f"WITH {CARDS} SELECT id, CASE WHEN action_taken = 'reject' THEN 'descartada' WHEN action_taken = 'possible_duplicate' THEN 'en-revision' WHEN anki_note_id IS NOT NULL THEN 'subida' WHEN contains(coalesce(tags_resolved, ''), '_unresolved::') THEN 'en-revision' ELSE 'aprobada' END AS status, nullif(trim(json_extract_string(scope_json, '$.topic')), '') AS topic FROM c"
+    out["review_list"] = f"WITH {CARDS} SELECT id, substr(id, 1, 8) AS id_short, front_original AS front, json_extract_string(scope_json, '$.topic') AS topic, profile_name AS profile, target_deck AS deck, status, created_at FROM c WHERE status = 'en-revision'"
+    out["reconcile_events"] = f"WITH {CARDS}, {NOTES} SELECT id AS record_id, 'deleted_in_anki' AS event, 'borrada-en-anki' AS status, 1::BIGINT AS seq FROM c WHERE status = 'subida' AND anki_note_id IS NOT NULL AND anki_note_id NOT IN (SELECT note_id FROM n)"
+    out["auto_classify"] = f"WITH z AS ({out['classified']}) SELECT count(*) AS total, count(*) FILTER (confidence = 'high') AS auto_classified, count(*) FILTER (confidence <> 'high') AS needs_review, coalesce(round(count(*) FILTER (confidence = 'high') / nullif(count(*), 0) * 100), 0)::INT AS saved_pct FROM z"
+    out["date_stamps"] = f"WITH {CARDS} SELECT id, strftime(created_at::TIMESTAMPTZ AT TIME ZONE 'UTC', '%Y%m%dT%H%M%SZ') AS stamp FROM c"
+    out["record_shapes"] = f"WITH {rec} SELECT id, deck_name AS deck, note_type, front_normalized AS front, substr(coalesce(b, ''), 1, 160) AS back_excerpt, intent, skey AS semantic_key FROM r JOIN (SELECT note_id AS id, front_normalized FROM n) USING (id)"
+    out["records_as_json"] = f"WITH {CARDS} SELECT to_json({{'id': id, 'status': status}})::VARCHAR AS json FROM c"
+    out["cache_upserted"] = "SELECT fingerprint, model, arg_max(dim, (created_at, vector)) AS dim, max(created_at) AS created_at FROM embedding_cache WHERE len(vector) > 0 GROUP BY fingerprint, model"
+    out["by_fingerprint"] = f"WITH {CARDS} SELECT id, fingerprint FROM c WHERE fingerprint = (SELECT max(fingerprint) FROM c) ORDER BY created_at, id LIMIT 1"
+    out["first_of_fronts"] = f"WITH {CARDS}, {NOTES}, a AS (SELECT front_normalized AS front, id AS record_id, 1 AS place, 0 AS note, coalesce(created_at, '') AS made FROM c WHERE status NOT IN ('descartada', 'borrada-en-anki') UNION ALL SELECT front_normalized, 'anki:' || note_id, 0, note_id, '' FROM n) SELECT front, arg_min(record_id, (place, note, made, record_id)) AS first, count(*) AS records FROM a WHERE front <> '' GROUP BY front"
+    out["refreshed_decks"] = f"WITH {NOTES} SELECT deck_name, include_subdecks, last_refreshed_at, note_count FROM indexed_decks WHERE deck_name <> 'Aula Abierta' UNION ALL SELECT 'Aula Abierta', 1, '2030', count(*) FROM n WHERE {root} AND trim(coalesce(front_original, '')) <> ''"
     return out

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 CARD = "front string, back string, source string, suggested_tags array<string>, note_type string, meta map<string,string>, profile string, deck string, material_origen string"
 
 
-def read_cards(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(valid cards, errors) of JSON files, each an array of cards or one card a line.
+def read_cards(spark: SparkSession, path: str, multi_line: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid cards, errors) of JSON files: arrays of cards, or one card a line, which is read in splits.
 
-    A card needs a non-blank front and back and a source; others are errors with what is missing and don't stop the rest.
+    ``multi_line``: whether a document spans lines; by default that is told from the first line of the first file, so
+    files of both kinds need to be read apart. A card needs a non-blank front and back and a source; others are errors
+    with what is missing and don't stop the rest.
     """
-    raw = spark.read.schema(CARD + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    if multi_line is None:
+        first = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value")).head()
+        multi_line = first is not None and (first[0][0] + first[0][-1]) not in ("{}", "[]")
+    raw = spark.read.schema(CARD + ", _corrupt string").option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return _checked(raw)
 
 

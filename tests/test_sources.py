@@ -116,6 +116,18 @@ def test_fold_stream(spark, tmp_path):
     assert {tuple(r) for r in ingest.folded(spark, ["status"], str(tmp_path / "out")).collect()} == {("b", "aprobada"), ("c", "en-revision")}
 
 
+def test_card_files_of_every_shape(spark, tmp_path):
+    import json
+
+    made = [{"front": f"f{i}", "back": "two\nlines", "source": "s"} for i in range(5)] + [{"front": " ", "back": "b", "source": "s"}]
+    shapes = {"lines": "\n".join(map(json.dumps, made)), "array": json.dumps(made), "spread": json.dumps(made, indent=1), "blank": "\n\n" + "\n".join(map(json.dumps, made))}
+    for name, content in shapes.items():
+        (tmp_path / f"{name}.json").write_text(content)
+        good, bad = cards.read_cards(spark, str(tmp_path / f"{name}.json"))
+        assert sorted(r.front for r in good.collect()) == [f"f{i}" for i in range(5)], name
+        assert [r.error for r in bad.collect()] == ["front is empty"], name
+
+
 def test_bucket_table(spark, tmp_path):
     table = storage.BucketTable(spark, str(tmp_path / "t"), "k", "k string, v bigint", buckets=16)
     assert table.read().count() == 0
