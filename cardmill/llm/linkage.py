@@ -1,7 +1,7 @@
 """New batches against everything accepted before, without going through the history again.
 
-The history is a set of tables under one folder, each in hash buckets of its key: blocking keys, sketch, number and text
-of every front (``bands``, ``sketches``, ``names``, ``texts``), links between fronts with their weight, the representative mapping of merged clusters (``parents``, a union-find forest), the first batch that accepted
+The history is a set of tables under one folder, each in hash buckets of its key: blocking keys, sketch, number, text
+and cards of every front (``bands``, ``sketches``, ``names``, ``texts``, ``counts``), links between fronts with their weight, the representative mapping of merged clusters (``parents``, a union-find forest), the first batch that accepted
 each front, each cluster and each fingerprint. ``manifest.json`` names the parts of each table, the epoch and the
 learned weights; it is replaced last, so that an epoch that dies leaves the history as it was, and any later session
 goes on from it.
@@ -37,7 +37,8 @@ MOST_KEYS = 500_000
 #: Each table's columns, the first being its key.
 _TABLES = {
     "names": "h binary, tid bigint",
-    "texts": "tid bigint, text string, n_rows bigint",
+    "texts": "tid bigint, text string",
+    "counts": "tid bigint, n bigint",
     "bands": "key bigint, tid bigint",
     "sketches": "tid bigint, n int, sketch binary",
     "links": "tid bigint, other bigint, weight double",
@@ -190,6 +191,8 @@ class History:
                 merged = x.unionByName(y)
                 if name in ("accepted", "firsts", "prints"):
                     merged = merged.groupBy(merged.columns[0]).agg(F.min("batch").alias("batch"))
+                if name == "counts":
+                    merged = merged.groupBy("tid").agg(F.sum("n").alias("n"))
                 parts.append(self._write(name, merged, a["rows"] + b["rows"], f"{self.path}/{name}/{self.state['epoch']}-merged-{len(parts)}"))
                 old += [a["folder"], b["folder"]]
         storage.write_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.state))
@@ -214,7 +217,8 @@ class History:
         fresh = named.filter("known IS NULL")
         n_new = fresh.count()
         self._add("names", fresh.select("h", "tid"), n_new)
-        new = self._add("texts", fresh.select("tid", "text", "n_rows"), n_new)
+        new = self._add("texts", fresh.select("tid", "text"), n_new)
+        self._add("counts", named.select("tid", F.col("n_rows").alias("n")), total)
         links = self._link(new, n_new, epoch)
         self._add("accepted", named.filter("accepted IS NOT NULL").select("tid", F.col("accepted").alias("batch")), total)
         self._add("prints", cards.filter("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min(ok).alias("batch")).filter("batch IS NOT NULL"), total)
@@ -326,11 +330,12 @@ def repeated_cards(cards: DataFrame) -> DataFrame:
 
 
 def front_clusters(cards: DataFrame) -> DataFrame:
-    """``front, cluster_front, n_cards``: every front with the representative of its cluster."""
+    """``front, cluster_front, n_cards``: every front with the first text, in order, of its cluster and its number of cards."""
     history, _ = run(cards)
     texts = history.table("texts")
     n = texts.count()
     mine = history.work.cut(history.find(texts, n), "members")
-    per = mine.groupBy("rep").agg(F.count("*").alias("n")).join(texts.select(F.col("tid").alias("rep"), F.col("text").alias("cluster_front")), "rep")
+    per = mine.groupBy("rep").agg(F.count("*").alias("n"), F.min("text").alias("cluster_front"))
     named = storage.join_by_size(mine, history.work.cut(per, "per"), "rep", "n", F.lit(n))
-    return named.select(F.col("text").alias("front"), "cluster_front", F.col("n_rows").alias("n_cards"))
+    counts = history.table("counts").groupBy("tid").agg(F.sum("n").alias("n_cards"))
+    return named.join(counts, "tid").select(F.col("text").alias("front"), "cluster_front", "n_cards")

@@ -30,6 +30,7 @@ _NOTES = (
     "r AS (SELECT note_id, max((coalesce(indexed_at, ''), front_normalized || ' ' || back_normalized)) AS m FROM indexed_notes WHERE note_id IS NOT NULL AND front_normalized <> '' AND back_normalized <> '' GROUP BY note_id), "
     f"n AS (SELECT note_id AS id, m[2] AS t, {_GRAMS.format(x='m[2]')} AS g FROM r), " + _SHARED.format(t="n")
 )
+_REACH = "tw AS (SELECT a AS x, b AS y FROM nr UNION SELECT b, a FROM nr), rh AS (SELECT x AS id, x AS o FROM tw UNION SELECT rh.id, tw.y FROM rh JOIN tw ON tw.x = rh.o), rt AS (SELECT id, min(o) AS root FROM rh GROUP BY id)"
 _BATCHED = (
     "c AS (SELECT DISTINCT id, ingest_batch AS batch, status IN ('aprobada', 'subida') AS ok, fingerprint, front_normalized AS t FROM processed_cards WHERE id IS NOT NULL AND ingest_batch IS NOT NULL), "
     f"u AS (SELECT t AS id, {_GRAMS.format(x='t')} AS g, min(batch) FILTER (ok) AS first FROM c WHERE length(t) >= 3 GROUP BY t), "
@@ -74,6 +75,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"WITH {_KEYED} SELECT g.keep_id, k.id AS copy_id FROM k JOIN g USING (key) WHERE k.id <> g.keep_id",
         "p1_distinct": f"WITH {_KEYED} SELECT keep_id, first_id, copies FROM g",
         "p4_found": f"WITH {_NOTES} SELECT a AS note_id_a, b AS note_id_b FROM nr UNION SELECT x.id, y.id FROM n x JOIN n y ON x.t = y.t AND x.id < y.id",
+        "p4_groups": f"WITH RECURSIVE {_NOTES.partition(', gr AS')[0]}, tx AS (SELECT min(id) AS id, t, any_value(g) AS g FROM n GROUP BY t), {_SHARED.format(t='tx')}, {_REACH}, dg AS (SELECT x AS id, count(*) AS links FROM tw GROUP BY x) SELECT n.id AS note_id, coalesce(root, tx.id) AS group_id, coalesce(links, 0) AS n_links FROM n JOIN tx USING (t) LEFT JOIN rt ON rt.id = tx.id LEFT JOIN dg ON dg.id = tx.id",
+        "p5_clusters": f"WITH RECURSIVE {_BATCHED.partition(', v AS')[0]}, {_REACH}, ct AS (SELECT t, count(*) AS n FROM c GROUP BY t) SELECT u.id AS front, coalesce(root, u.id) AS cluster_front, ct.n AS n_cards FROM u JOIN ct ON ct.t = u.id LEFT JOIN rt ON rt.id = u.id",
         "p5_found": f"WITH {_BATCHED} SELECT DISTINCT c.id FROM c LEFT JOIN l ON l.t = c.t LEFT JOIN p ON p.fingerprint = c.fingerprint WHERE l.first < c.batch OR p.first < c.batch",
         "p6_found": f"WITH RECURSIVE {_LINKS} SELECT id AS record_id, min(x) AS group_id FROM o GROUP BY id",
         "p7_found": f"WITH {_UNITS} SELECT DISTINCT least(a, b) AS note_id_a, greatest(a, b) AS note_id_b FROM t WHERE rk <= 5 AND c >= 0.90::DOUBLE",

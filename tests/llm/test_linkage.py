@@ -125,6 +125,7 @@ def test_weights_tell_matches_apart_and_keep_the_rule():
 
 
 def test_front_clusters(spark):
-    rows = [("a", "some front text one", "b"), ("b", "some front text one!", "b", {"ingest_batch": "b2"}), ("c", "other words altogether", "b")]
-    got = {r.front: r.cluster_front for r in linkage.front_clusters(cards(spark, rows)).collect()}
-    assert got["some front text one"] == got["some front text one!"] and got["other words altogether"] == "other words altogether"
+    one = "some front text one"
+    rows = [("a", one, "b"), ("b", one + "!", "b", {"ingest_batch": "b2"}), ("c", "other words altogether", "b"), ("d", one, "b", {"ingest_batch": "b2"}), ("e", one, "b")]
+    got = {r.front: (r.cluster_front, r.n_cards) for r in linkage.front_clusters(cards(spark, rows)).collect()}
+    assert got == {one: (one, 3), one + "!": (one, 1), "other words altogether": ("other words altogether", 1)}
