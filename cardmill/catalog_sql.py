@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import unicodedata
+
 from cardmill.functions import quality, scores, text
 from cardmill.operators.classify import python_fold, python_path
 from cardmill.settings import Profile
@@ -137,6 +140,21 @@ def _components(edges: str, out: str) -> str:
     return f"both_ways AS (SELECT a AS x, b AS y FROM {edges} UNION SELECT b, a FROM {edges}), reach AS (SELECT x AS id, x AS o FROM both_ways UNION SELECT reach.id, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.o), {out} AS (SELECT id, min(o) AS root FROM reach GROUP BY id)"
 
 
+def _formatted(column: str, rows: str) -> str:
+    """Relations up to ``nf`` (x, form) for the distinct values of a column: entities decoded, compatibility forms composed, without tags, white space collapsed."""
+    plain = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000}
+    forms = {c: f for c, f in plain.items() if f != c} | {f"&{n}": unicodedata.normalize("NFKC", v) for n, v in html.entities.html5.items() if n.endswith(";")}
+    made = ", ".join(f"({_q(t) if t.isascii() else f'chr({ord(t)})'}, {_q(f)})" for t, f in forms.items())
+    number = "CASE WHEN regexp_matches(tk.tk, '^&#[0-9]+;$') THEN chr(regexp_extract(tk.tk, '[0-9]+')::INT) WHEN regexp_matches(tk.tk, '^&#[xX][0-9a-fA-F]+;$') THEN chr(('0x' || regexp_extract(tk.tk, '[xX]([0-9a-fA-F]+)', 1))::INT) ELSE tk.tk END"
+    cut = "regexp_extract_all(x, '(?s)&(?:[a-zA-Z0-9]+|#[0-9]+|#[xX][0-9a-fA-F]+);|.')"
+    return (
+        f"fm(tk, form) AS (VALUES {made}), sv AS (SELECT DISTINCT {column} AS x FROM {rows} WHERE {column} IS NOT NULL), "
+        f"tk AS (SELECT x, unnest({cut}) AS tk, generate_subscripts({cut}, 1) AS i FROM sv), "
+        f"nf AS (SELECT sv.x, coalesce({_collapse('regexp_replace(nfc_normalize(t.s), ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '') AS form "
+        f"FROM sv LEFT JOIN (SELECT x, string_agg(coalesce(form, {number}), '' ORDER BY i) AS s FROM tk LEFT JOIN fm ON fm.tk = tk.tk GROUP BY x) t ON t.x = sv.x)"
+    )
+
+
 def _first_rule(rules: list[tuple[str, str]]) -> str:
     return "CASE " + " ".join(f"WHEN {h} THEN {_q(v)}" for h, v in rules) + " END" if rules else "NULL"
 
@@ -309,4 +327,6 @@ def build(profile: Profile) -> dict[str, str]:
     out["by_fingerprint"] = f"WITH {CARDS} SELECT id, fingerprint FROM c WHERE fingerprint = (SELECT max(fingerprint) FROM c) ORDER BY created_at, id LIMIT 1"
     out["first_of_fronts"] = f"WITH {CARDS}, {NOTES}, a AS (SELECT front_normalized AS front, id AS record_id, 1 AS place, 0 AS note, coalesce(created_at, '') AS made FROM c WHERE status NOT IN ('descartada', 'borrada-en-anki') UNION ALL SELECT front_normalized, 'anki:' || note_id, 0, note_id, '' FROM n) SELECT front, arg_min(record_id, (place, note, made, record_id)) AS first, count(*) AS records FROM a WHERE front <> '' GROUP BY front"
     out["refreshed_decks"] = f"WITH {NOTES} SELECT deck_name, include_subdecks, last_refreshed_at, note_count FROM indexed_decks WHERE deck_name <> 'Aula Abierta' UNION ALL SELECT 'Aula Abierta', 1, '2030', count(*) FROM n WHERE {root} AND trim(coalesce(front_original, '')) <> ''"
+    sides = "sd AS (SELECT front_original AS side FROM c UNION SELECT back_original FROM c)"
+    out["normalized_format"] = f"WITH {CARDS}, {sides}, {_formatted('side', 'sd')} SELECT id, f.form AS front, b.form AS back FROM c LEFT JOIN nf f ON f.x = front_original LEFT JOIN nf b ON b.x = back_original"
     return out
