@@ -101,22 +101,32 @@ def _posterior(scores: np.ndarray, allowed: np.ndarray | None = None) -> np.ndar
 
 
 class Sentences:
-    """Reduced sentences in flat arrays, for matrix passes."""
+    """Reduced, non-empty sentences in flat arrays, cut into chunks for matrix passes of bounded size."""
+
+    CHUNK = 10_000
 
     def __init__(self, model: Model, keys: list[str]):
-        places = [model.places(k) for k in keys]
-        self.owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(p) for p in places])
-        self.flat = np.concatenate(places).astype(np.int32) if places else np.empty(0, np.int32)
-        self.n = len(keys)
+        self.n, self.chunks = len(keys), []
+        for at in range(0, len(keys), self.CHUNK):
+            places = [model.places(k) for k in keys[at : at + self.CHUNK]]
+            lengths = np.array([len(p) for p in places])
+            flat = np.concatenate(places).astype(np.int32)
+            order = np.argsort(flat, kind="stable")
+            found, first = np.unique(flat[order], return_index=True)
+            owner = np.repeat(np.arange(len(places), dtype=np.int32), lengths)[order]
+            self.chunks.append((at, flat, np.cumsum(lengths) - lengths, owner, found, first))
 
     def scores(self, model: Model) -> np.ndarray:
         out = np.empty((self.n, model.classes), np.float32)
-        for c in range(model.classes):
-            out[:, c] = np.bincount(self.owner, model.odds[self.flat, c], self.n)
+        for at, flat, starts, *_ in self.chunks:
+            out[at : at + len(starts)] = np.add.reduceat(model.odds[flat], starts, axis=0)
         return out + model.prior
 
     def counts(self, model: Model, weight: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.flat, weight[self.owner, c], model.features) for c in range(model.classes)], 1)
+        out = np.zeros((model.features, model.classes))
+        for at, _, starts, owner, found, first in self.chunks:
+            out[found] += np.add.reduceat(weight[at : at + len(starts)][owner], first, axis=0)
+        return out
 
 
 def fit_labelled(model: Model, held: Sentences, allowed: np.ndarray, weight: np.ndarray, rounds: int = 6, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
