@@ -247,9 +247,9 @@ def _unlabelled_counts(models: list[Model], distinct: DataFrame) -> list[tuple[n
                     own[-1] += w.sum(0)
         for i, own in enumerate(total):
             rows = np.flatnonzero(own.any(1))
-            yield pd.DataFrame({"m": i, "place": rows} | {c: own[rows, j] for j, c in enumerate(columns)})
+            yield pd.DataFrame({"m": i, "place": rows} | {c: own[rows, j].astype(np.float32) for j, c in enumerate(columns)})
 
-    sums = distinct.mapInPandas(run, "m int, place int, " + ", ".join(f"{c} double" for c in columns))
+    sums = distinct.mapInPandas(run, "m int, place int, " + ", ".join(f"{c} float" for c in columns))
     rows = sums.groupBy("m", "place").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toArrow()
     model, place = rows.column("m").to_numpy(), rows.column("place").to_numpy()
     out = [np.zeros((features + 1, k), np.float32) for _ in models]
