@@ -251,6 +251,7 @@ def _unlabelled_counts(models: list[Model], distinct: DataFrame) -> list[tuple[n
 
     sums = distinct.mapInPandas(run, "m int, place int, " + ", ".join(f"{c} float" for c in columns))
     rows = sums.groupBy("m", "place").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toArrow()
+    held.destroy()  # its files go from all disks
     model, place = rows.column("m").to_numpy(), rows.column("place").to_numpy()
     out = [np.zeros((features + 1, k), np.float32) for _ in models]
     for i, own in enumerate(out):
@@ -292,6 +293,7 @@ def train(cards: DataFrame, areas: DataFrame, labels: DataFrame, scratch: storag
             yield pd.DataFrame({"id": f.id, "sentences": [a + b for a, b in zip(fronts, backs, strict=True)], "fronts": [len(a) for a in fronts], "tags": f.tags})
 
     reduced = scratch.cut(read.mapInPandas(reduce, "id string, sentences array<string>, fronts int, tags string"), "reduced")
+    held.destroy()
     scratch.drop("read")
     k = len(model.subjects)
     number = {s: i for i, s in enumerate(model.subjects)}
