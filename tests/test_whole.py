@@ -43,6 +43,15 @@ def test_blocks_of_any_size_give_all_pairs(spark):
         assert sorted((r.a, r.b) for r in candidates.blocked(df, cell=cell).collect()) == want
 
 
+def test_large_blocks_are_not_copied_to_cells(spark):
+    keys = {i: ["every", f"m{i % 3}", f"s{i // 2}"] if i % 5 else [f"m{i % 3}", f"s{i // 2}"] for i in range(200)}
+    df = spark.createDataFrame(list(keys.items()), "record_id bigint, block_keys array<string>")
+    pairs = candidates.blocked(df, cell=20)
+    assert "sequence(" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((a, b) for a in keys for b in keys if a < b and set(keys[a]) & set(keys[b]))
+    assert sorted((r.a, r.b) for r in candidates.blocked(df, cell=20, tile=30).collect()) == want
+
+
 def test_blocked_pairs_of_a_large_block(spark, tmp_path):
     rows = [(i, f"word{i}q", f"back {i}", "Deck", "Basic", None, "2025") for i in range(60)]
     spark.createDataFrame(rows, "note_id bigint, front_normalized string, back_normalized string, deck_name string, note_type string, scope_json string, indexed_at string").write.parquet(f"{tmp_path}/indexed_notes.parquet")
