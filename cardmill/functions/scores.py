@@ -50,6 +50,14 @@ def cosine_floor(score: float) -> float:
     return CALIBRATION[-1][0]
 
 
+def least_overlap(score: float, vectors: bool) -> float:
+    """A token Jaccard that pairs of this score have, unless they agree in a value or in their vectors; to push a score limit down into a token join.
+
+    Below 0.70 a score without vectors is 0.80, or 0.65 * 0.70 + 0.25 + 0.10, at most. A little less is asked, for the rounding of products.
+    """
+    return TOKENS_STRONG - 0.01 if not vectors and score > WEIGHTS[0] * TOKENS_STRONG + WEIGHTS[1] + WEIGHTS[2] + 1e-9 else TOKENS_WEAK
+
+
 def pair_score(left: dict[str, Column], right: dict[str, Column], cos: Column | None = None) -> tuple[Column, Column]:
     """(score, reasons) of a pair from ``fingerprint, front, key, tokens, trigrams, backs, vendor`` of both sides.
 

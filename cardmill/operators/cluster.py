@@ -111,11 +111,10 @@ def summaries(edges: DataFrame, found: DataFrame, records: DataFrame | None = No
     return out.select("cluster_id", rep.alias("representative"), "size", "reasons", F.round("score_floor", 4).alias("score_floor"))
 
 
-def pair_metrics(records: DataFrame, sizes: DataFrame, pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One row: cards, raw candidates (closed form over block sizes), distinct candidate pairs, clusters, and the share of all pairs saved."""
+def pair_metrics(records: DataFrame, sizes: DataFrame, distinct: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row: cards, raw candidates (closed form over block sizes), distinct candidate ``pairs`` (one row), clusters, and the share of all pairs saved."""
     n = records.agg(F.count("*").alias("cards"))
     raw = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("raw_candidates"))
-    distinct = pairs.agg(F.count("*").alias("pairs"))
     found = clusters.agg(F.count("*").alias("clusters"))
     one = n.crossJoin(raw).crossJoin(distinct).crossJoin(found)  # four one-row tables
     every = F.col("cards") * (F.col("cards") - 1) / 2

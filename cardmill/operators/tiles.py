@@ -128,3 +128,108 @@ def sharing(rows: DataFrame, scratch: storage.Scratch, tile: int = TILE) -> Data
 
     met = meet(packed(rows, scratch, "tiles", tile), None, pairs, f"p {kind}, q array<{kind}>")
     return met.select("p", F.explode("q").alias("q")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
+def _units(table: pa.Table) -> dict[int, np.ndarray]:
+    """By width, the vectors of the records in unit length; zeros where a record has none of that width, or none that has a length."""
+    values, sizes = _lists(table, "vector")
+    starts, out = np.cumsum(sizes) - sizes, {}
+    for width in np.unique(sizes[sizes > 0]):
+        x = np.zeros((len(sizes), width))
+        own = np.flatnonzero(sizes == width)
+        x[own] = values[starts[own][:, None] + np.arange(width)]
+        length = np.linalg.norm(x, axis=1)
+        ok = np.isfinite(length) & (length > 0)
+        x[~ok] = 0
+        x[ok] /= length[ok][:, None]
+        if ok.any():
+            out[int(width)] = x
+    return out
+
+
+def _dots(x: np.ndarray, y: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Products of the given pairs of rows, in full precision."""
+    parts = [np.einsum("ij,ij->i", x[rows[k : k + 20_000]], y[columns[k : k + 20_000]]) for k in range(0, len(rows), 20_000)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+#: Rounding of a limit in full precision; error of a product of unit vectors in single precision, by width.
+SLACK, SINGLE = 1e-12, 1.5e-7
+#: Leading dimensions of the bound of a product, and the share of pairs above the limit from which it doesn't pay.
+HEAD, OFTEN = 16, 0.02
+
+
+def _headed(x: np.ndarray) -> np.ndarray:
+    """The first dimensions and the length of the rest: the products of these are never below those of the whole."""
+    return np.hstack([x[:, :HEAD], np.linalg.norm(x[:, HEAD:], axis=1)[:, None]]).astype(np.float32)
+
+
+def _near(x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``start, rows, columns, cosines`` of each stripe: the pairs of at least ``least`` (above 0), decided in full precision.
+
+    Single precision, for high limits of a bound over the leading dimensions, only leaves out pairs that are below.
+    """
+    width = x.shape[1]
+    slack = np.float32(least - 1e-6 - SINGLE * width)
+    bound = least >= 0.9 and width >= 2 * HEAD
+    sx, sy = (_headed(x), _headed(y)) if bound else (x.astype(np.float32), y.astype(np.float32))
+    for at in range(0, len(x), STRIPE):
+        flat = np.flatnonzero(sx[at : at + STRIPE] @ sy.T >= slack)
+        if bound and len(flat) > OFTEN * STRIPE * len(y):
+            bound, sx, sy = False, x.astype(np.float32), y.astype(np.float32)
+            flat = np.flatnonzero(sx[at : at + STRIPE] @ sy.T >= slack)
+        row, column = np.divmod(flat, len(y))
+        found = _dots(x, y, at + row, column)
+        ok = found >= least - SLACK
+        yield at, row[ok], column[ok], found[ok]
+
+
+def near(left: DataFrame, right: DataFrame | None, least: float, scratch: storage.Scratch, tile: int = TILE) -> DataFrame:
+    """``a, b, cosine`` of ``id, vector``: the pairs of at least ``least``, exactly; with ``right``, of a row of either table."""
+    kind = left.schema["id"].dataType.simpleString()
+
+    def pairs(x: pa.Table, y: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        ux, uy = _units(x), _units(y)
+        for width in ux.keys() & uy.keys():
+            for at, row, column, cosine in _near(ux[width], uy[width], least):
+                if same:
+                    row, column, cosine = (c[at + row < column] for c in (row, column, cosine))
+                if len(row):
+                    p, q = (side["id"].combine_chunks().take(pa.array(c)) for side, c in ((x, at + row), (y, column)))
+                    yield pa.RecordBatch.from_arrays([p, q, pa.array(cosine)], names=["p", "q", "cosine"])
+
+    sides = [packed(left, scratch, "left", tile), None if right is None else packed(right, scratch, "right", tile)]
+    met = meet(*sides, pairs, f"p {kind}, q {kind}, cosine double")
+    ends = ("p", "q") if right is not None else (F.least("p", "q"), F.greatest("p", "q"))
+    return met.select(*(F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for c, n in zip(ends, "ab", strict=True)), "cosine")
+
+
+def _near_bits(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, at: int, least: float) -> np.ndarray:
+    """Bits over ``y`` of the vectors near a stripe of ``x``; what single precision can't decide is decided in full."""
+    slack = 1e-6 + SINGLE * x.shape[1]
+    s = sx[at : at + STRIPE] @ sy.T
+    close = s >= np.float32(least - slack)
+    flat = np.flatnonzero(close)
+    open_ = flat[s.ravel()[flat] <= np.float32(least + slack)]
+    row, column = np.divmod(open_, len(y))
+    close.ravel()[open_] = _dots(x, y, at + row, column) >= least - SLACK
+    return np.packbits(close, axis=1, bitorder="little")
+
+
+def count_met(rows: DataFrame, least: float, scratch: storage.Scratch, tile: int = TILE) -> DataFrame:
+    """``pairs``, one row: how many pairs of ``id, keys, vector`` share a key or have a cosine of at least ``least`` (above 0), without forming them."""
+
+    def count(x: pa.Table, y: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        held, n, ux, uy = _key_bits(x, y), 0, _units(x), _units(y)
+        both = [(ux[w], uy[w], ux[w].astype(np.float32), uy[w].astype(np.float32)) for w in ux.keys() & uy.keys()]
+        for at in range(0, x.num_rows, STRIPE):
+            bits = _stripe(held, at, min(at + STRIPE, x.num_rows), y.num_rows)
+            for vectors in both:
+                bits |= _near_bits(*vectors, at, least)
+            if same:
+                _after(bits, at)
+            n += int(np.bitwise_count(bits).sum(dtype=np.int64))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    met = meet(packed(rows, scratch, "tiles", tile), None, count, "n bigint")
+    return met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))

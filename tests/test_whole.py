@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from cardmill import catalog, storage
-from cardmill.operators import audit, candidates, cluster, registry
+from cardmill.functions import scores
+from cardmill.operators import audit, candidates, cluster, registry, tiles
 from cardmill.plans import audits
 from cardmill.settings import Settings
 
@@ -59,6 +60,20 @@ def test_blocked_pairs_of_a_large_block(spark, tmp_path):
     assert sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
 
 
+def test_candidates_are_counted_without_forming_them(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(size=6 if i % 7 else 3).tolist() if i % 5 else None for i in range(90)}
+    keys = {i: [i % 4, 100 + i // 3] if i % 9 else None for i in range(90)}
+    df = spark.createDataFrame([(i, keys[i], vectors[i]) for i in range(90)], "id bigint, keys array<bigint>, vector array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors.items() if v}
+    near = lambda a, b: a in unit and b in unit and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.4
+    want = sum(bool(set(keys[a] or []) & set(keys[b] or [])) or bool(near(a, b)) for b in range(90) for a in range(b))
+    assert [r.pairs for r in tiles.count_met(df, 0.4, storage.Scratch(spark, "t"), tile=20).collect()] == [want]
+    assert (scores.least_overlap(0.9, False), scores.least_overlap(0.9, True), scores.least_overlap(0.8, False)) == (0.69, 0.5, 0.5)
+
+
 def test_members_of_equal_sets_keep_their_pairs(spark, tmp_path):
     # 1 and 2 have equal token sets; only 2 is close enough to 3 in trigrams for 0.80. 4 and 5 are copies without tokens, 6 and 7 share a question
     texts = ["abk cdm efn ghp", "efn cdm abk ghp", "efn cdm abk vqr", "the", "the", "What is DNS?", "Define DNS"]
