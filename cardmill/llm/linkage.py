@@ -203,6 +203,10 @@ class History:
 
     def process(self, cards: DataFrame) -> DataFrame:
         """Take in the cards of one or more batches (``id, batch, status, fingerprint, front``); gives the ids that repeat earlier ones."""
+        with storage.shuffles_released(self.spark):
+            return self._process(cards)
+
+    def _process(self, cards: DataFrame) -> DataFrame:
         epoch, work = self.state["epoch"] + 1, self.work
         cards = cards.withColumn("h", F.when(F.length("front") >= 3, F.unhex(F.md5("front"))))
         total = cards.count()
@@ -229,12 +233,15 @@ class History:
         return found
 
     def _link(self, new: DataFrame, n_new: int, epoch: int) -> DataFrame:
-        """The links of the new fronts, in both directions, with their weights; the weights are learned from the first epoch that has pairs."""
+        """The links of the new fronts, in both directions, with their weights; the weights are learned from the first epoch that has pairs.
+
+        The steps that take most disk come one after the other: candidates are written before the tables of the epoch
+        are, and what only they need goes before texts are joined to them.
+        """
         work = self.work
         signed = work.cut(shingles.with_signatures(new, PLAN), f"signed-{epoch}")
         rows = shingles.block_rows(signed)
-        before = bool(self.state["tables"]["bands"])
-        if before:
+        if self.state["tables"]["bands"]:
             n_keys = n_new * PLAN.bands
             probed = work.cut(self.probe("bands", rows.select("key"), n_keys), f"probed-{epoch}")
             probed = probed.join(self.probe("sketches", probed.select("tid"), probed.count()), "tid")
@@ -245,9 +252,10 @@ class History:
             # what is new was added to the table already; old ends are those with smaller numbers
             texts = texts.filter(F.col("tid") < (epoch << 50)).unionByName(new.select("tid", "text"))
         else:
-            pairs, texts = shingles.candidates(rows, work, f"hot-{epoch}"), new.select("tid", "text")
+            pairs, texts = work.cut(shingles.candidates(rows, work, f"hot-{epoch}"), f"pairs-{epoch}"), new.select("tid", "text")
         self._add("bands", rows.select("key", "tid"), n_new * PLAN.bands)
         self._add("sketches", signed.select("tid", "n", "sketch"), n_new)
+        work.drop(*[f"{n}-{epoch}" for n in ("signed", "probed", "hot")])
         compared = shingles.compare(pairs, texts, (1, 2), _compare, "digits int, opening int, length int")
         level = F.when(F.col("shared") * 10 >= F.col("united") * 9, 3).when(F.col("shared") * 5 >= F.col("united") * 4, _LINKED).when(F.col("shared") * 20 >= F.col("united") * 13, 1).otherwise(0)
         compared = work.cut(compared.select("x", "y", level.alias("level"), "digits", "opening", "length"), f"compared-{epoch}")
@@ -259,7 +267,7 @@ class History:
         linked = compared.withColumn("weight", agreement({f: F.col(f) for f in FIELDS}, weights)).filter(F.col("weight") >= cutoff)
         ends = F.explode(F.array(F.struct(F.col("x").alias("tid"), F.col("y").alias("other")), F.struct(F.col("y").alias("tid"), F.col("x").alias("other")))).alias("e")
         links = self._add("links", linked.select("weight", ends).select("e.tid", "e.other", "weight"), 2 * n_new)
-        work.drop(f"signed-{epoch}", f"compared-{epoch}", f"pairs-{epoch}", f"probed-{epoch}", f"hot-{epoch}")
+        work.drop(f"compared-{epoch}", f"pairs-{epoch}")
         return links
 
     def _merge_clusters(self, links: DataFrame, n_new: int, epoch: int) -> None:
@@ -317,7 +325,8 @@ def run(cards: DataFrame, path: str | None = None) -> tuple[History, DataFrame]:
     """
     spark = cards.sparkSession
     scratch = storage.Scratch(spark, "linkage")
-    rows = scratch.cut(_batched(cards), "cards")
+    with storage.shuffles_released(spark):
+        rows = scratch.cut(_batched(cards), "cards")
     newest = rows.agg(F.max("batch")).first()[0]
     history = History(spark, path or scratch.path("history"))
     found = history.process(rows.filter(F.col("batch") != newest))
@@ -334,8 +343,9 @@ def front_clusters(cards: DataFrame) -> DataFrame:
     history, _ = run(cards)
     texts = history.table("texts")
     n = texts.count()
-    mine = history.work.cut(history.find(texts, n), "members")
-    per = mine.groupBy("rep").agg(F.count("*").alias("n"), F.min("text").alias("cluster_front"))
-    named = storage.join_by_size(mine, history.work.cut(per, "per"), "rep", "n", F.lit(n))
+    with storage.shuffles_released(history.spark):
+        mine = history.work.cut(history.find(texts, n), "members")
+        per = history.work.cut(mine.groupBy("rep").agg(F.count("*").alias("n"), F.min("text").alias("cluster_front")), "per")
+    named = storage.join_by_size(mine, per, "rep", "n", F.lit(n))
     counts = history.table("counts").groupBy("tid").agg(F.sum("n").alias("n_cards"))
     return named.join(counts, "tid").select(F.col("text").alias("front"), "cluster_front", "n_cards")

@@ -12,6 +12,8 @@ import shutil
 import tempfile
 import urllib.parse
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +78,24 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"cannot write {path}")
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Within it a query's shuffle files go when the query ends; else they stay until the driver happens to collect its garbage.
+
+    For steps that end in written tables: a result that is asked for twice without one would be shuffled again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Scratch:
     """A folder of written tables for one run of an operator; removed when Python ends, or earlier by ``drop``."""
 

@@ -1,10 +1,12 @@
 import itertools
 import random
+import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from cardmill import storage
-from cardmill.llm import linkage
+from cardmill.llm import linkage, shingles
 from tests.llm.helpers import cards, pairs
 from tests.llm.test_neardup import WORDS, edited, tri
 
@@ -129,3 +131,36 @@ def test_front_clusters(spark):
     rows = [("a", one, "b"), ("b", one + "!", "b", {"ingest_batch": "b2"}), ("c", "other words altogether", "b"), ("d", one, "b", {"ingest_batch": "b2"}), ("e", one, "b")]
     got = {r.front: (r.cluster_front, r.n_cards) for r in linkage.front_clusters(cards(spark, rows)).collect()}
     assert got == {one: (one, 3), one + "!": (one, 1), "other words altogether": ("other words altogether", 1)}
+
+
+def test_an_epoch_gives_its_disk_back_step_by_step(spark, monkeypatch):
+    """Before texts are joined to the candidates, sketches, probes and all shuffle files up to then are gone; at the end all are."""
+    rows = fixture(5, 120)
+    df = linkage._batched(cards(spark, rows)).coalesce(2).cache()
+    df.count()
+    dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f.name for d in dirs for f in Path(d.getPath()).rglob("shuffle_*")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    earlier, given, compare, seen = files(), spark.conf.get(setting), shingles.compare, []
+    history = linkage.History(spark, storage.Scratch(spark, "t").path("h"))
+
+    def left():
+        for _ in range(30):  # removal isn't waited for
+            if not files() - earlier:
+                break
+            time.sleep(0.1)
+        return files() - earlier
+
+    def watched(*args, **named):
+        epoch = history.state["epoch"] + 1
+        held = [n for n in ("signed", "probed", "hot", "pairs") if storage.exists(spark, history.work.path(f"{n}-{epoch}"))]
+        seen.append((held, left()))
+        return compare(*args, **named)
+
+    monkeypatch.setattr(shingles, "compare", watched)
+    got = pairs(history.process(df.filter("batch < 'b5'"))) | pairs(history.process(df.filter("batch >= 'b5'")))
+    assert seen == [(["pairs"], set())] * 2
+    assert got == brute(rows)
+    earlier = files()
+    history.process(df.filter("batch >= 'b5'"))
+    assert not left() and spark.conf.get(setting) == given
