@@ -53,6 +53,24 @@ def test_large_blocks_are_not_copied_to_cells(spark):
     assert sorted((r.a, r.b) for r in candidates.blocked(df, cell=20, tile=30).collect()) == want
 
 
+def test_pairs_of_large_blocks_take_little_space(spark, tmp_path):
+    # by the key that records share, not by their ids: rows and columns then come in runs
+    held = {i * 7919 % 3001: [i % 3, 10 + i % 4, 20 + i % 7] for i in range(1200)}
+    df = spark.createDataFrame(list(held.items()), "id bigint, keys array<bigint>")
+    tiles.sharing(df, storage.Scratch(spark, "t"), tile=700).write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs").collect()
+    want = {(a, b) for a in held for b in held if a < b and set(held[a]) & set(held[b])}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < 0.5 * len(want)
+
+
+def test_tiles_of_text_ids_give_the_smaller_first(spark):
+    names = [chr(c) + tail for c in (65, 97, 233, 0x4E00, 0xFF21, 0x1F600) for tail in ("", "1", "2")]  # by code point, as Spark orders text
+    df = spark.createDataFrame([(n, [k % 2, 5 + k % 3]) for k, n in enumerate(names)], "id string, keys array<bigint>")
+    want = sorted((a, b) for k, a in enumerate(names) for m, b in enumerate(names) if a < b and (k % 2 == m % 2 or k % 3 == m % 3))
+    assert sorted((r.a, r.b) for r in tiles.sharing(df, storage.Scratch(spark, "t"), tile=5).collect()) == want
+
+
 def test_blocked_pairs_of_a_large_block(spark, tmp_path):
     rows = [(i, f"word{i}q", f"back {i}", "Deck", "Basic", None, "2025") for i in range(60)]
     spark.createDataFrame(rows, "note_id bigint, front_normalized string, back_normalized string, deck_name string, note_type string, scope_json string, indexed_at string").write.parquet(f"{tmp_path}/indexed_notes.parquet")
